@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.urls import let
+
 ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _HIDDEN_BODY = rf"(?is)<!--.*?-->|<(script|style|noscript|template)\b({ATTRS})>.*?</\1\s*>"
 _ATTR = r"""[^\s=>"'/<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
@@ -32,56 +34,105 @@ def cut(text: Column, n: int) -> Column:
 
 
 # ------------------------------------------------------------------ entities
-_NAMED = json.dumps(html.entities.html5)
-_WINDOWS_1252 = json.dumps(
-    {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
+# names by first letter: a map look-up walks its keys, so the maps stay short
+_NAMED = json.dumps(
+    {
+        letter: {k: v for k, v in html.entities.html5.items() if k[0] == letter}
+        for letter in sorted({k[0] for k in html.entities.html5})
+    }
 )
+_COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\u00a0"}
+_WINDOWS_1252 = json.dumps([bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)])
 _REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
+# characters that would read as markup once decoded wait as non-characters
+_MARKUP_CHARS = "<>\"'&"
+_WAITING = "﷐﷑﷒﷓﷔"
+
+
 def _from_code(digits: Column, base: int) -> Column:
-    code = F.conv(digits, base, 10).cast("long")
-    c1 = F.try_element_at(F.from_json(F.lit(_WINDOWS_1252), "map<string,string>"), code.cast("string"))
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    bad = (F.length(digits) > 8) | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    unseen = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF)
-    return F.when(bad, "�").when(code == 0xD, "\r").when(c1.isNotNull(), c1).when(unseen, "").otherwise(char)
-
-
-def _decoded(piece: Column) -> Column:
-    """``piece`` is what follows one ``&``."""
-    names = F.from_json(F.lit(_NAMED), "map<string,string>")
-    ref = F.regexp_extract(piece, _REFERENCE, 1)
-    digits = F.regexp_extract(ref, r"^#([0-9]+)", 1)
-    hexes = F.regexp_extract(ref, r"^#[xX]([0-9a-fA-F]+)", 1)
-    whole = F.try_element_at(names, ref)
-    prefixes = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(ref) - 1, F.lit(1))), lambda i: F.length(ref) - i),
-        lambda k: (k > 1) & F.try_element_at(names, F.left(ref, k)).isNotNull(),
-    )
-    longest = F.get(prefixes, 0)
-    tail = lambda n: F.right(piece, F.length(piece) - n)
-    return (
-        F.when(digits != "", F.concat(_from_code(digits, 10), tail(F.length(ref))))
-        .when(hexes != "", F.concat(_from_code(hexes, 16), tail(F.length(ref))))
-        .when(whole.isNotNull(), F.concat(whole, tail(F.length(ref))))
-        .when(longest.isNotNull(), F.concat(F.try_element_at(names, F.left(ref, longest)), tail(longest)))
-        .otherwise(F.concat(F.lit("&"), piece))
+    def char(code: Column) -> Column:
+        windows = F.get(F.from_json(F.lit(_WINDOWS_1252), "array<string>"), (code - 0x80).cast("int"))
+        bad = (F.length(digits) > 8) | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        unseen = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+        unseen = unseen | code.between(0xFDD0, 0xFDEF)
+        return (
+            F.when(bad, "�")
+            .when(code.between(0x80, 0x9F), windows)
+            .when(unseen, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    return let(F.conv(F.left(digits, F.lit(9)), base, 10).cast("long"), char)
+
+
+def _named(ref: Column, names: Column) -> Column:
+    """(text, length) of the longest known name that ``ref`` starts with."""
+
+    def pick(group: Column) -> Column:
+        known = lambda n: F.try_element_at(group, F.left(ref, n))
+        sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.length(ref) - 2, F.lit(0))), lambda i: F.length(ref) - i)
+        return let(
+            F.get(F.filter(sizes, lambda n: known(n).isNotNull()), 0),
+            lambda n: F.when(n.isNotNull(), F.struct(known(n).alias("text"), n.alias("n"))),
+        )
+
+    out = None
+    for name, char in _COMMON.items():
+        hit = F.struct(F.lit(char).alias("text"), F.lit(len(name)).alias("n"))
+        out = F.when(ref == name, hit) if out is None else out.when(ref == name, hit)
+    group = F.try_element_at(names, F.left(ref, F.lit(1)))
+    return out.otherwise(let(group, lambda g: F.when(g.isNotNull(), pick(g))))
+
+
+def _reference(piece: Column, names: Column) -> Column:
+    """(text, length) of the reference that ``piece`` starts with, null when none."""
+
+    def numeric(ref: Column) -> Column:
+        char = F.when(
+            ref.rlike("^#[xX]"), _from_code(F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1), 16)
+        ).otherwise(_from_code(F.regexp_extract(ref, "([0-9]+)", 1), 10))
+        return F.struct(char.alias("text"), F.length(ref).alias("n"))
+
+    return let(
+        F.regexp_extract(piece, _REFERENCE, 1),
+        lambda ref: F.when(ref.startswith("#"), numeric(ref)).when(ref != "", _named(ref, names)),
     )
 
 
-def unescape(text: Column) -> Column:
-    """Character references turned into characters (named, decimal, hex)."""
-    pieces = F.split(text, "&", -1)
-    decoded = F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _decoded))
-    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
+def unescape(text: Column, wait: bool = False) -> Column:
+    """Character references turned into characters (named, decimal, hex). With
+    ``wait`` the ones that would read as markup become stand-ins; see ``plain``."""
+    names = F.from_json(F.lit(_NAMED), "map<string,map<string,string>>")
+    shown = (lambda c: F.translate(c, _MARKUP_CHARS, _WAITING)) if wait else (lambda c: c)
+
+    def decoded(piece: Column) -> Column:
+        return let(
+            _reference(piece, names),
+            lambda r: F.when(
+                r.isNotNull(), F.concat(shown(r["text"]), F.right(piece, F.length(piece) - r["n"]))
+            ).otherwise(F.concat(F.lit("&"), piece)),
+        )
+
+    def whole(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
+        return F.array_join(F.concat(F.slice(pieces, 1, 1), rest), "")
+
+    return F.when(text.contains("&"), let(F.split(text, "&", -1), whole)).otherwise(text)
+
+
+def plain(text: Column) -> Column:
+    """Stand-ins of ``markup`` as the characters they are."""
+    return F.translate(text, _WAITING, _MARKUP_CHARS)
 
 
 # ------------------------------------------------------------------ markup
 def markup(page: Column) -> Column:
-    """HTML without comments and without the bodies of script-like elements."""
+    """HTML without comments and bodies of script-like elements, references
+    decoded once for the whole page. Texts taken from it go through ``plain``."""
     emptied = F.regexp_replace(page, _HIDDEN_BODY, "<$1$2></$1>")
-    return F.replace(emptied, F.lit("<></>"), F.lit(" "))
+    return unescape(F.replace(emptied, F.lit("<></>"), F.lit(" ")), wait=True)
 
 
 def visible_text(page: Column) -> Column:
@@ -127,7 +178,7 @@ def attrs(chunk: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(body, F.lit(_ATTR), 0),
         lambda it: F.struct(
-            F.lower(F.regexp_extract(it, r"^[^\s=]+", 0)).alias("name"), unescape(value(it)).alias("value")
+            F.lower(F.regexp_extract(it, r"^[^\s=]+", 0)).alias("name"), plain(value(it)).alias("value")
         ),
     )
 
@@ -143,7 +194,7 @@ def has_attr(attributes: Column, name: str) -> Column:
 
 def text_of(chunk: Column) -> Column:
     spaced = F.regexp_replace(chunk, _BLOCK_TAG, " ")
-    return collapse(unescape(F.regexp_replace(spaced, _ANY_TAG, "")))
+    return collapse(plain(F.regexp_replace(spaced, _ANY_TAG, "")))
 
 
 def blank(text: Column) -> Column:

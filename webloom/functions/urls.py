@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,12 +15,22 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _clean(url: Column) -> Column:
     """Outer white space off; tabs and line ends inside a URL vanish."""
     trimmed = F.regexp_replace(url, r"(?U)^[\s\x00-\x20]+|[\s\x00-\x20]+$", "")
     return F.translate(trimmed, "\t\r\n", "")
 
 
+def _parts(url: Column) -> Column:
+    """[scheme, host, path, query] with one pass of one regex."""
+    return F.split(F.regexp_replace(url, _SPLIT, "$1\n$2\n$3\n$4"), "\n", 5)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _SPLIT, group)
 
@@ -64,13 +72,15 @@ def host_key(netloc) -> Column:
 
 def registrable(host) -> Column:
     """Rough registrable domain: two labels, three under a known second level."""
-    h = F.split_part(F.lower(_c(host)), F.lit(":"), F.lit(1))
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), F.lit(k)), ".")
-    second = F.get(labels, n - 2)
-    three = second.isin(*seeds.SECOND_LEVEL_LABELS) & (F.length(F.get(labels, n - 1)) <= 3)
-    return F.when(n <= 2, h).when(three, tail(3)).otherwise(tail(2))
+
+    def pick(labels: Column) -> Column:
+        n = F.size(labels)
+        known = F.get(labels, n - 2).isin(*seeds.SECOND_LEVEL_LABELS) & (F.length(F.get(labels, n - 1)) <= 3)
+        keep = F.when(n <= 2, n).when(known, 3).otherwise(2)
+        return F.array_join(F.slice(labels, n - keep + 1, keep), ".")
+
+    bare = F.split_part(F.lower(_c(host)), F.lit(":"), F.lit(1))
+    return let(F.split(bare, r"\."), pick)
 
 
 def authority_part(url) -> Column:
@@ -89,7 +99,7 @@ def same_scope(url, base, allow_subdomains: bool = False) -> Column:
     return key(a) == key(b)
 
 
-def _dot_free(path: Column) -> Column:
+def _fold_dots(path: Column) -> Column:
     """Fold ``.`` and ``..`` segments away, as a browser resolves them."""
     segs = F.split(path, "/")
     folded = F.aggregate(
@@ -99,31 +109,53 @@ def _dot_free(path: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    last = F.element_at(segs, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(path.rlike(_DOTS), F.array_join(closed, "/")).otherwise(path)
+    closing = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.array_join(F.concat(folded, closing), "/")
 
 
-def _resolved(url: Column, base: Column | None) -> tuple[Column, Column, Column, Column]:
-    """(scheme, netloc, path, query) of ``url`` seen from ``base``."""
-    u_scheme, u_net, u_raw, u_query = (F.lower(_part(url, 1)), _part(url, 2), _part(url, 3), _part(url, 4))
-    u_path = _no_params(u_raw)
-    if base is None:
-        return u_scheme, u_net, u_path, u_query
-    b_scheme, b_net, b_raw, b_query = (F.lower(_part(base, 1)), _part(base, 2), _part(base, 3), _part(base, 4))
-    b_path = _no_params(b_raw)
-    foreign = (u_scheme != "") & (u_scheme != b_scheme)
-    standalone = foreign | (u_net != "")
-    stays = u_raw == ""
-    folder = F.regexp_replace(b_path, r"[^/]*$", "")
+def _merge(b_path: Column, u_path: Column) -> Column:
+    """Path of a reference that has no host of its own."""
+    folder = F.regexp_replace(_no_params(b_path), r"[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
-    merged = F.regexp_replace(F.concat(folder, u_path), r"/{2,}", "/")
-    joined = _dot_free(F.when(u_path.startswith("/"), u_path).otherwise(merged))
+    near = F.regexp_replace(F.concat(folder, u_path), r"/{2,}", "/")
+    joined = F.when(u_path.startswith("/"), u_path).otherwise(near)
+    return let(joined, lambda p: F.when(p.rlike(_DOTS), _fold_dots(p)).otherwise(p))
+
+
+def _located(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
+    return F.struct(
+        F.lower(scheme).alias("scheme"), netloc.alias("netloc"), path.alias("path"), query.alias("query")
+    )
+
+
+def _resolved(u: Column, b: Column | None) -> Column:
+    """Where reference ``u`` leads, seen from base ``b`` (both split in parts)."""
+    u_scheme, u_net, u_path, u_query = (F.get(u, i) for i in range(4))
+    own = _located(u_scheme, u_net, _no_params(u_path), u_query)
+    if b is None:
+        return own
+    b_scheme, b_net, b_path, b_query = (F.get(b, i) for i in range(4))
+    foreign = (u_scheme != "") & (F.lower(u_scheme) != F.lower(b_scheme))
     scheme = F.when(u_scheme == "", b_scheme).otherwise(u_scheme)
-    netloc = F.when(standalone, u_net).otherwise(b_net)
-    path = F.when(standalone, u_path).when(stays, b_path).otherwise(joined)
-    query = F.when(~standalone & stays & (u_query == ""), b_query).otherwise(u_query)
-    return scheme, netloc, path, query
+    stays = u_path == ""
+    path = F.when(stays, _no_params(b_path)).otherwise(_merge(b_path, _no_params(u_path)))
+    query = F.when(stays & (u_query == ""), b_query).otherwise(u_query)
+    return (
+        F.when(foreign, own)
+        .when(u_net != "", _located(scheme, u_net, _no_params(u_path), u_query))
+        .otherwise(_located(scheme, b_net, path, query))
+    )
+
+
+def _target(url: Column, base: Column | None, body) -> Column:
+    """``body(location)`` for the place ``url`` leads to."""
+    if base is None:
+        return let(_parts(url), lambda u: let(_resolved(u, None), body))
+    return let(
+        _parts(url), lambda u: let(_parts(_clean(base)), lambda b: let(_resolved(u, b), body))
+    )
 
 
 def _rooted(path: Column) -> Column:
@@ -132,10 +164,16 @@ def _rooted(path: Column) -> Column:
 
 def resolve(base, href) -> Column:
     """Absolute form of ``href`` seen from ``base`` (the fragment is dropped)."""
-    scheme, netloc, path, query = _resolved(_clean(_c(href)), _clean(_c(base)))
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    full_path = F.when((netloc != "") & (path == ""), "").otherwise(_rooted(path))
-    return F.when(netloc != "", F.concat(scheme, F.lit("://"), netloc, full_path, tail)).otherwise(_c(href))
+    ref = _c(href)
+
+    def whole(at: Column) -> Column:
+        path = F.when(at["path"] == "", "").otherwise(_rooted(at["path"]))
+        tail = F.when(at["query"] != "", F.concat(F.lit("?"), at["query"])).otherwise("")
+        return F.when(
+            at["netloc"] != "", F.concat(at["scheme"], F.lit("://"), at["netloc"], path, tail)
+        ).otherwise(ref)
+
+    return _target(_clean(ref), _c(base), whole)
 
 
 def _form_decode(text: Column) -> Column:
@@ -148,36 +186,36 @@ def _form_encode(text: Column) -> Column:
 
 def clean_query(query: Column) -> Column:
     """Query without tracking parameters, blank values kept, re-encoded."""
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    name = lambda p: _form_decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1))
-    value = lambda p: _form_decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1))
-    kept = F.filter(pairs, lambda p: ~F.lower(name(p)).isin(*seeds.TRACKING_PARAMS))
-    return F.when(query == "", "").otherwise(
-        F.array_join(
-            F.transform(kept, lambda p: F.concat(_form_encode(name(p)), F.lit("="), _form_encode(value(p)))), "&"
-        )
+    pair = lambda p: F.struct(
+        _form_decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("k"),
+        _form_decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
+    )
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    kept = F.filter(pairs, lambda kv: ~F.lower(kv["k"]).isin(*seeds.TRACKING_PARAMS))
+    written = F.transform(kept, lambda kv: F.concat(_form_encode(kv["k"]), F.lit("="), _form_encode(kv["v"])))
+    return F.when(query == "", "").otherwise(F.array_join(written, "&"))
+
+
+def _canonical(at: Column) -> Column:
+    path = F.regexp_replace(_rooted(at["path"]), r"(?<=.)/+$", "")
+    path = F.when(path == "", "/").otherwise(path)
+    port = F.when(at["scheme"] == "http", ":80").otherwise(":443")
+    net = F.lower(at["netloc"])
+    net = F.when(net.endswith(port), F.left(net, F.length(net) - F.length(port))).otherwise(net)
+    query = let(clean_query(at["query"]), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(
+        at["scheme"].isin("http", "https") & (at["netloc"] != ""),
+        F.concat(at["scheme"], F.lit("://"), net, path, query),
     )
 
 
 def normalise(url, base=None) -> Column:
     """Absolute, fragment-free, tracking-free URL; null when it is not a page address."""
     raw = _c(url)
-    href = _clean(raw)
-    low = F.lower(href)
-    not_page = reduce(lambda a, b: a | b, [low.startswith(s) for s in seeds.NON_PAGE_SCHEMES])
-    scheme, netloc, path, query = _resolved(href, None if base is None else _clean(_c(base)))
-    path = _rooted(path)
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, r"/+$", "")).otherwise(path)
-    path = F.when(path == "", "/").otherwise(path)
-    net = F.lower(netloc)
-    net = F.when(scheme == "http", F.regexp_replace(net, r":80$", "")).otherwise(
-        F.regexp_replace(net, r":443$", "")
-    )
-    kept = clean_query(query)
-    tail = F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")
-    whole = F.concat(scheme, F.lit("://"), net, path, tail)
-    usable = raw.isNotNull() & (raw != "") & ~not_page & scheme.isin("http", "https") & (netloc != "")
-    return F.when(usable, whole)
+    not_page = "(?i)^(" + "|".join(seeds.NON_PAGE_SCHEMES) + ")"
+    b = None if base is None else _c(base)
+    found = let(_clean(raw), lambda h: F.when(~h.rlike(not_page), _target(h, b, _canonical)))
+    return F.when(raw != "", found)
 
 
 def is_asset(url) -> Column:
@@ -211,9 +249,8 @@ def slug(text) -> Column:
 
 
 def any_match(text: Column, patterns) -> Column:
-    """True when any of the regexes is found; false without patterns."""
-    tests = [text.rlike(f"(?i){p}") for p in patterns]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    """True when any of the regexes is found (one alternation, one pass)."""
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def visit_gate(url, base, allow_subdomains: bool = False, exclude=(), include=(), documents: bool = False) -> Column:
