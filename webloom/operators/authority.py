@@ -25,10 +25,10 @@ def pagerank(domain_edges: DataFrame, damping: float = 0.85, iterations: int = 6
 def lognorm(df: DataFrame, column: str, out: str) -> DataFrame:
     """log10, then min-max to 0..1; all 1 when the values hardly differ. The two
     bounds come from one small aggregate."""
-    logged = F.log10(F.greatest(F.col(column), F.lit(1e-12)))
+    logged = F.when(F.col(column).isNotNull(), F.log10(F.greatest(F.col(column), F.lit(1e-12))))
     lo, hi = df.agg(F.min(logged), F.max(logged)).first()
     if lo is None or hi - lo < 1e-9:
-        return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(1.0)))
+        return df.withColumn(out, F.when(logged.isNotNull(), F.lit(1.0)))
     return df.withColumn(out, (logged - F.lit(lo)) / F.lit(hi - lo))
 
 

@@ -44,11 +44,7 @@ def _joined_hits(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Data
     hold; texts with that piece are candidates and are then searched."""
     normal = docs.select(key, topic_norm(F.col(text)).alias("hay"))
     words = terms.select(F.trim(topic_norm(F.col("term"))).alias("term")).where("term <> ''").distinct()
-    gram = lambda c: F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))
-        )
-    )
+    gram = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?=(.{3}))"), 1))
     pieces = normal.select(key, F.explode(gram(F.col("hay"))).alias("g"))
     counts = pieces.groupBy("g").agg(F.count("*").alias("n"))  # at most 37^3 rows
     long_, short = words.where(F.length("term") >= 3), words.where(F.length("term") < 3)  # short: at most 37^2 rows

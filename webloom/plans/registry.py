@@ -23,9 +23,16 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+_MARK = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
+
+
 def plain_sql(sql: str) -> str:
     """``{table}`` marks become bare table names."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return _MARK.sub(r"\1", sql)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +42,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shaped(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows shaped from the given tables; ``{table}`` marks name them. The same
     text, unmarked, shapes them in the check SQL."""
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(_MARK.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))

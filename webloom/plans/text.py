@@ -12,7 +12,7 @@ from webloom.operators import topics as T
 from webloom.plans.registry import query, shaped, table
 from webloom.sources.pages import spread
 
-WORD_RX = "\\p{L}+(?:['’]\\p{L}+)*"
+WORD_RX = "\\p{L}+(?:[''’]\\p{L}+)*"
 STOP = "(" + ", ".join(f"'{w}'" for w in seeds.ENGLISH_STOP_WORDS) + ")"
 TERMS = ["the", "tion", "in", "ation", "hand", "oner re", "zzz"]
 
@@ -21,7 +21,11 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("doc_words", f"SELECT doc_id, len(regexp_extract_all(text, '{WORD_RX}')) AS words, array_to_string(list_distinct(list_filter(regexp_extract_all(text, '{WORD_RX}'), lambda w: contains(w, ''''))), ',') AS quoted FROM documents".replace("list_distinct", "list_sort(list_distinct").replace("'''')))", "''''))))"))
+@query(
+    "doc_words",
+    f"""SELECT doc_id, len(ws) AS words, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: contains(w, chr(39))))), ',') AS quoted
+FROM (SELECT doc_id, regexp_extract_all(text, '{WORD_RX}') AS ws FROM documents)""",
+)
 def doc_words(spark, sf):
     w = X.words(F.col("text"))
     marked = F.array_sort(F.array_distinct(F.filter(w, lambda x: x.contains("'"))))
@@ -42,11 +46,11 @@ def english_gate(spark, sf):
 
 # the dictionary of the check queries: words that do stand in the texts
 BOOK_WORDS = """SELECT * FROM (VALUES ('ther', 'there'), ('onthe', 'on the'), ('andthe', 'and the'), ('inger', 'finger'), ('atre', 'theatre'),
-  ('reha', 'rehab'), ('thersh', 'thrash'), ('ered', 'erred')) AS b(wrong, right)"""
+  ('reha', 'rehab'), ('thersh', 'thrash'), ('ered', 'erred')) AS b(wrong, correct)"""
 
 HITS = f"""WITH book AS ({BOOK_WORDS}), w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_RX}') AS ws FROM documents WHERE lang = 'en'),
 e AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM w WHERE len(ws) > 0),
-h AS (SELECT doc_id, wrong AS low, count(*) AS times, arg_min(word, pos) AS shown, any_value("right") AS fix FROM e JOIN book ON lower(word) = wrong GROUP BY 1, 2),
+h AS (SELECT doc_id, wrong AS low, count(*) AS times, arg_min(word, pos) AS shown, any_value(correct) AS fix FROM e JOIN book ON lower(word) = wrong GROUP BY 1, 2),
 s AS (SELECT doc_id, low, times, shown, CASE WHEN shown = upper(shown) AND length(shown) > 1 THEN upper(fix)
   WHEN substr(shown, 1, 1) = upper(substr(shown, 1, 1)) THEN upper(substr(fix, 1, 1)) || substr(fix, 2) ELSE fix END AS suggestion FROM h)"""
 
@@ -54,7 +58,7 @@ s AS (SELECT doc_id, low, times, shown, CASE WHEN shown = upper(shown) AND lengt
 @query("misspellings", HITS + " SELECT doc_id, low, shown, suggestion, times FROM s")
 def misspellings(spark, sf):
     eng = S.english(docs(spark, sf).where("lang = 'en'"))
-    return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS)).select("doc_id", "low", "shown", "suggestion", "times")
+    return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS).withColumnRenamed("correct", "right")).select("doc_id", "low", "shown", "suggestion", "times")
 
 
 @query(
@@ -68,7 +72,7 @@ SELECT doc_id, low, CASE WHEN a > 0 THEN '…' ELSE '' END || trim(regexp_replac
 )
 def misspelling_context(spark, sf):
     eng = S.english(docs(spark, sf).where("lang = 'en'"))
-    return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS)).select("doc_id", "low", "context")
+    return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS).withColumnRenamed("correct", "right")).select("doc_id", "low", "context")
 
 
 # review texts shaped from orders, with slips in known places
@@ -198,10 +202,10 @@ REMARKS = """SELECT o_orderkey AS doc_id, 'Customer ' || CAST(o_custkey AS STRIN
   WHEN 5 THEN 'null value shown' WHEN 6 THEN 'template placeholder' WHEN 7 THEN 'Error text' ELSE 'test placeholder' END AS label,
   substr(text, greatest(instr(text, m) - 60, 1)::BIGINT, 180) AS excerpt FROM (SELECT doc_id, text, doc_id % 12 AS k,
   CASE doc_id % 12 WHEN 0 THEN 'Lorem IPSUM' WHEN 1 THEN ' undefined.' WHEN 2 THEN ' NaN!' WHEN 3 THEN '[object Object]' WHEN 4 THEN 'TODO:' WHEN 5 THEN ' null,'
-  WHEN 6 THEN '{' || '{ user.name }' || '}' WHEN 7 THEN 'Fatal error' WHEN 8 THEN 'Coming Soon' END AS m FROM (""" + REMARKS + """)) WHERE k <= 8""",
+  WHEN 6 THEN '{{ user.name }}' WHEN 7 THEN 'Fatal error' WHEN 8 THEN 'Coming Soon' END AS m FROM (""" + REMARKS + """)) WHERE k <= 8""",
 )
 def junk_text(spark, sf):
-    rows = shaped(spark, sf, REMARKS.replace("{{ user.name }}", "' || '{' || '{ user.name }' || '}' || '"))
+    rows = shaped(spark, sf, REMARKS)
     return rows.select("doc_id", F.explode(X.junk_hits(F.col("text"))).alias("j")).select("doc_id", "j.label", "j.excerpt")
 
 
@@ -229,7 +233,7 @@ def answer_messages(spark, sf):
 FROM (SELECT doc_id, doc_id % 12 AS k, text FROM (""" + REMARKS + """)) WHERE k >= 7""",
 )
 def error_excerpts(spark, sf):
-    rows = shaped(spark, sf, REMARKS.replace("{{ user.name }}", "x")).where("doc_id % 12 >= 7")
+    rows = shaped(spark, sf, REMARKS).where("doc_id % 12 >= 7")
     return rows.select("doc_id", X.error_excerpt(F.col("text")).alias("excerpt"))
 
 
