@@ -90,6 +90,8 @@ def build_session(app: str = "webloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # plans here are large; recording a call site per expression doubles their build time
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
