@@ -128,12 +128,27 @@ def sitemap_urls(fetches: DataFrame, base: Column | None = None, nested: int = 5
 def offline_stops(results: DataFrame, streak: int = 3) -> DataFrame:
     """Where each run stops because the machine is offline: (run, stop_seq).
 
-    ``results``: run, seq, failed, error. A streak of failures with offline errors
-    is one island between resets; the stop is the streak-th row of the first island
-    long enough: a window that looks back ``streak`` rows finds it.
+    ``results``: run, seq, failed, error. The stop is the row at which the streak of
+    failures with offline errors gets long enough; anything else resets it. A run is
+    cut into slots of ``seq`` so that no run is one task's work: rows are counted
+    inside a slot, and slot totals tell how long a streak comes in from before.
     """
-    off = F.coalesce(F.col("failed") & P.looks_offline(F.col("error")), F.lit(False)).cast("int")
-    rows = results.select("run", "seq", off.alias("off"))
-    w = Window.partitionBy("run").orderBy("seq").rowsBetween(-(streak - 1), 0)
-    hit = rows.withColumn("n", F.sum("off").over(w)).where(F.col("n") == streak)
+    off = F.coalesce(F.col("failed") & P.looks_offline(F.col("error")), F.lit(False))
+    rows = results.select("run", "seq", off.alias("off"), F.floor(F.col("seq") / F.lit(SLOT_ROWS)).alias("slot"))
+    w = Window.partitionBy("run", "slot").orderBy("seq")
+    rows = rows.withColumn("n", F.row_number().over(w))
+    rows = rows.withColumn("reset", F.max(F.when(~F.col("off"), F.col("n"))).over(w))
+    slots = rows.groupBy("run", "slot").agg(
+        (F.max("n") - F.coalesce(F.max("reset"), F.lit(0))).alias("tail"), F.max("reset").isNotNull().cast("int").alias("resets")
+    )
+    by_slot = Window.partitionBy("run").orderBy("slot")
+    island = slots.withColumn("island", F.sum("resets").over(by_slot))
+    held = island.withColumn("held", F.sum("tail").over(Window.partitionBy("run", "island").orderBy("slot")))
+    carried = held.select("run", "slot", F.coalesce(F.lag("held").over(by_slot), F.lit(0)).alias("carried"))
+    length = F.when(F.col("reset").isNull(), F.col("n") + F.col("carried")).otherwise(F.col("n") - F.col("reset"))
+    hit = rows.join(carried, ["run", "slot"]).where(F.col("off") & (length == streak))
     return hit.groupBy("run").agg(F.min("seq").alias("stop_seq"))
+
+
+#: width of a slot of results, in units of ``seq``
+SLOT_ROWS = 1_000

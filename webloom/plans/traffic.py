@@ -41,7 +41,7 @@ def failed_requests(spark, sf):
     return N.failed_requests(shaped(spark, sf, FAILED)).select("seq", "url", "title", F.col("evidence")["failure"].alias("failure"))
 
 
-RESPONSES = """SELECT 'https://shop.example.com/c/' || CAST(o_custkey % 50 AS STRING) AS page_url, o_orderkey AS seq, 'GET' AS method, CAST(o_totalprice AS BIGINT) AS size,
+RESPONSES = """SELECT 'https://shop.example.com/c/' || CAST(o_custkey % 50 AS STRING) AS page_url, o_orderkey AS seq, 'GET' AS method, CAST(floor(o_totalprice) AS BIGINT) AS size,
   CASE o_orderkey % 7 WHEN 0 THEN 'https://api.example.com/v1/session' WHEN 1 THEN 'https://api.example.com/list?q=' || CAST(o_custkey % 5 AS STRING)
     ELSE 'https://api.example.com/item/' || CAST(o_custkey % 20 AS STRING) END AS url,
   CASE o_orderkey % 11 WHEN 0 THEN 401 WHEN 1 THEN 404 WHEN 2 THEN 500 WHEN 3 THEN 429 WHEN 4 THEN 403 WHEN 5 THEN 422 ELSE 200 END AS status,
