@@ -70,6 +70,10 @@ def harvest_facts(harvest: DataFrame) -> DataFrame:
     return harvest.select("page_id", F.explode(items).alias("i")).select("page_id", "i.*")
 
 
+def _finds(rx: str):
+    return lambda value: value.rlike(rx)
+
+
 def detect_tech(harvest: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """(page_id, tech) by direct evidence. Fields with a key (headers, cookies, meta,
     globals) meet the fingerprints on (field, key); for the others every technology
@@ -85,8 +89,7 @@ def detect_tech(harvest: DataFrame, fingerprints: DataFrame) -> DataFrame:
     texts = {"script_src": F.col("script_src"), "script": F.col("scripts"), "url": F.array("url"), "html": F.array("html")}
     tests = []
     for r in sorted(free.collect(), key=lambda r: (r.field == "html", r.tech, r.field)):
-        any_of = "|".join(f"(?:{x})" for x in r.rx)
-        tests.append(F.when(F.exists(texts[r.field], lambda v, rx=any_of: v.rlike(rx)), F.lit(r.tech)))
+        tests.append(F.when(F.exists(texts[r.field], _finds("|".join(f"(?:{x})" for x in r.rx))), F.lit(r.tech)))
     if tests:
         in_row = harvest.select("page_id", F.explode(F.array_distinct(F.filter(F.array(*tests), lambda t: t.isNotNull()))).alias("tech"))
         found = found.unionByName(in_row)
