@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webloom.operators import authority as A
 from webloom.operators import index as I
 from webloom.plans.registry import query, shaped
+from webloom.session import cut_lineage
 
 LINKS = """
 SELECT 'https://nation' || CAST(c_nationkey AS STRING) || '.com/o/' || CAST(o_orderkey AS STRING) AS source,
@@ -98,8 +99,14 @@ def domains(spark, sf) -> DataFrame:
     return I.fold_domain_status(known, I.classify_crawl(shaped(spark, sf, RESULTS)))
 
 
-def board(spark, sf) -> DataFrame:
-    return A.leaderboard(edges(spark, sf), domains(spark, sf))
+def stored_edges(spark, sf) -> DataFrame:
+    """The merged edges as a written table, as an index that several reads share."""
+    return cut_lineage(edges(spark, sf), "index-edges")
+
+
+def board(spark, sf, stored: DataFrame | None = None) -> DataFrame:
+    e = stored_edges(spark, sf) if stored is None else stored
+    return cut_lineage(A.leaderboard(e, cut_lineage(domains(spark, sf), "index-domains")), "board")
 
 
 # ------------------------------------------------------------------ merges
@@ -241,7 +248,7 @@ def frontier(spark, sf):
 AND target_domain IN (SELECT domain FROM wait ORDER BY refdoms DESC, domain LIMIT 20) GROUP BY 1, 2""",
 )
 def frontier_anchors(spark, sf):
-    e = edges(spark, sf)
+    e = stored_edges(spark, sf)
     return I.frontier_anchors(e, I.frontier(e, domains(spark, sf), limit=20, min_referring=2))
 
 
@@ -259,7 +266,7 @@ SELECT domain, url, refdoms, CASE WHEN k = 'take' AND row_number() OVER (PARTITI
 )
 def frontier_expand(spark, sf):
     return I.expand(
-        edges(spark, sf), domains(spark, sf), 2, terms=["blue ring", "Steel", "nation1"], seeds_given=["nation11.com"], min_referring=2
+        stored_edges(spark, sf), domains(spark, sf), 2, terms=["blue ring", "Steel", "nation1"], seeds_given=["nation11.com"], min_referring=2
     )
 
 
@@ -305,8 +312,8 @@ top AS (SELECT refs.domain, other, links, follow, coalesce(b.authority, 0) AS au
 
 @query("domain_detail_referring", "WITH RECURSIVE " + IDX + DETAIL + " SELECT * FROM top")
 def domain_detail_referring(spark, sf):
-    e = edges(spark, sf)
-    return I.detail_lists(e, board(spark, sf))["referring"]
+    e = stored_edges(spark, sf)
+    return I.detail_lists(e, board(spark, sf, e))["referring"]
 
 
 @query(
@@ -317,7 +324,8 @@ def domain_detail_referring(spark, sf):
   FROM idx WHERE source_domain <> target_domain GROUP BY 1, 2 QUALIFY place <= 10) x LEFT JOIN board b ON b.domain = x.other""",
 )
 def domain_detail_outbound(spark, sf):
-    return I.detail_lists(edges(spark, sf), board(spark, sf), k=10)["outbound"]
+    e = stored_edges(spark, sf)
+    return I.detail_lists(e, board(spark, sf, e), k=10)["outbound"]
 
 
 @query(
@@ -342,8 +350,9 @@ SELECT riv.other AS domain, max(riv.authority) AS authority, count(DISTINCT riv.
 FROM riv GROUP BY riv.other ORDER BY rivals DESC, authority DESC, domain LIMIT 40""",
 )
 def link_intersect(spark, sf):
-    b = board(spark, sf)
-    lists = I.detail_lists(edges(spark, sf), b, k=5)
+    e = stored_edges(spark, sf)
+    b = board(spark, sf, e)
+    lists = I.detail_lists(e, b, k=5)
     out = A.link_intersect(lists["referring"], b, "nation3.com")
     return out.withColumn("first_rivals", F.array_join("first_rivals", ","))
 

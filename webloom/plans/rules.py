@@ -80,7 +80,7 @@ UNION ALL SELECT k, url, 'info', 'Accessibility', 'Heading levels are skipped',
 
 
 def shop(spark, sf):
-    return shaped(spark, sf, SHOP)
+    return spread(shaped(spark, sf, SHOP))
 
 
 def shop_findings(spark, sf):

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from webloom.operators import tech as T
 from webloom.plans.registry import query, shaped, table
+from webloom.sources.pages import spread
 
 HARVEST = """SELECT o_orderkey AS page_id, 'https://c' || CAST(o_custkey AS STRING) || '.example.com/shop' AS url, o_orderkey % 2 = 0 AS nginx, o_orderkey % 3 = 0 AS session, o_orderkey % 5 = 0 AS jq,
-  o_orderkey % 7 = 0 AS meta_gen, o_orderkey % 11 = 0 AS glob, '<html><body class="' || CASE WHEN o_orderkey % 13 = 0 THEN 'Framework-X' ELSE o_orderpriority END || '"></body></html>' AS html FROM {orders}"""
+  o_orderkey % 7 = 0 AS meta_gen, o_orderkey % 11 = 0 AS has_global, '<html><body class="' || CASE WHEN o_orderkey % 13 = 0 THEN 'Framework-X' ELSE o_orderpriority END || '"></body></html>' AS html FROM {orders}"""
 FINGERPRINTS = [
     ("Nginx", "header", "Server", "^nginx(?:/([\\d.]+))?\\;version:\\1"), ("PHP", "cookie", "PHPSESSID", ""), ("jQuery", "script_src", None, "jquery[.-]"),
     ("Pressly", "meta", "Generator", "pressly"), ("Pressly", "html", None, "class=\"press"), ("Reactor", "js", "Reactor", ""), ("Short", "js", "$", ""),
@@ -18,13 +19,13 @@ IMPLIES = [("Pressly", "PHP\\;confidence:50"), ("FrameX", "Pressly"), ("PHP", "P
 
 
 def harvest(spark, sf):
-    h = shaped(spark, sf, HARVEST)
+    h = spread(shaped(spark, sf, HARVEST))
     one = lambda flag, k, v: F.map_from_entries(F.filter(F.array(F.when(F.col(flag), F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")))), lambda e: e.isNotNull()))
     only = lambda flag, v: F.filter(F.array(F.when(F.col(flag), F.lit(v))), lambda e: e.isNotNull())
     return h.select(
         "page_id", "url", "html", one("nginx", "server", "nginx/1.2").alias("headers"), one("meta_gen", "GENERATOR", "Pressly 5").alias("meta"),
         F.when(F.col("session"), "a=b; PHPSESSID=xyz; c").otherwise("a=b").alias("cookies"), only("jq", "/js/JQuery.min.js").alias("script_src"),
-        F.array().cast("array<string>").alias("scripts"), F.when(F.col("glob"), F.array(F.lit("Reactor"), F.lit("$"))).alias("globals"),
+        F.array().cast("array<string>").alias("scripts"), F.when(F.col("has_global"), F.array(F.lit("Reactor"), F.lit("$"))).alias("globals"),
     )
 
 
@@ -33,7 +34,7 @@ def book(spark):
 
 
 FOUND = "h AS (" + HARVEST + """), f AS (SELECT page_id, 'Nginx' AS tech FROM h WHERE nginx UNION SELECT page_id, 'PHP' FROM h WHERE session UNION SELECT page_id, 'jQuery' FROM h WHERE jq
-  UNION SELECT page_id, 'Pressly' FROM h WHERE meta_gen UNION SELECT page_id, 'Reactor' FROM h WHERE glob UNION SELECT page_id, 'FrameX' FROM h WHERE page_id % 13 = 0 UNION SELECT page_id, 'Shop' FROM h)"""
+  UNION SELECT page_id, 'Pressly' FROM h WHERE meta_gen UNION SELECT page_id, 'Reactor' FROM h WHERE has_global UNION SELECT page_id, 'FrameX' FROM h WHERE page_id % 13 = 0 UNION SELECT page_id, 'Shop' FROM h)"""
 ALL = FOUND + """, a AS (SELECT * FROM f UNION SELECT page_id, 'Pressly' FROM f WHERE tech = 'FrameX' UNION SELECT page_id, 'PHP' FROM f WHERE tech IN ('FrameX', 'Pressly')
   UNION SELECT page_id, 'jQuery' FROM f WHERE tech = 'Reactor'),
 c AS (SELECT page_id, tech, CASE tech WHEN 'Nginx' THEN 'Web servers' WHEN 'PHP' THEN 'Programming languages' WHEN 'Pressly' THEN 'CMS' WHEN 'Shop' THEN 'Ecommerce' ELSE 'Other' END AS category FROM a)"""
