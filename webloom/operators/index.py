@@ -24,13 +24,13 @@ def _flag(c) -> Column:
 
 
 # ------------------------------------------------------------------ merges
-def shape_batch(batch: DataFrame, now: int) -> DataFrame:
+def shape_batch(batch: DataFrame, now: int, domains: bool = True) -> DataFrame:
     """A batch of edges (source, target, anchor, internal, nofollow, seq) as index rows."""
+    named = [U.domain_of(e).alias(f"{e}_domain") for e in ("source", "target")] if domains else []
     return batch.where("source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> ''").select(
         F.col("source").alias("source_url"),
         F.col("target").alias("target_url"),
-        U.domain_of("source").alias("source_domain"),
-        U.domain_of("target").alias("target_domain"),
+        *named,
         F.left(F.coalesce("anchor", F.lit("")), F.lit(200)).alias("anchor"),
         _flag("internal").alias("internal"),
         _flag("nofollow").alias("nofollow"),
@@ -45,14 +45,17 @@ def merge_edges(index: DataFrame, batch: DataFrame, now: int) -> DataFrame:
     internal flag and first_seen; anchor, nofollow and last_seen come from the
     latest row. One shuffle on (source, target), combined on the map side."""
     stored = index.select(*EDGE_COLUMNS, F.struct(F.lit(0).alias("gen"), F.lit(0).cast("long").alias("seq")).alias("at"))
-    rows = stored.unionByName(shape_batch(batch, now))
+    fresh = shape_batch(batch, now, domains=False)
+    rows = stored.unionByName(fresh, allowMissingColumns=True)
     first = F.min_by(F.struct("source_domain", "target_domain", "internal", "first_seen"), "at")
     last = F.max_by(F.struct("anchor", "nofollow", "last_seen"), "at")
     merged = rows.groupBy("source_url", "target_url").agg(
         first.alias("f"), last.alias("l"), (F.min("at.gen") == 1).alias("is_new")
     )
+    # a domain follows from its address: new pairs get theirs here, once per pair
+    domain = lambda end: F.coalesce(F.col(f"f.{end}_domain"), U.domain_of(f"{end}_url")).alias(f"{end}_domain")
     return merged.select(
-        "source_url", "target_url", "f.source_domain", "f.target_domain", "l.anchor", "f.internal", "l.nofollow",
+        "source_url", "target_url", domain("source"), domain("target"), "l.anchor", "f.internal", "l.nofollow",
         "f.first_seen", "l.last_seen", "is_new",
     )
 
