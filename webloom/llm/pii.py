@@ -59,15 +59,19 @@ LATIN = "abecmoppxykijshdqwABEKMHOPCTXIJSoaivpuABEHIKMNOPTYXZ"
 INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED_RUN = re.compile(
-    rf"(?<![^\W_])(?:{SPELLED}|[0-9])(?:[ ,.\-]{{1,2}}(?:{SPELLED}|[0-9]+)(?![^\W_])){{{MIN_SPELLED - 1},}}", re.IGNORECASE)
+    rf"(?<![^\W_])(?:{SPELLED}|[0-9])(?:[ ,.\-]{{1,3}}(?:{SPELLED}|[0-9]+)(?![^\W_])){{{MIN_SPELLED - 1},}}", re.IGNORECASE)
 NUMBER_WORD = re.compile(rf"(?<![^\W_])(?:{SPELLED})(?![^\W_])", re.IGNORECASE)
-BRACKETED = re.compile(r"\s*([\[({<])\s*(at|dot|punkt|point|punto|arroba)\s*[\])}>]\s*", re.IGNORECASE)
+BRACKETED = re.compile(r"\s?([\[({<])\s?(at|dot|punkt|point|punto|arroba|[@.])\s?[\])}>]\s?", re.IGNORECASE)
+SPOKEN_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.IGNORECASE)
+SPOKEN_PLUS = re.compile(r"(?:\+|(?<![^\W_])plus)\s+(?=[0-9])", re.IGNORECASE)
+#: Letters that stand for digits between two digits.
+LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
 SPOKEN = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9_%+-]{1,64}){0,6}(?:\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}"
     r"(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,6}?(?:\s{1,3}dot\s{1,3}|\.)"
     r"(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk|co)(?![A-Za-z0-9-])", re.IGNORECASE)
 SPOKEN_PART = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
-SIGNS = {"at": "@", "arroba": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+SIGNS = {"@": "@", ".": ".", "at": "@", "arroba": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 
 
 @cache
@@ -168,10 +172,22 @@ def fold_digits(tape: Tape) -> None:
             last = b
     if edits:
         tape.rewrite(edits)
+    edits = [(m.start(), m.end(), "+") for m in SPOKEN_PLUS.finditer(tape.text)]
+    if edits:
+        tape.rewrite(edits)
+
+
+def fold_letters(tape: Tape) -> None:
+    edits = [(m.start(), m.end(), "0" if m.group() in "Oo" else "1") for m in LETTER_DIGIT.finditer(tape.text)]
+    if edits:
+        tape.rewrite(edits)
 
 
 def fold_signs(tape: Tape) -> None:
     edits = [(m.start(), m.end(), SIGNS[m.group(2).lower()]) for m in BRACKETED.finditer(tape.text)]
+    if edits:
+        tape.rewrite(edits)
+    edits = [(m.start(), m.end(), ".") for m in SPOKEN_DOT.finditer(tape.text)]
     if edits:
         tape.rewrite(edits)
     edits = []
@@ -184,7 +200,7 @@ def fold_signs(tape: Tape) -> None:
 
 
 #: A text none of these occur in is left as it is by every transducer.
-SPOKEN_SIGN = re.compile(r"\bdot\b|\barroba\b|[\[({<]\s*(?:at|punkt|point|punto)\s*[\])}>]", re.IGNORECASE)
+SPOKEN_SIGN = re.compile(r"\bdot\b|\barroba\b|[\[({<]\s*(?:at|punkt|point|punto|[@.])\s*[\])}>]", re.IGNORECASE)
 
 
 def hidden_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -194,6 +210,8 @@ def hidden_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int
         fold_homoglyphs(tape)
     if NUMBER_WORD.search(tape.text):
         fold_digits(tape)
+    if LETTER_DIGIT.search(tape.text):
+        fold_letters(tape)
     if SPOKEN_SIGN.search(tape.text):
         fold_signs(tape)
     if not tape.changed.any():
