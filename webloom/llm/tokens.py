@@ -8,6 +8,8 @@ task. Texts in which white space stands next to a space are encoded whole.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -15,10 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a task remembers; beyond that it starts anew. Only speed depends on it.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 600_000
 #: White space next to a space, or a space at an end.
 UNSAFE = "^ | $|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] | [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
 
+#: Letters, then punctuation, then the end or a new line.
+SEAM = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)(\n.*)?", re.DOTALL)
+
 
 @cache
 def load_tokenizer(path: str):
@@ -43,23 +48,37 @@ class PieceEncoder:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.bounds: list[int] = [0]
+        self.ids = array("I")
+        self.bounds = array("q", [0])
+
+    def learn(self, pieces: list[str]) -> None:
+        known, ids, bounds = self.known, self.ids, self.bounds
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[piece] = len(bounds) - 1
+                ids.extend(e.ids)
+                bounds.append(len(ids))
 
     def places(self, pieces: list[str]) -> np.ndarray:
-        """Number of each piece among the known ones; unknown ones are encoded first."""
+        """Number of each piece among the known ones; unknown ones are encoded first, in
+        parts where letters end before punctuation, as such a place is always a seam."""
         known = self.known
         fresh = [p for p in pieces if p not in known]
+        if len(known) + len(fresh) > CACHE_PIECES and known:
+            self.reset()
+            known, fresh = self.known, pieces
         if fresh:
-            if len(known) + len(fresh) > CACHE_PIECES and known:
-                self.reset()
-                return self.places(pieces)
-            for i in range(0, len(fresh), 4096):
-                some = fresh[i : i + 4096]
-                for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[piece] = len(self.bounds) - 1
-                    self.ids += e.ids
-                    self.bounds.append(len(self.ids))
+            seams = {p: [g for g in m.groups() if g] for p in fresh if (m := SEAM.fullmatch(p))}
+            parts = {g for groups in seams.values() for g in groups}
+            self.learn([p for p in fresh if p not in seams and p not in parts] + [g for g in parts if g not in known])
+            ids, bounds = self.ids, self.bounds
+            for piece, groups in seams.items():
+                for g in groups:
+                    at = known[g]
+                    ids.extend(ids[bounds[at] : bounds[at + 1]])
+                known[piece] = len(bounds) - 1
+                bounds.append(len(ids))
         return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +96,9 @@ class PieceEncoder:
         strings = coded.dictionary.to_pylist()
         pieces = [strings[k >> 1] if k & 1 else " " + strings[k >> 1] for k in kinds.tolist()]
         at = self.places(pieces)
-        bounds = np.asarray(self.bounds)
+        bounds = np.array(self.bounds)
         starts, lengths = bounds[at][index], np.diff(bounds)[at][index]
-        ids = gather(np.asarray(self.ids, dtype=np.uint32), starts, lengths)
+        ids = gather(np.array(self.ids, dtype=np.uint32), starts, lengths)
         offsets = np.concatenate(([0], np.cumsum(lengths)))[ends]
         if not whole.any():
             return ids, offsets
