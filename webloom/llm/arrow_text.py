@@ -33,7 +33,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         while start < batch.num_rows:
             base = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
-            yield batch.slice(start, stop - start)
+            # a copy: some Arrow kernels misread arrays that start inside a buffer
+            yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
 
@@ -58,14 +59,15 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     dictionary = coded.dictionary
+    if lower:
+        low = pc.ascii_lower(dictionary).dictionary_encode()
+        codes, dictionary = low.indices.to_numpy(zero_copy_only=False)[codes], low.dictionary
     empty = np.flatnonzero(pc.binary_length(dictionary).to_numpy(zero_copy_only=False) == 0)
     if len(empty):
         keep = codes != empty[0]
