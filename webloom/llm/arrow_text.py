@@ -97,8 +97,7 @@ def window_hashes(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """
     if len(hashes) < width:
         return np.zeros(0, np.uint64)
-    start = np.uint64(seed)
-    done, total, span, power = 0, None, 1, mix(hashes + start * MIX)
+    done, total, span, power = 0, None, 1, mix(hashes + np.uint64(seed * int(MIX) % 2**64))
     left = width
     while left:
         if left & 1:

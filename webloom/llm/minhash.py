@@ -5,19 +5,23 @@ kept with their lowest ``BITS`` bits; two documents of similarity s differ in a
 1 - s of the places (up to 2^-BITS).
 
 Join. The places fall into ``CHUNKS`` chunks. For a distance threshold t the pigeonhole
-principle gives t = CHUNKS * r + e: some chunk differs in at most r places, and one of the
-first e + 1 chunks in at most r or one of the others in at most r - 1. Allowed errors are
-enumerated by leaving places out: a chunk with r allowed errors is indexed once for each
-choice of r places left out. So every pair with distance <= ``MAX_DISTANCE`` meets in some
-bucket. At similarity 0.75 a distance beyond it has a probability below 1e-5.
+principle gives t = CHUNKS * r + e: one of the first e + 1 chunks differs in at most r
+places or one of the others in at most r - 1. Allowed errors are enumerated by leaving
+places out: a chunk with r allowed errors is indexed once for each choice of r places left
+out. So every pair with distance <= ``MAX_DISTANCE`` meets in some bucket. Pairs beyond it
+mostly meet too: at similarity 0.75 a chunk of 6 has at most one error with probability
+0.53, so all 16 chunks miss a pair with probability 5e-6, at 0.8 with 4e-8.
 
 Links. Documents with one set are one class and are compared once. A bucket never emits
-all its pairs: each class meets the bucket's smallest class (as many rows as the bucket
-has); confirmed links join classes to components; only buckets that still hold several
-components compare the classes outside their largest component with the rest. A bucket
-where those are more than ``WIDE`` is first split by a second chunk, by the same
-principle, again and again while chunks last. Links are confirmed on full sets. Links
-inside one component are not all listed: component_id does not depend on them.
+all its pairs. First, classes that agree in a whole chunk meet the smallest class of that
+bucket (as many rows as the bucket has), and confirmed links join them to components, so
+that a group of a thousand near copies is one component. Then only buckets that still hold
+several components compare the classes outside their largest component with the rest. A
+bucket that would give more than ``WIDE`` pairs is first split by a second chunk, by the
+same principle, again and again while chunks last. Candidates whose signatures differ in
+more than ``FAR`` places go (similarity 0.75 does so with probability below 1e-7); links are
+confirmed on full sets. Links inside one component are not all listed: component_id does
+not depend on them.
 
 Defined cases: null, empty and white-space texts have no shingles, link with nothing and
 are kept; fewer than five words are one shingle of the whole sequence; documents with one
@@ -39,14 +43,17 @@ from pyspark.sql import functions as F
 from webloom.llm.arrow_text import MIX, mix, signed, slices, split_words, string_hashes, window_hashes, window_starts
 from webloom.llm.components import connected_components
 from webloom.llm.stages import Stages
+from webloom.session import broadcast_if_small
 
 WIDTH = 5
 HASHES = 96
 BITS = 16
-CHUNKS = 24
-MAX_DISTANCE = 43
-#: Classes of other components in one bucket beyond which it is split by a second chunk.
-WIDE = 200
+CHUNKS = 16
+MAX_DISTANCE = 31
+#: Places that may differ in a candidate that is confirmed on full sets.
+FAR = 48
+#: Pairs of one bucket beyond which it is split by a second chunk.
+WIDE = 20_000
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -130,7 +137,7 @@ def bucket_keys(sigs: np.ndarray, chunks: list[int], distance: int = MAX_DISTANC
             continue
         part = sigs[:, chunk * width : (chunk + 1) * width].astype(np.uint64)
         for left in combinations(range(width), max(width - errors, 0)):
-            key = np.full(len(sigs), np.uint64(chunk * 256 + sum(1 << p for p in left)) * MIX1)
+            key = np.full(len(sigs), (chunk * 256 + sum(1 << p for p in left)) * int(MIX1) % 2**64, np.uint64)
             for p in left:
                 key = mix(key * MIX + part[:, p])
             keys.append(key)
@@ -154,18 +161,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(distance: int):
+    """Rows (class, comp, key) of every signature; a key's lowest bits are its chunk."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)
+                keys, of = bucket_keys(sigs, list(range(CHUNKS)), distance)
+                keys = np.ascontiguousarray(keys & ~np.uint64(CHUNKS - 1) | of.astype(np.uint64))
+                pick = np.repeat(np.arange(part.num_rows), keys.shape[1])
+                yield pa.RecordBatch.from_pydict({
+                    "class": part.column("class").take(pa.array(pick)), "comp": part.column("comp").take(pa.array(pick)),
+                    "key": pa.array(signed(keys.reshape(-1)))})
+
+    return task
+
+
+def _not_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, -1)
-            keys, _ = bucket_keys(sigs, list(range(CHUNKS)))
-            yield pa.RecordBatch.from_pydict({
-                "class": pa.array(np.repeat(part.column("class").to_numpy(), keys.shape[1])),
-                "n": pa.array(np.repeat(part.column("n").to_numpy(), keys.shape[1])),
-                "key": pa.array(signed(np.ascontiguousarray(keys).reshape(-1))),
-                "chunk": pa.array(np.tile(_, len(keys)).astype(np.int32)),
-            })
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(part.num_rows, -1) for c in ("sa", "sb"))
+            yield part.filter(pa.array((one != two).sum(1) <= FAR)).select(["a", "b", "na", "nb"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +199,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = keys.shape[1]
             pick = pa.array(np.repeat(np.arange(rows.num_rows), m))
             yield pa.RecordBatch.from_pydict({
-                "class": rows.column("class").take(pick), "n": rows.column("n").take(pick), "key": pa.array(signed(keys.reshape(-1))),
+                "class": rows.column("class").take(pick), "comp": rows.column("comp").take(pick), "n": rows.column("n").take(pick), "key": pa.array(signed(keys.reshape(-1))),
                 "used": pa.array([[*used, c] for _ in range(rows.num_rows) for c in of.tolist()], pa.list_(pa.int32())),
             })
 
@@ -208,12 +227,14 @@ SIZES_FIT = f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Stages) -> DataFrame:
     """The pairs (a, b, na, nb) of classes whose full sets are similar enough."""
-    pairs = stages.write(pairs.where(SIZES_FIT), "pairs")
+    sigs = classes.select("class", "sig")
+    near = stages.write(pairs.where(SIZES_FIT).distinct(), "candidates").join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+    pairs = stages.write(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_not_far, "a long, b long, na long, nb long"), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.join(wanted, "class", "left_semi").select("doc_id", F.col("class").alias("c"))
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = stages.write(classes.join(wanted, "class", "left_semi").select("doc_id", "class"), "wanted")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "class long, shingles array<long>")
-    sets = stages.write(sets.join(wanted.select(F.col("c").alias("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = stages.write(sets.join(broadcast_if_small(wanted.select("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("both"))
@@ -223,21 +244,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, stages: Sta
     return out
 
 
-def bucket_stars(rows: DataFrame) -> DataFrame:
-    """Each class with the smallest class of its buckets, once."""
-    pivot = rows.groupBy("key").agg(F.min(F.struct("class", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    stars = rows.join(pivot, "key").where(F.col("class") != F.col("p.class"))
-    return stars.select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).where(SIZES_FIT).distinct()
+def bucket_stars(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each class with the smallest class of its buckets."""
+    pivot = rows.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("size")).where("size > 1")
+    stars = rows.join(pivot, "key").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
+    sizes = classes.select("class", "n")
+    return stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
 
 
-def mixed_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with several components: key, class, n, comp, main (component of the
-    largest part, to which ``minor`` rows do not belong) and their number."""
+def mixed_buckets(rows: DataFrame, stages: Stages) -> DataFrame:
+    """Rows of the buckets that hold several components: ``main`` is the component with most
+    rows, ``cost`` the pairs that the others make with all."""
     parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
     buckets = parts.groupBy("key").agg(
-        F.count("*").alias("comps"), F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top")).where("comps > 1")
-    buckets = buckets.select("key", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.m")).alias("minor"))
-    return rows.join(buckets, "key")
+        F.count("*").alias("comps"), F.sum("m").alias("size"), F.max("m").alias("most"), F.max_by("comp", "m").alias("main"))
+    buckets = buckets.where("comps > 1").select(F.col("key").alias("bucket"), "main", ((F.col("size") - F.col("most")) * F.col("size")).alias("cost"))
+    buckets = stages.write(buckets, "mixed")
+    return rows.join(broadcast_if_small(buckets), F.col("key") == F.col("bucket")).drop("bucket")
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
@@ -259,32 +282,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, n_shingles long, class long, sig binary"), "signed")
     full = signed_docs.where("sig is not null")
     classes = stages.write(full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    rows = classes.select("class", "n", "sig").mapInArrow(_index, "class long, n long, key long, chunk int")
-    crowded = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    rows = stages.write(rows.join(crowded, "key"), "buckets")
-
-    links = confirmed(bucket_stars(rows), docs, classes, stages)
+    alone = classes.select("class", F.col("class").alias("comp"), "sig")
+    kinds = "class long, comp long, key long"
+    whole = alone.mapInArrow(_index(CHUNKS - 1), kinds).select("class", "key")
+    links = confirmed(bucket_stars(whole, classes), docs, classes, stages)
     roots = connected_components(links, stages)
-    tagged = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    live = mixed_buckets(tagged.select("key", "class", "n", "comp", F.array("chunk").alias("used")))
+
+    comps = roots.withColumnRenamed("node", "class")
+    tagged = classes.join(comps, "class", "left").select("class", "n", F.coalesce("root", "class").alias("comp"), "sig")
+    tagged = stages.write(tagged, "tagged")
+    live = mixed_buckets(tagged.select("class", "comp", "sig").mapInArrow(_index(MAX_DISTANCE), kinds), stages)
+    live = live.withColumn("used", F.array((F.col("key").bitwiseAND(CHUNKS - 1)).cast("int")))
+    live = live.join(tagged.select("class", "n"), "class")
     pairs = None
     while True:
-        live = stages.write(live, "mixed")
-        narrow = cross_pairs(live.where(F.col("minor") <= WIDE))
-        pairs = narrow if pairs is None else pairs.unionAll(narrow)
-        wide = live.where((F.col("minor") > WIDE) & (F.size("used") < CHUNKS))
+        live = stages.write(live.select("key", "class", "comp", "n", "used", "main", "cost"), "live")
+        open_ = (F.col("cost") > WIDE) & (F.size("used") < CHUNKS)
+        found = cross_pairs(live.where(~open_))
+        pairs = found if pairs is None else pairs.unionAll(found)
+        wide = live.where(open_)
         if wide.isEmpty():
-            pairs = pairs.unionAll(cross_pairs(live.where((F.col("minor") > WIDE) & (F.size("used") >= CHUNKS))))
             break
-        more = wide.select("key", "class", "n", "used").join(classes.select("class", "sig"), "class")
-        more = more.select("key", "class", "n", "used", "sig").mapInArrow(_split, "class long, n long, key long, used array<int>")
-        comps = roots.withColumnRenamed("node", "class")
-        more = more.join(comps, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-        live = mixed_buckets(more)
-    more_links = confirmed(pairs.distinct(), docs, classes, stages)
+        more = wide.select("key", "class", "comp", "n", "used").join(tagged.select("class", "sig"), "class")
+        more = more.select("key", "class", "comp", "n", "used", "sig").mapInArrow(_split, "class long, comp long, n long, key long, used array<int>")
+        live = mixed_buckets(more, stages)
+    more_links = confirmed(pairs, docs, classes, stages)
     if not more_links.isEmpty():
         roots = connected_components(links.unionAll(more_links), stages)
-    stages.drop(rows)
 
     members = classes.select("class", F.col("doc_id").alias("first")).join(roots.toDF("class", "root"), "class", "left")
     members = members.select("class", "first", F.coalesce("root", "class").alias("root"))
