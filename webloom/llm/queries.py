@@ -6,7 +6,7 @@ import importlib
 
 from webloom.llm.registry import ORACLES, QUERIES
 
-MODULES = ["q_decontam", "q_langid", "q_line_dedup", "q_minhash", "q_packing", "q_pii", "q_quality", "q_substring", "q_url_filter"]
+MODULES = ["q_decontam", "q_langid", "q_line_dedup", "q_lm", "q_minhash", "q_packing", "q_pii", "q_quality", "q_substring", "q_url_filter"]
 
 
 def load() -> None:
