@@ -105,17 +105,15 @@ def text_stats(texts: pa.Array) -> dict[str, pa.Array]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        kept = {n: part.column(n) for n in part.schema.names}
+        kept = {n: part.column(n) for n in part.schema.names if n != "text"}
         yield pa.RecordBatch.from_pydict(kept | text_stats(part.column("text")))
 
 
-def measured(docs: DataFrame, host: str, stages: Stages, texts: bool = False) -> DataFrame:
+def measured(docs: DataFrame, host: str, stages: Stages) -> DataFrame:
     """One written row per document: a row number, the host, its statistics and its line hashes."""
     some = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
-    schema = f"doc_id {some.schema['doc_id'].dataType.simpleString()}, host string, text string, {STATS}"
-    rows = some.mapInArrow(_measure, schema)
-    rows = rows if texts else rows.drop("text")
-    return stages.write(rows.withColumn("row", F.monotonically_increasing_id()), "stats")
+    schema = f"doc_id {some.schema['doc_id'].dataType.simpleString()}, host string, {STATS}"
+    return stages.write(some.mapInArrow(_measure, schema).withColumn("row", F.monotonically_increasing_id()), "stats")
 
 
 def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
@@ -129,39 +127,52 @@ def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
 
 
 def line_quality(
-    docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, texts: bool = False
+    docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, gone: bool = False
 ) -> DataFrame:
     """The verdict on every document: statistics, base_failed, n_frequent_lines, words_left, kept;
-    with ``texts`` also ``clean_text``, the text without its frequent lines."""
+    with ``gone`` also the hashes of the frequent lines that the document holds."""
     stages = Stages(docs.sparkSession, "quality")
-    rows = measured(docs, host, stages, texts)
+    rows = measured(docs, host, stages)
     frequent = stages.write(frequent_lines(rows, max_docs).select("host", "line"), "frequent")
     places = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("at"))
     places = places.select("row", F.col("host").alias("h"), F.col("at.lines").alias("l"), F.col("at.line_words").alias("w"))
     hit = places.join(broadcast_if_small(frequent), F.col("h").eqNullSafe(F.col("host")) & (F.col("l") == F.col("line")))
-    gone = hit.groupBy("row").agg(
-        F.count("*").alias("n_gone"), F.sum("w").alias("w_gone"), *([F.collect_set("l").alias("gone")] if texts else []))
-    out = rows.join(gone, "row", "left")
+    lines = hit.groupBy("row").agg(
+        F.count("*").alias("n_gone"), F.sum("w").alias("w_gone"), *([F.collect_set("l").alias("gone")] if gone else []))
+    out = rows.join(lines, "row", "left")
     left = F.col("n_words") - F.coalesce("w_gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    out = out.select(
+    return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (100 * left >= min_left * F.col("n_words"))).alias("kept"),
         F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_frequent_lines"), left.cast("long").alias("words_left"),
-        *(["text", "gone"] if texts else []),
+        *(["gone"] if gone else []),
     )
-    if texts:
-        kind = out.schema.simpleString()[len("struct<"):-1].replace(",text:string,gone:array<binary>", "")
-        out = out.mapInArrow(_without_lines, ", ".join(x.replace(":", " ", 1) for x in kind.split(",")) + ", clean_text string")
-    return out
+
+
+def cleaned(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, in texts without frequent lines
+    (and ``n_chars`` counted anew where there is such a column)."""
+    key = F.xxhash64("doc_id", F.col(host).cast("string"), "text")
+    stages = Stages(docs.sparkSession, "cleaned")
+    verdicts = line_quality(docs.withColumn("doc_id", key), host, max_docs, min_left, gone=True)
+    # equal rows have equal verdicts
+    verdicts = verdicts.where("kept").select(F.col("doc_id").alias("quality_key"), "gone")
+    verdicts = stages.write(verdicts.groupBy("quality_key").agg(F.max("gone").alias("gone_lines")), "verdicts")
+    rows = docs.withColumn("quality_key", key).join(verdicts, "quality_key").drop("quality_key")
+    schema = docs.schema
+    return rows.mapInArrow(_without_lines, schema)
 
 
 def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        texts, gone = part.column("text").to_pylist(), part.column("gone").to_pylist()
+        names = [n for n in part.schema.names if n != "gone_lines"]
+        texts, gone = part.column("text").to_pylist(), part.column("gone_lines").to_pylist()
         clean = [t if not g else strip_lines(t, set(g)) for t, g in zip(texts, gone, strict=True)]
-        rest = {n: part.column(n) for n in part.schema.names if n not in ("text", "gone")}
-        yield pa.RecordBatch.from_pydict(rest | {"clean_text": pa.array(clean, pa.string())})
+        columns = {n: part.column(n) for n in names} | {"text": pa.array(clean, pa.string())}
+        if "n_chars" in columns:
+            columns["n_chars"] = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def strip_lines(text: str, gone: set[bytes]) -> str:

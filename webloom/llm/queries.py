@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-from webloom.llm.registry import ORACLES, QUERIES
+import corpus_pipeline
+from webloom.llm.registry import ORACLES, QUERIES, query
 
 MODULES = ["q_decontam", "q_langid", "q_line_dedup", "q_lm", "q_minhash", "q_packing", "q_pii", "q_quality", "q_substring", "q_url_filter"]
 
@@ -15,5 +16,6 @@ def load() -> None:
 
 
 load()
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]
