@@ -32,7 +32,7 @@ from webloom.session import broadcast_if_small
 DISTANCE = 2
 MIN_CHARS = 20
 #: Pairs a bucket may give before it is split.
-WIDE = 1024
+WIDE = 256
 
 BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
 
@@ -55,22 +55,47 @@ def shifts(distance: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(text: str, length: str, base: str, distance: int, own: str = "true", diff: str | None = None) -> Column:
-    """Array of (key, own, d, start, size): a line's own segments and its probes. ``base`` is
-    hashed into every key. With ``diff`` only probes of that length difference are made, and
-    own segments only where ``own`` holds."""
-    parts, n = distance + 1, []
+def slots(distance: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift) of every key of a line: its own segments first, then its probes."""
+    return [(0, i, 0) for i in range(distance + 1)] + shifts(distance)
 
-    def entry(d: int, i: int, shift: int, mine: bool) -> str:
-        short = f"({length} - {d})"
-        start, end = f"({short} * {i} div {parts} + {shift})", f"({short} * {i + 1} div {parts} + {shift})"
-        made = f"struct(xxhash64({base}, {short}, {i}, substring({text}, cast({start} + 1 as int), cast({end} - {start} as int))) as key, {str(mine).lower()} as own, {d} as d, cast({start} as int) as start, cast({end} - {start} as int) as size)"
-        when = own if mine else f"{short} >= 0 and {start} >= 0 and {end} <= {length}" + (f" and {diff} = {d}" if diff else "")
-        return f"case when {when} then {made} end"
 
-    n += [entry(0, i, 0, True) for i in range(parts)]
-    n += [entry(d, i, s, False) for d, i, s in shifts(distance)]
-    return F.expr(f"filter(array({', '.join(n)}), x -> x is not null)")
+def slot_place(slot: tuple[int, int, int], length: str, parts: int) -> tuple[str, str, str]:
+    """SQL for the length of the shorter line, and the start and end of a slot's substring."""
+    d, i, shift = slot
+    short = f"({length} - {d})"
+    return short, f"cast({short} * {i} div {parts} + {shift} as int)", f"cast({short} * {i + 1} div {parts} + {shift} as int)"
+
+
+def segment_keys(text: str, length: str, base: str, distance: int, allowed: str = "true") -> Column:
+    """Array with a key per slot, null where the line has no such substring. ``base`` is hashed
+    into every key; ``allowed`` is a condition with {slot} and {d}."""
+    out = []
+    for n, slot in enumerate(slots(distance)):
+        short, start, end = slot_place(slot, length, distance + 1)
+        key = f"xxhash64({base}, {short}, {slot[1]}, substring({text}, {start} + 1, {end} - {start}))"
+        when = f"{short} >= 0 and {start} >= 0 and {end} <= {length} and {allowed.format(slot=n, d=slot[0], own=str(n <= distance).lower())}"
+        out.append(f"case when {when} then {key} end")
+    return F.expr(f"array({', '.join(out)})")
+
+
+def slot_case(distance: int, what: int) -> str:
+    """SQL for the length difference (0), start (1) or size (2) of the row's slot."""
+    cases = []
+    for n, slot in enumerate(slots(distance)):
+        _, start, end = slot_place(slot, "len", distance + 1)
+        cases.append(f"when {n} then " + (str(slot[0]), start, f"{end} - {start}")[what])
+    return f"case slot {' '.join(cases)} end"
+
+
+def sketch() -> Column:
+    """64 bits of parities of the line's words: an edit changes three of them at most."""
+    return F.expr("aggregate(split(line, ' '), 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))")
+
+
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    out = rows.select(*keep, F.posexplode("keys").alias("slot", "key"))
+    return out.where("key is not null")
 
 
 def sizes(rows: DataFrame) -> DataFrame:
@@ -79,44 +104,42 @@ def sizes(rows: DataFrame) -> DataFrame:
     return found.where("owners > 0 and lines > 1")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    own = rows.where("own").select("key", F.col("id").alias("a"))
-    every = rows.select("key", F.col("id").alias("b"))
-    both = own.join(every, "key").where("a <> b")
+def bucket_pairs(rows: DataFrame, distance: int) -> DataFrame:
+    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"))
+    every = rows.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * distance
+    both = own.join(every, "key").where((F.col("a") != F.col("b")) & near)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def close_lines(lines: DataFrame, stages: Stages, distance: int, min_chars: int) -> DataFrame:
     """(a, b): ids of different lines within ``distance`` edits."""
     long_lines = lines.where(F.col("len") >= min_chars).select("id", "line", "len")
-    keyed = long_lines.select("id", segment_keys("line", "len", "0L", distance).alias("segments")).dropDuplicates(["id"])
-    rows = keyed.select("id", F.explode("segments").alias("s")).select("s.key", "s.own", "s.d", "s.start", "s.size", "id")
-    rows = stages.write(rows.join(sizes(rows.select("key", "own")), "key"), "buckets")
-    pairs = None
-    text = None
+    keyed = long_lines.select("id", "len", sketch().alias("sketch"), segment_keys("line", "len", "0L", distance).alias("keys"))
+    keyed = keyed.dropDuplicates(["id"])
+    own = F.col("slot") <= distance
+    rows = exploded(keyed, "id")
+    crowded = rows.join(sizes(rows.select("key", own.alias("own"))), "key").join(keyed.select("id", "len", "sketch"), "id")
+    rows = stages.write(crowded.withColumn("own", own), "buckets")
+    pairs, text = None, None
     while True:
-        few = bucket_pairs(rows.where(F.col("owners") * F.col("lines") <= WIDE))
+        few = bucket_pairs(rows.where(F.col("owners") * F.col("lines") <= WIDE), distance)
         pairs = few if pairs is None else pairs.unionAll(few)
         wide = rows.where(F.col("owners") * F.col("lines") > WIDE)
+        if wide.isEmpty():
+            break
         if text is None:
-            wide = wide.select("key", "own", "d", "start", "size", "id")
-            if wide.isEmpty():
-                break
             ids = broadcast_if_small(wide.select("id").distinct())
-            text = stages.write(long_lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]), "wide-lines")
-            wide = wide.join(text.withColumnRenamed("line", "rest"), "id")
-        elif wide.isEmpty():
-            break
-        # the shared segment leaves the line; an empty rest cannot be told apart further
+            text = stages.write(long_lines.select("id", F.col("line").alias("rest")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "wide-lines")
+            wide = wide.join(text, "id")
+        # the shared segment leaves the line; lines of which nothing more can be cut are paired
+        wide = wide.withColumns({"d": F.expr(slot_case(distance, 0)), "start": F.expr(slot_case(distance, 1)), "size": F.expr(slot_case(distance, 2))})
+        pairs = pairs.unionAll(bucket_pairs(wide.where("size = 0"), distance))
         rest = F.expr("concat(left(rest, start), substring(rest, start + size + 1))")
-        cut = wide.where("size > 0").select("key", "own", "d", "id", rest.alias("rest"))
-        cut = cut.withColumn("len", F.length("rest"))
-        again = segment_keys("rest", "len", "key", distance, own="own", diff="d")
-        same = wide.where("size = 0")
-        pairs = pairs.unionAll(bucket_pairs(same))
-        finer = cut.select("id", "rest", F.explode(again).alias("s"))
-        finer = finer.select("s.key", "s.own", "s.d", "s.start", "s.size", "id", "rest")
-        finer = finer.dropDuplicates(["key", "own", "id", "start"])
+        cut = wide.where("size > 0").select(F.col("key").alias("base"), "own", "d", "id", "sketch", rest.alias("rest")).withColumn("len", F.length("rest"))
+        keys = segment_keys("rest", "len", "base", distance, "d = {d} and (own or not {own})")
+        finer = exploded(cut.withColumn("keys", keys), "id", "sketch", "rest", "len").withColumn("own", own)
+        finer = finer.dropDuplicates(["key", "id", "slot"])
         rows = stages.write(finer.join(sizes(finer.select("key", "own")), "key"), "finer")
     pairs = stages.write(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
