@@ -9,8 +9,10 @@ there. Candidates are verified by the banded edit distance with that threshold.
 
 Exact copies meet first, by hash, in one aggregate; distinct lines only are joined. A
 bucket in which many lines share a segment is never paired off: the shared segment is cut
-out of its lines and what is left of them is segmented again below the bucket's key, until
-buckets are small. DataFrame operations only.
+out of its lines and what is left of them is segmented again below the bucket's key, up to
+``DEPTH`` times, by when lines share most of their length. Rows of a bucket meet under a
+condition on sketches of their words, which two close lines always satisfy, so that lines
+that share a segment alone make no pair. DataFrame operations only.
 
 A line stays where it occurs first (by doc_id, then line number) and goes everywhere else;
 it goes everywhere if a line within the distance occurs before it.
@@ -32,7 +34,9 @@ from webloom.session import broadcast_if_small
 DISTANCE = 2
 MIN_CHARS = 20
 #: Pairs a bucket may give before it is split.
-WIDE = 256
+WIDE = 4096
+#: Times a bucket's lines are cut and segmented again.
+DEPTH = 3
 
 BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
 
@@ -122,11 +126,12 @@ def close_lines(lines: DataFrame, stages: Stages, distance: int, min_chars: int)
     crowded = rows.join(sizes(rows.select("key", own.alias("own"))), "key").join(keyed.select("id", "len", "sketch"), "id")
     rows = stages.write(crowded.withColumn("own", own), "buckets")
     pairs, text = None, None
-    while True:
-        few = bucket_pairs(rows.where(F.col("owners") * F.col("lines") <= WIDE), distance)
+    for depth in range(DEPTH + 1):
+        narrow = F.col("owners") * F.col("lines") <= WIDE
+        few = bucket_pairs(rows.where(narrow) if depth < DEPTH else rows, distance)
         pairs = few if pairs is None else pairs.unionAll(few)
-        wide = rows.where(F.col("owners") * F.col("lines") > WIDE)
-        if wide.isEmpty():
+        wide = rows.where(~narrow)
+        if depth == DEPTH or wide.isEmpty():
             break
         if text is None:
             ids = broadcast_if_small(wide.select("id").distinct())
