@@ -92,26 +92,29 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame
     return out.select("url", (named | anyone).alias("allowed"), F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))
 
 
-def sitemap_refs(robots_text: Column, root: Column, limit: int = 5) -> Column:
-    """Sitemaps a robots text names, else the two usual places; the first five."""
+def sitemap_refs(robots_text: Column, root: Column, limit: int | None = None) -> Column:
+    """Sitemaps a robots text names, else the two usual places; with ``limit`` the first ones."""
     named = F.regexp_extract_all(F.coalesce(robots_text, F.lit("")), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1)
     usual = F.array(F.concat(root, F.lit("/sitemap.xml")), F.concat(root, F.lit("/sitemap_index.xml")))
-    return F.slice(F.when(F.size(named) > 0, named).otherwise(usual), 1, limit)
+    every = F.when(F.size(named) > 0, named).otherwise(usual)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
 
-def sitemap_urls(fetches: DataFrame, base: Column | None = None, nested: int = 5, allow_subdomains: bool = False) -> DataFrame:
+def sitemap_urls(fetches: DataFrame, base: Column | None = None, nested: int | None = None, allow_subdomains: bool = False) -> DataFrame:
     """Page addresses of sitemaps, distinct, in order: (site, url, seq).
 
     ``fetches``: site, url, seq, status, body; rows with ``seq`` are sitemaps a site
-    was asked for, the others may be nested ones (one level, the first few)."""
+    was asked for, the others may be nested ones (one level; with ``nested`` the first ones of each sitemap)."""
     readable = fetches.where((F.col("status") < 400) & F.col("body").rlike(r"(?i)<(urlset|sitemapindex)\b"))
     locs = readable.where("seq IS NOT NULL").select("site", "seq", F.posexplode(F.regexp_extract_all("body", F.lit(LOC), 1)).alias("pos", "loc"))
     inner = locs.where(F.lower("loc").endswith(".xml"))
     w = Window.partitionBy("site", "seq").orderBy("pos")
-    inner = inner.withColumn("n", F.row_number().over(w)).where(F.col("n") <= nested)
+    inner = inner.withColumn("n", F.row_number().over(w))
+    if nested is not None:
+        inner = inner.where(F.col("n") <= nested)
     subs = fetches.where("status < 400").select(F.col("url").alias("loc"), F.col("body").alias("sub"))
     deep = inner.join(subs, "loc").select(
         "site", "seq", F.lit(1).alias("level"), F.col("n").alias("at"), F.posexplode(F.regexp_extract_all("sub", F.lit(LOC), 1)).alias("pos", "loc")

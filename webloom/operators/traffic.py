@@ -296,10 +296,10 @@ def a11y_findings(violations: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ N18 - N22: forms and controls
-def form_findings(forms: DataFrame, logged_in: bool = False, per_page: int = 4) -> DataFrame:
+def form_findings(forms: DataFrame, logged_in: bool = False, per_page: int | None = None) -> DataFrame:
     """Judge forms without sending them (page_url, seq, signature, fields, has_submit,
     submit_text, novalidate, has_password, action, id, name, selector). Every distinct
-    form once, at most ``per_page`` usable ones per page."""
+    form once; with ``per_page`` only the first usable ones of each page."""
     shown = F.filter("fields", lambda x: ~x["type"].isin("hidden", "submit", "button", "reset"))
     rows = forms.withColumn("shown", shown).where(F.size("shown") > 0)
     cols = [c for c in rows.columns if c != "signature"]
@@ -309,7 +309,9 @@ def form_findings(forms: DataFrame, logged_in: bool = False, per_page: int = 4)
     label = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("submit_text", "action", "selector")], F.lit(""))
     left = _f(once.where("danger"), "info", "Skipped", F.concat(F.lit("Form not submitted (looks destructive/transactional): "), label), element=F.col("selector"))
     w = Window.partitionBy("page_url").orderBy("seq")
-    used = once.where("NOT danger").withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_page)
+    used = once.where("NOT danger")
+    if per_page is not None:
+        used = used.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_page)
     names = F.array_join(F.transform("shown", lambda x: x["name"]), " ")
     searches = P.is_search_form(F.col("action"), F.col("id"), F.col("name"), names) | F.exists("shown", lambda x: x["type"] == "search")
     none_required = ~F.exists("shown", lambda x: x["required"]) & (F.size("shown") > 1) & ~searches

@@ -252,7 +252,7 @@ FORMS = """SELECT p_partkey AS seq, 'https://shop.example.com/f/' || CAST(p_part
 @query(
     "form_findings",
     "WITH f AS (SELECT * FROM (" + FORMS + """) QUALIFY row_number() OVER (PARTITION BY signature ORDER BY seq) = 1),
-u AS (SELECT * FROM f WHERE action <> '/payment' QUALIFY row_number() OVER (PARTITION BY page_url ORDER BY seq) <= 4)
+u AS (SELECT * FROM f WHERE action <> '/payment')
 SELECT seq, 'info' AS severity, 'Form not submitted (looks destructive/transactional): Send' AS title FROM f WHERE action = '/payment'
 UNION ALL SELECT seq, 'low', 'Form has no submit button' FROM u WHERE NOT has_submit
 UNION ALL SELECT seq, 'info', 'Form has novalidate - browser validation is switched off' FROM u WHERE novalidate
