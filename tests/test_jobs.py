@@ -13,6 +13,7 @@ from webloom.operators import diff as D
 from webloom.operators import findings as G
 from webloom.operators import rules as R
 from webloom.operators import spelling as S
+from webloom.operators import tech as E
 from webloom.operators import topics as T
 from webloom.operators import traffic as N
 from webloom.sources import pages as SP
@@ -57,11 +58,7 @@ def test_gates_and_search(spark):
 def test_extra_rule(spark):
     pages = spark.createDataFrame([(1, "https://h.test/", "<html lang=en><title>x</title><p>" + "word " * 20)], "page_id long, url string, html string")
     rule = lambda facts: G.shaped_findings(facts, seq=F.col("page_id"), severity="info", category="Own", title="Mine", url=F.col("url"))
-    R.EXTRA_RULES.append(rule)
-    try:
-        titles = {r.title for r in R.page_findings(pages).collect()}
-    finally:
-        R.EXTRA_RULES.clear()
+    titles = {r.title for r in R.page_findings(pages, extra=[rule]).collect()}
     assert "Mine" in titles and "No meta description" in titles
 
 
@@ -95,8 +92,10 @@ def test_robots_equal_the_standard_library(spark):
     texts = [
         "User-agent: *\nDisallow: /pricing\n", "User-agent: *\nAllow: /\n", "User-agent: *\nDisallow:\n\nUser-agent: Bot\nDisallow: /\n",
         "# c\nUser-agent: a\nUser-agent: bot\nAllow: /p/ok\nDisallow: /p\nCrawl-delay: 3\n\nUser-agent: *\nDisallow: /\n", "Disallow: /\n", "",
+        "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b\n", "User-agent: bo\nDisallow: /a\n\nUser-agent: bot\nDisallow: /b\nUser-agent: *\nDisallow: /\n",
+        "User-agent: *\nDisallow: /caf%C3%A9\nDisallow: /x%2fy\n", "User-agent: *\n\nDisallow: /a\nUser-agent: bot\n# note\n  \nDisallow: /b\nUser-agent: *\nDisallow: /\n",
     ]
-    paths = ["/", "/pricing", "/pricing/x", "/p/ok", "/p/no", "/q?x=1"]
+    paths = ["/", "/pricing", "/pricing/x", "/p/ok", "/p/no", "/q?x=1", "/a", "/b", "/café", "/caf%c3%a9", "/x%2Fy", "/x/y"]
     pages = [(f"http://h{i}.test{p}",) for i in range(len(texts)) for p in paths]
     robots = [(f"http://h{i}.test", 200, t) for i, t in enumerate(texts)]
     got = C.robots_allowed(
@@ -109,6 +108,27 @@ def test_robots_equal_the_standard_library(spark):
     assert {r.crawl_delay for r in got if r.url.startswith("http://h3")} == {3.0}
 
 
+def test_patterns_are_searched_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 2)
+    pages = spark.createDataFrame(
+        [(1, "http://a.test/", [], [], '<x "foo">', {"server": "Zed"}, {}, "", []), (2, "http://b.test/[x", [None, "lib.js"], None, None, {}, {}, None, None)],
+        "page_id long, url string, script_src array<string>, scripts array<string>, html string, headers map<string,string>, meta map<string,string>, cookies string, globals array<string>",
+    )
+    book = [("A", "html", None, "(AAA)zzz"), ("A", "html", None, "([\"'])foo\\1"), ("B", "url", None, "[x"), ("C", "header", "Server", "^z"), ("D", "script_src", None, "LIB"), ("E", "html", None, "nope")]
+    found = E.detect_tech(pages, spark.createDataFrame(book, "tech string, field string, key string, pattern string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "A"), (1, "C"), (2, "B"), (2, "D")]
+
+
+def test_findings_of_a_page_are_not_cut(spark):
+    html = "<html><body>" + '<a href="/x"></a>' * 60 + "".join(f'<iframe src="/f" title="t{i}"></iframe>' for i in range(20)) + '<iframe src="/late"></iframe>' + "".join(
+        f'<a href="mailto:a{i}@x.test">b{i}@x.test</a>' for i in range(7)) + "</body></html>"
+    rows = R.page_findings(spark.createDataFrame([(1, "http://a.test/", html)], "page_id long, url string, html string")).collect()
+    assert [r.occurrences for r in rows if r.title == "Links with no readable text"] == [60]
+    assert [r.evidence["src"] for r in rows if r.title.startswith("iframe without")] == ["/late"]
+    assert sum(r.title.startswith("Contact link") for r in rows) == 7
+    assert len({r.seq for r in rows}) == len(rows)
+
+
 def test_offline_streak_over_slots(spark, monkeypatch):
     monkeypatch.setattr(C, "SLOT_ROWS", 2)
     rnd = random.Random(2)

@@ -10,86 +10,89 @@ from webloom.functions import urls as U
 from webloom.functions.urls import let
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """Rules of robots files (origin, status, body): origin, agent, pos, allow, prefix.
+GROUP = "struct<agents:array<string>,rules:array<struct<allow:boolean,prefix:string>>,delay:double>"
+FOLD = f"struct<phase:int,group:{GROUP},groups:array<{GROUP}>>"
 
-    A group is a run of agent lines with the rules after them; blank lines end a
-    group that has rules. Each file is folded inside its own row.
+
+def unescaped(text: Column) -> Column:
+    """Percent escapes as the characters they stand for; broken ones stay."""
+    whole = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), text)
+
+
+def robots_groups(robots: DataFrame) -> DataFrame:
+    """Groups of robots files (origin, status, body): origin, groups in file order.
+
+    A group is a run of agent lines with the rules after them. An empty line ends a group
+    that has rules and forgets agents without any. Each file is folded inside its own row.
     """
-    state = "struct<agents:array<string>,open:boolean,rules:array<struct<agent:string,pos:int,kind:string,value:string>>>"
     lines = F.split(F.regexp_replace("body", r"\r\n?", "\n"), "\n")
     parsed = F.transform(
         lines,
-        lambda s, i: let(
-            F.trim(F.regexp_replace(s, r"#.*$", "")),
+        lambda s: let(
+            F.trim(F.regexp_replace(s, r"(?s)#.*$", "")),
             lambda t: F.struct(
-                i.alias("pos"),
+                (s == "").alias("blank"),
                 F.lower(F.trim(F.regexp_extract(t, r"^([^:]*):", 1))).alias("key"),
-                F.trim(F.regexp_extract(t, r"^[^:]*:(.*)$", 1)).alias("value"),
-                (t == "").alias("blank"),
+                unescaped(F.trim(F.regexp_extract(t, r"^[^:]*:(.*)$", 1))).alias("value"),
             ),
         ),
     )
+    fresh = F.from_json(F.lit('{"agents":[],"rules":[]}'), GROUP)
+    make = lambda phase, group, groups: F.struct(F.lit(phase).alias("phase"), group.alias("group"), groups.alias("groups")).cast(FOLD)
+
+    def changed(g: Column, agents=None, rules=None, delay=None) -> Column:
+        parts = {"agents": agents, "rules": rules, "delay": delay}
+        return F.struct(*[(g[k] if v is None else v).alias(k) for k, v in parts.items()]).cast(GROUP)
 
     def step(acc: Column, ln: Column) -> Column:
-        none = F.array().cast("array<string>")
-        make = lambda agents, open_, rules: F.struct(agents.alias("agents"), open_.alias("open"), rules.alias("rules")).cast(state)
-        agent = F.array(F.lower(ln["value"]))
-        is_rule = ln["key"].isin("allow", "disallow", "crawl-delay") & (F.size(acc["agents"]) > 0)
-        added = F.transform(
-            acc["agents"], lambda a: F.struct(a.alias("agent"), ln["pos"].alias("pos"), ln["key"].alias("kind"), ln["value"].alias("value"))
-        )
+        g, closed = acc["group"], F.concat(acc["groups"], F.array(acc["group"]))
+        agent = F.array(ln["value"])
+        allow = (ln["key"] == "allow") | (ln["value"] == "")
+        rule = F.array(F.struct(allow.alias("allow"), ln["value"].alias("prefix")))
+        delay = F.when(ln["value"].rlike(r"^[0-9]+$"), ln["value"].try_cast("double")).otherwise(g["delay"])
         return (
-            F.when(ln["blank"], F.when(acc["open"], acc).otherwise(make(none, F.lit(True), acc["rules"])))
-            .when((ln["key"] == "user-agent") & acc["open"], make(F.concat(acc["agents"], agent), F.lit(True), acc["rules"]))
-            .when(ln["key"] == "user-agent", make(agent, F.lit(True), acc["rules"]))
-            .when(is_rule, make(acc["agents"], F.lit(False), F.concat(acc["rules"], added)))
+            F.when(ln["blank"], make(0, fresh, F.when(acc["phase"] == 2, closed).otherwise(acc["groups"])))
+            .when((ln["key"] == "user-agent") & (acc["phase"] == 2), make(1, changed(fresh, agents=agent), closed))
+            .when(ln["key"] == "user-agent", make(1, changed(g, agents=F.concat(g["agents"], agent)), acc["groups"]))
+            .when(acc["phase"] == 0, acc)
+            .when(ln["key"].isin("allow", "disallow"), make(2, changed(g, rules=F.concat(g["rules"], rule)), acc["groups"]))
+            .when(ln["key"] == "crawl-delay", make(2, changed(g, delay=delay), acc["groups"]))
+            .when(ln["key"] == "request-rate", make(2, g, acc["groups"]))
             .otherwise(acc)
         )
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("agents"), F.lit(True).alias("open"),
-        F.from_json(F.lit("[]"), "array<struct<agent:string,pos:int,kind:string,value:string>>").alias("rules"),
-    ).cast(state)
-    folded = F.aggregate(parsed, start, step)["rules"]
+    start = make(0, fresh, F.from_json(F.lit("[]"), f"array<{GROUP}>"))
+    end = lambda acc: F.when(acc["phase"] == 2, F.concat(acc["groups"], F.array(acc["group"]))).otherwise(acc["groups"])
     readable = robots.where("status < 400 AND body IS NOT NULL")
-    return readable.select("origin", F.explode(folded).alias("r")).select("origin", "r.*")
+    return readable.select("origin", F.aggregate(parsed, start, step, end).alias("groups"))
+
+
+def group_for(token: str) -> Column:
+    """The first group that names the agent, else the first for all agents."""
+    everyone = lambda g: F.array_contains(g["agents"], "*")
+    named = F.filter("groups", lambda g: ~everyone(g) & F.exists(g["agents"], lambda a: F.contains(F.lit(token), F.lower(a))))
+    return F.coalesce(F.get(named, 0), F.get(F.filter("groups", everyone), 0))
 
 
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """(url, allowed, crawl_delay): for the named agent and for ``*`` the first rule in
-    file order that starts the path decides; allowed if either allows. Without a
-    readable file everything is allowed. Rules meet pages on the origin."""
+    file order that starts the unescaped path decides; allowed if either allows. Without a
+    readable file everything is allowed. A file's groups stay one row, joined on the origin."""
     token = agent.split("/")[0].lower()
-    rules = robots_rules(robots)
-    who = F.when(F.col("agent") == "*", F.lit("*")).when(F.lit(token).contains(F.col("agent")), F.lit("named"))
-    rules = rules.withColumn("who", who).where("who IS NOT NULL")
-    path_rules = rules.where("kind IN ('allow', 'disallow')").select(
-        "origin", "who", "pos",
-        ((F.col("kind") == "allow") | (F.col("value") == "")).alias("allow"),
-        F.col("value").alias("prefix"),
-    )
-    delay = rules.where((F.col("kind") == "crawl-delay") & F.col("value").rlike(r"^\d+$"))
-    delay = delay.groupBy("origin").agg(
-        F.coalesce(F.max(F.when(F.col("who") == "named", F.col("value").cast("double"))), F.max(F.col("value").cast("double"))).alias("crawl_delay")
+    named, anyone = group_for(token), group_for("*")
+    files = robots_groups(robots).groupBy("origin").agg(F.min("groups").alias("groups"))
+    files = files.select(
+        "origin", named["rules"].alias("named"), anyone["rules"].alias("anyone"),
+        F.coalesce(F.nullif(named["delay"], F.lit(0.0)), anyone["delay"], F.lit(0.0)).alias("delay"),
     )
     p = pages.select("url").distinct().withColumn("origin", U.origin("url"))
     query = U.query_of("url")
-    p = p.withColumn("path", F.concat(U.path_of("url"), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
-    first = (
-        p.join(path_rules, "origin")
-        .where("startswith(path, prefix)")
-        .groupBy("url")
-        .agg(
-            F.min_by("allow", F.when(F.col("who") == "named", F.col("pos"))).alias("named"),
-            F.min_by("allow", F.when(F.col("who") == "*", F.col("pos"))).alias("anyone"),
-        )
+    p = p.withColumn("path", unescaped(F.concat(U.path_of("url"), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))))
+    first = lambda rules: F.coalesce(F.get(F.filter(rules, lambda r: F.startswith("path", r["prefix"])), 0)["allow"], F.lit(True))
+    return p.join(files, "origin", "left").select(
+        "url", (first("named") | first("anyone")).alias("allowed"), F.coalesce("delay", F.lit(0.0)).alias("crawl_delay")
     )
-    has_named = path_rules.where("who = 'named'").select("origin").distinct().withColumn("has_named", F.lit(True))
-    out = p.join(first, "url", "left").join(has_named, "origin", "left").join(delay, "origin", "left")
-    anyone = F.coalesce("anyone", F.lit(True))
-    named = F.when(F.col("has_named"), F.coalesce("named", F.lit(True))).otherwise(anyone)
-    return out.select("url", (named | anyone).alias("allowed"), F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))
 
 
 def sitemap_refs(robots_text: Column, root: Column, limit: int | None = None) -> Column:

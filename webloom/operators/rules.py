@@ -6,7 +6,7 @@ scan without a shuffle. Visibility and layout need a browser and are not judged.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,6 +232,10 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ rules
+#: Order numbers a page has for its findings: rules first, images, then spelling.
+PAGE_ROOM = 1 << 20
+
+
 def _finding(rule: int, severity, category: str, title, when: Column, occurrences=1, detail="", element=None, ev=None, fix="") -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.when(
@@ -248,10 +252,6 @@ def _some(name: str) -> Column:
     return F.size(name) > 0
 
 
-def _cap(name: str, n: int) -> Column:
-    return F.least(F.size(name), F.lit(n))
-
-
 def rule_array() -> Column:
     """All page rules as one array of findings, in the order they are reported."""
     c = F.col
@@ -270,7 +270,7 @@ def rule_array() -> Column:
     no_label = F.filter(bare, lambda f: f["placeholder"] == "")
     ph_only = F.filter(bare, lambda f: f["placeholder"] != "")
     hint = lambda f: F.coalesce(F.when(spoken(f) != "", spoken(f)), F.when(f["near"] != "", f["near"]), f["placeholder"])
-    optional = F.slice(F.filter("fields", lambda f: f["required"] & hint(f).rlike(seeds.OPTIONAL_LABEL)), 1, 5)
+    optional = F.filter("fields", lambda f: f["required"] & hint(f).rlike(seeds.OPTIONAL_LABEL))
     personal = F.filter("fields", lambda f: ~f["autocomplete"] & (
         f["type"].isin("email", "password", "tel")
         | ((f["type"] == "text") & F.concat_ws(" ", f["name"], f["id"], f["placeholder"], spoken(f)).rlike(seeds.PERSONAL_FIELD))))
@@ -291,8 +291,8 @@ def rule_array() -> Column:
             F.lit("phone number").alias("what"), a["text"].alias("shown"), number.alias("opens"), a["selector"].alias("selector")))
         return F.when(a["href"].rlike("(?i)^mailto:"), mail).when(a["href"].rlike("(?i)^tel:"), phone)
 
-    contacts = F.slice(F.filter(F.transform("anchors", contact), lambda x: x.isNotNull()), 1, 5)
-    no_title = F.filter(F.slice("iframes", 1, 20), lambda f: f["title"] == "")
+    contacts = F.filter(F.transform("anchors", contact), lambda x: x.isNotNull())
+    no_title = F.filter("iframes", lambda f: f["title"] == "")
     insecure = F.exists("forms", lambda f: F.lower(_text(f["action"])).startswith("http://"))
     junk = F.transform(X.junk_hits(c("text")), lambda j: _finding(
         2, F.when(j["label"].isin(*seeds.JUNK_TEXT_HIGH), "high").otherwise("medium"), "Content",
@@ -305,7 +305,6 @@ def rule_array() -> Column:
         21, "medium", "Content", F.concat(F.lit("Contact link opens a different "), m["what"], F.lit(" than it shows")), F.lit(True),
         element=m["selector"], ev=G.evidence(shown=m["shown"], opens=m["opens"]), detail=F.concat(F.lit("Shown "), m["shown"], F.lit(", opens "), m["opens"])))
     first = lambda arr, f="selector": F.get(arr, 0)[f]
-    sized = lambda arr, n=None: F.size(arr) if n is None else F.least(F.size(arr), F.lit(n))
     return F.concat(
         one(1, "high", "Content", "Page renders (almost) no text", c("text_length") < 30, detail=F.concat(c("text_length"), F.lit(" characters of text."))),
         junk,
@@ -322,22 +321,22 @@ def rule_array() -> Column:
         one(10, "high", "Responsive", "No responsive viewport meta tag", c("viewport").isNull(), fix="Add a viewport meta tag."),
         one(10, "low", "Accessibility", "Viewport meta disables pinch zoom",
             viewport.contains("user-scalable=no") | viewport.rlike(r"maximum-scale=\s*1(\.0)?\b"), ev=G.evidence(viewport=c("viewport"))),
-        one(11, "medium", "Accessibility", "Images without an alt attribute", F.size(no_alt) > 0, sized(no_alt, 300), element=first(no_alt)),
-        one(13, "medium", "Accessibility", "Links with no readable text", _some("nameless_links"), _cap("nameless_links", 40)),
-        one(14, "low", "Security", "Links open a new tab without rel=noopener", F.size(blank_rel) > 0, sized(blank_rel, 40), element=first(blank_rel)),
-        one(15, "info", "Accessibility", "<a> elements without an href", F.size(hrefless) > 0, sized(hrefless)),
-        one(16, "medium", "Accessibility", "Label is not connected to its field", F.size(orphans) > 0, sized(orphans, 20), ev=G.evidence(points_to=first(orphans, "to"))),
-        one(17, "medium", "Accessibility", "Form fields with no label", F.size(no_label) > 0, sized(no_label, 60), element=first(no_label)),
-        one(17, "low", "Accessibility", "Fields rely on placeholder text instead of a label", F.size(ph_only) > 0, sized(ph_only, 60), element=first(ph_only)),
-        one(18, "medium", "Accessibility", "Buttons with no accessible name", _some("nameless_buttons"), _cap("nameless_buttons", 40)),
+        one(11, "medium", "Accessibility", "Images without an alt attribute", F.size(no_alt) > 0, F.size(no_alt), element=first(no_alt)),
+        one(13, "medium", "Accessibility", "Links with no readable text", _some("nameless_links"), F.size("nameless_links")),
+        one(14, "low", "Security", "Links open a new tab without rel=noopener", F.size(blank_rel) > 0, F.size(blank_rel), element=first(blank_rel)),
+        one(15, "info", "Accessibility", "<a> elements without an href", F.size(hrefless) > 0, F.size(hrefless)),
+        one(16, "medium", "Accessibility", "Label is not connected to its field", F.size(orphans) > 0, F.size(orphans), ev=G.evidence(points_to=first(orphans, "to"))),
+        one(17, "medium", "Accessibility", "Form fields with no label", F.size(no_label) > 0, F.size(no_label), element=first(no_label)),
+        one(17, "low", "Accessibility", "Fields rely on placeholder text instead of a label", F.size(ph_only) > 0, F.size(ph_only), element=first(ph_only)),
+        one(18, "medium", "Accessibility", "Buttons with no accessible name", _some("nameless_buttons"), F.size("nameless_buttons")),
         opt_rows,
-        one(20, "medium", "Accessibility", "Clickable items a keyboard cannot reach", _some("traps"), _cap("traps", 40), element=first("traps")),
+        one(20, "medium", "Accessibility", "Clickable items a keyboard cannot reach", _some("traps"), F.size("traps"), element=first("traps")),
         contact_rows,
-        one(22, "low", "Forms", "Personal-data fields give no autocomplete hint", F.size(personal) > 0, sized(personal, 20), element=first(personal)),
+        one(22, "low", "Forms", "Personal-data fields give no autocomplete hint", F.size(personal) > 0, F.size(personal), element=first(personal)),
         one(24, "critical", "Security", "Form submits over plain HTTP", insecure, fix="Send the form to an https address."),
-        one(25, "low", "HTML Validity", "Duplicate element ids", _some("duplicate_ids"), _cap("duplicate_ids", 30), ev=G.evidence(ids=F.to_json(F.slice("duplicate_ids", 1, 20)))),
-        one(26, "info", "Accessibility", "Heading levels are skipped", _some("heading_skips"), ev=G.evidence(skips=F.to_json(F.slice("heading_skips", 1, 10)))),
-        one(27, "high", "Security", "Mixed content (http:// resources on an https:// page)", _some("mixed"), _cap("mixed", 30), ev=G.evidence(resources=F.to_json(F.slice("mixed", 1, 15)))),
+        one(25, "low", "HTML Validity", "Duplicate element ids", _some("duplicate_ids"), F.size("duplicate_ids"), ev=G.evidence(ids=F.to_json("duplicate_ids"))),
+        one(26, "info", "Accessibility", "Heading levels are skipped", _some("heading_skips"), ev=G.evidence(skips=F.to_json("heading_skips"))),
+        one(27, "high", "Security", "Mixed content (http:// resources on an https:// page)", _some("mixed"), F.size("mixed"), ev=G.evidence(resources=F.to_json("mixed"))),
         one(28, "info", "Accessibility", "iframe without a title attribute", F.size(no_title) > 0, ev=G.evidence(src=first(no_title, "src"))),
         one(29, "low", "UX", "Media auto-plays with sound", c("autoplay")),
         one(30, "low", "Accessibility", "Videos without captions", c("videos_no_captions") > 0, c("videos_no_captions")),
@@ -353,7 +352,7 @@ def findings_of(facts: DataFrame) -> DataFrame:
     rows = facts.select("page_id", "url", F.posexplode(F.filter(rule_array(), lambda f: f.isNotNull())).alias("pos", "f"))
     cols = ["severity", "category", "title", "detail", "element", "evidence", "how_to_fix", "occurrences"]
     return G.shaped_findings(
-        rows.select("url", (F.col("page_id") * 1000 + F.col("pos")).alias("seq"), "f.*"),
+        rows.select("url", (F.col("page_id") * PAGE_ROOM + F.col("pos")).alias("seq"), "f.*"),
         seq=F.col("seq"), url=F.col("url"), **{c: F.col(c) for c in cols},
     )
 
@@ -364,22 +363,21 @@ def spelling_findings(facts: DataFrame, dictionary: DataFrame) -> DataFrame:
     docs = facts.select(F.col("page_id").alias("doc_id"), "text", "ui", "lang")
     rows = text_findings(docs, dictionary).join(facts.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
     return G.shaped_findings(
-        rows, seq=F.col("doc_id") * 1000 + 900 + F.col("place"), severity="low", category="Content", title=F.col("title"),
+        rows, seq=F.col("doc_id") * PAGE_ROOM + PAGE_ROOM // 2 + F.col("place"), severity="low", category="Content", title=F.col("title"),
         detail=F.col("detail"), url=F.col("url"),
     )
 
 
-#: rules a caller adds: each takes page facts and gives findings
-EXTRA_RULES: list[Callable[[DataFrame], DataFrame]] = []
-
-
-def page_findings(pages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """All page rules over captured pages, the caller's own rules included."""
+def page_findings(
+    pages: DataFrame, dictionary: DataFrame | None = None, extra: Sequence[Callable[[DataFrame], DataFrame]] = ()
+) -> DataFrame:
+    """All page rules over captured pages. ``extra``: the caller's own rules, each takes
+    page facts and gives findings."""
     facts = page_facts(pages)
     out = findings_of(facts)
     if dictionary is not None:
         out = out.unionByName(spelling_findings(facts, dictionary))
-    for rule in EXTRA_RULES:
+    for rule in extra:
         out = out.unionByName(rule(facts))
     return out
 
@@ -394,7 +392,7 @@ def broken_images(facts: DataFrame, responses: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min_by("selector", "pos").alias("selector")
     )
     return G.shaped_findings(
-        hit, seq=F.col("page_id") * 1000 + 800, severity="high", category="Broken Media", title="Images that fail to load",
+        hit, seq=F.col("page_id") * PAGE_ROOM + PAGE_ROOM // 2 - 1, severity="high", category="Broken Media", title="Images that fail to load",
         url=F.col("page_url"), element=F.col("selector"), occurrences=F.col("n"), how_to_fix="Fix the path or restore the file.",
     )
 

@@ -120,8 +120,8 @@ def _note(flag: str) -> Column:
     return F.when(F.col(flag), UI_NOTE).otherwise("")
 
 
-def text_findings(docs: DataFrame, dictionary: DataFrame, limit: int = 12) -> DataFrame:
-    """The first ``limit`` slips of each text as rows (doc_id, place, title, detail):
+def text_findings(docs: DataFrame, dictionary: DataFrame, limit: int | None = None) -> DataFrame:
+    """The slips of each text (with ``limit`` only the first ones) as rows (doc_id, place, title, detail):
     misspellings (words in menus first, then by letter), phrases, variants."""
     eng = english(docs)
     q = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
@@ -145,4 +145,6 @@ def text_findings(docs: DataFrame, dictionary: DataFrame, limit: int = 12) -> Da
     )
     w = Window.partitionBy("doc_id").orderBy("o", "title")
     rows = one.unionByName(two).unionByName(three).withColumn("place", F.row_number().over(w))
-    return rows.where(F.col("place") <= limit).select("doc_id", "place", "title", "detail")
+    if limit is not None:
+        rows = rows.where(F.col("place") <= limit)
+    return rows.select("doc_id", "place", "title", "detail")

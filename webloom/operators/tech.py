@@ -7,16 +7,22 @@ script_src, script, meta, js, url, html.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom import seeds
 from webloom.functions import urls as U
-from webloom.session import cut_lineage, fits
+from webloom.session import broadcast_if_small, cut_lineage
 
-#: a fingerprint table up to this size is tested inside each row
-INLINE_PATTERNS = 20_000
+#: patterns that one pass over the pages tests; a larger book takes several passes
+BLOCK = 20_000
 KEYED = ["header", "cookie", "meta", "js"]
+FREE = ["url", "script_src", "script", "html"]
 
 
 def clean_pattern(pattern: Column) -> Column:
@@ -25,32 +31,20 @@ def clean_pattern(pattern: Column) -> Column:
     return F.when(raw == "", ".*").otherwise(raw)
 
 
-def _valid(patterns: list[str], spark) -> dict[str, str]:
-    """Patterns as case-blind regexes of the JVM; broken ones are taken literally."""
-    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
-    out = {}
-    for p in patterns:
-        try:
-            compiler.compile(p)
-            out[p] = "(?i)" + p
-        except Exception:  # noqa: BLE001 - the JVM's syntax error, whatever its class
-            out[p] = "(?i)" + compiler.quote(p)
-    return out
+@lru_cache(maxsize=BLOCK)
+def _regex(pattern: str) -> re.Pattern:
+    """The pattern, case-blind; a broken one is taken literally."""
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return re.compile(re.escape(pattern), re.IGNORECASE)
 
 
 def fingerprint_book(fingerprints: DataFrame) -> DataFrame:
-    """Fingerprints with usable regexes (field, key, tech, rx). The table is bounded
-    (thousands of technologies), which is checked before it is looked through."""
+    """Fingerprints that can be tested (tech, field, key, p, any), without repeats."""
     fp = fingerprints.select("tech", "field", F.coalesce("key", F.lit("")).alias("key"), clean_pattern(F.col("pattern")).alias("p"),
                              (F.coalesce("pattern", F.lit("")) == "").alias("any"))
-    fp = fp.where((F.col("field") != "js") | (~F.col("key").rlike(r"[.\[\]]") & (F.length("key") >= 4)))
-    distinct = fp.select("p").distinct()
-    if not fits(distinct, INLINE_PATTERNS):
-        raise ValueError(f"more than {INLINE_PATTERNS} fingerprint patterns")
-    spark = fingerprints.sparkSession
-    usable = _valid([r.p for r in distinct.collect()], spark)
-    rx = spark.createDataFrame(list(usable.items()), "p string, rx string")
-    return fp.join(F.broadcast(rx), "p").select("tech", "field", "key", "rx", "any")
+    return fp.where((F.col("field") != "js") | (~F.col("key").rlike(r"[.\[\]]") & (F.length("key") >= 4))).distinct()
 
 
 def harvest_facts(harvest: DataFrame) -> DataFrame:
@@ -70,29 +64,60 @@ def harvest_facts(harvest: DataFrame) -> DataFrame:
     return harvest.select("page_id", F.explode(items).alias("i")).select("page_id", "i.*")
 
 
-def _finds(rx: str):
-    return lambda value: value.rlike(rx)
+def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (page_id, tech, value, p) whose pattern is found in the value."""
+    for rows in batches:
+        hit = [_regex(p).search(v) is not None for p, v in zip(rows["p"], rows["value"], strict=True)]
+        yield rows.loc[hit, ["page_id", "tech"]]
+
+
+def _searches(book):
+    """Tests each pattern of ``book`` (field, tech, pattern) by itself on every page."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_field: dict[str, list] = {}
+        for field, tech, pattern in book.value:
+            by_field.setdefault(field, []).append((tech, _regex(pattern)))
+        fields = [f for f in FREE if f in by_field]  # html, the longest, comes last
+        for rows in batches:
+            pages, techs = [], []
+            for page_id, *values in zip(rows["page_id"], *(rows[f] for f in fields), strict=True):
+                found = set()
+                for field, texts in zip(fields, values, strict=True):
+                    texts = [texts] if isinstance(texts, str) else [t for t in (() if texts is None else texts) if t is not None]
+                    for tech, rx in by_field[field] if texts else ():
+                        if tech not in found and any(rx.search(t) for t in texts):
+                            found.add(tech)
+                pages += [page_id] * len(found)
+                techs += found
+            yield pd.DataFrame({"page_id": pd.Series(pages, dtype=rows["page_id"].dtype), "tech": pd.Series(techs, dtype=object)})
+
+    return task
 
 
 def detect_tech(harvest: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """(page_id, tech) by direct evidence. Fields with a key (headers, cookies, meta,
-    globals) meet the fingerprints on (field, key); for the others every technology
-    is one test with fixed regexes over the page's own row, so no pairs are made."""
+    globals) meet the fingerprints on (field, key). The others are searched pattern by
+    pattern in the page's own row, in Arrow batches: a worker compiles a book's patterns
+    once. Books of any size: ``BLOCK`` patterns travel with one pass over the pages."""
+    spark = harvest.sparkSession
     book = cut_lineage(fingerprint_book(fingerprints), "fingerprints")
     keyed = book.where(F.col("field").isin(*KEYED)).withColumn(
         "key", F.when(F.col("field").isin("header", "meta"), F.lower("key")).otherwise(F.col("key"))
     )
-    facts = harvest_facts(harvest)
-    hit = (F.col("field") == "js") | F.col("any") | F.rlike("value", F.col("rx"))
-    found = facts.join(F.broadcast(keyed), ["field", "key"]).where(hit).select("page_id", "tech")  # at most INLINE_PATTERNS rows
-    free = book.where(~F.col("field").isin(*KEYED)).groupBy("tech", "field").agg(F.array_sort(F.collect_set("rx")).alias("rx"))
-    texts = {"script_src": F.col("script_src"), "script": F.col("scripts"), "url": F.array("url"), "html": F.array("html")}
-    tests = []
-    for r in sorted(free.collect(), key=lambda r: (r.field == "html", r.tech, r.field)):
-        tests.append(F.when(F.exists(texts[r.field], _finds("|".join(f"(?:{x})" for x in r.rx))), F.lit(r.tech)))
-    if tests:
-        in_row = harvest.select("page_id", F.explode(F.array_distinct(F.filter(F.array(*tests), lambda t: t.isNotNull()))).alias("tech"))
-        found = found.unionByName(in_row)
+    pair = f"page_id {harvest.schema['page_id'].dataType.simpleString()}, tech string"
+    met = harvest_facts(harvest).join(broadcast_if_small(keyed), ["field", "key"])
+    sure = (F.col("field") == "js") | F.col("any")
+    found = met.where(sure).select("page_id", "tech")
+    tested = met.where(~sure & F.col("value").isNotNull()).select("page_id", "tech", "value", "p")
+    found = found.unionByName(tested.mapInPandas(_matches, pair))
+    free = book.where(F.col("field").isin(*FREE)).select("field", "tech", "p").distinct()
+    blocks = -(-free.count() // BLOCK)
+    free = free.withColumn("block", F.pmod(F.xxhash64("tech", "p"), F.lit(max(blocks, 1))))
+    pages = harvest.select("page_id", "url", "script_src", F.col("scripts").alias("script"), "html")
+    for block in range(blocks):
+        part = spark.sparkContext.broadcast([tuple(r) for r in free.where(F.col("block") == block).select("field", "tech", "p").collect()])
+        found = found.unionByName(pages.mapInPandas(_searches(part), pair))
     return found.distinct()
 
 
@@ -124,15 +149,17 @@ def tech_categories(found: DataFrame, cats: DataFrame, names: DataFrame, key: st
     return found.join(first, "tech", "left").select(key, "tech", F.coalesce("category", F.lit("Other")).alias("category"))
 
 
-def tech_display(categorised: DataFrame, key: str = "page_id", categories: int = 6, names: int = 8) -> DataFrame:
-    """The categories shown for each page: by priority, then name; a few names each."""
+def tech_display(categorised: DataFrame, key: str = "page_id", categories: int | None = None, names: int | None = None) -> DataFrame:
+    """The categories shown for each page, by priority, then name, and their technologies;
+    ``categories`` and ``names`` show the first ones only."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in seeds.TECH_CATEGORY_PRIORITY]), F.col("category")), F.lit(0))
     rank = F.when(rank == 0, 100).otherwise(rank)
     groups = categorised.groupBy(key, "category").agg(F.array_sort(F.collect_set("tech")).alias("techs"))
     w = Window.partitionBy(key).orderBy(rank, "category")
-    return groups.withColumn("place", F.row_number().over(w)).where(F.col("place") <= categories).select(
-        key, "place", "category", F.slice("techs", 1, names).alias("techs")
-    )
+    rows = groups.withColumn("place", F.row_number().over(w))
+    if categories is not None:
+        rows = rows.where(F.col("place") <= categories)
+    return rows.select(key, "place", "category", (F.col("techs") if names is None else F.slice("techs", 1, names)).alias("techs"))
 
 
 def hosting(df: DataFrame, url: str = "url", headers: str = "headers") -> DataFrame:

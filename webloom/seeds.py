@@ -173,16 +173,17 @@ SECURITY_HEADERS = [
     ("x-frame-options", "X-Frame-Options", "low"),
     ("strict-transport-security", "Strict-Transport-Security", "low"),
 ]
+#: Standard HTTP reason phrases.
 STATUS_MEANING = {
-    400: "the request was rejected as invalid",
-    401: "the caller is not signed in",
-    403: "the caller is not allowed",
-    404: "there is no such resource",
-    405: "this method is not accepted",
-    409: "the server reported a conflict",
-    410: "the resource was removed",
-    422: "the submitted data was rejected",
-    429: "the requests are being rate limited",
+    400: "Bad Request",
+    401: "Unauthorized",
+    403: "Forbidden",
+    404: "Not Found",
+    405: "Method Not Allowed",
+    409: "Conflict",
+    410: "Gone",
+    422: "Unprocessable Content",
+    429: "Too Many Requests",
 }
 EXPOSED_PATHS = [
     ("/.env", "critical", "Environment file with secrets"),
