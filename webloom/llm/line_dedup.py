@@ -8,11 +8,15 @@ length up to DISTANCE shorter than its own, the few substrings that can meet a s
 there. Candidates are verified by the banded edit distance with that threshold.
 
 Exact copies meet first, by hash, in one aggregate; distinct lines only are joined. A
-bucket in which many lines share a segment is never paired off: the shared segment is cut
-out of its lines and what is left of them is segmented again below the bucket's key, up to
-``DEPTH`` times, by when lines share most of their length. Rows of a bucket meet under a
-condition on sketches of their words, which two close lines always satisfy, so that lines
-that share a segment alone make no pair. DataFrame operations only.
+bucket in which many lines share a segment is never paired off. Its lines first meet its
+earliest line, as many rows as the bucket has; those within the distance are decided, and
+pairs of two decided lines are not looked at again. Then the bucket is split by letters:
+letters fall into 2 * DISTANCE + 1 groups, an edit touches two letters at most, so two close
+lines hold the letters of at least one group in the same order. A line goes to one bucket
+for each group, named by these letters; a bucket that is still wide is split by another
+grouping of the letters, up to ``TURNS`` times, and what is left is joined whole. Rows of a
+bucket meet under a condition on sketches of their words, which two close lines always
+satisfy. DataFrame operations only.
 
 A line stays where it occurs first (by doc_id, then line number) and goes everywhere else;
 it goes everywhere if a line within the distance occurs before it.
@@ -35,8 +39,8 @@ DISTANCE = 2
 MIN_CHARS = 20
 #: Pairs a bucket may give before it is split.
 WIDE = 4096
-#: Times a bucket's lines are cut and segmented again.
-DEPTH = 3
+#: Times a bucket is split by the letters of its lines.
+TURNS = 3
 
 BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
 
@@ -71,25 +75,21 @@ def slot_place(slot: tuple[int, int, int], length: str, parts: int) -> tuple[str
     return short, f"cast({short} * {i} div {parts} + {shift} as int)", f"cast({short} * {i + 1} div {parts} + {shift} as int)"
 
 
-def segment_keys(text: str, length: str, base: str, distance: int, allowed: str = "true") -> Column:
-    """Array with a key per slot, null where the line has no such substring. ``base`` is hashed
-    into every key; ``allowed`` is a condition with {slot} and {d}."""
+def segment_keys(distance: int) -> Column:
+    """Array with a key per slot, null where the line has no such substring."""
     out = []
-    for n, slot in enumerate(slots(distance)):
-        short, start, end = slot_place(slot, length, distance + 1)
-        key = f"xxhash64({base}, {short}, {slot[1]}, substring({text}, {start} + 1, {end} - {start}))"
-        when = f"{short} >= 0 and {start} >= 0 and {end} <= {length} and {allowed.format(slot=n, d=slot[0], own=str(n <= distance).lower())}"
-        out.append(f"case when {when} then {key} end")
+    for slot in slots(distance):
+        short, start, end = slot_place(slot, "len", distance + 1)
+        key = f"xxhash64(0L, {short}, {slot[1]}, substring(line, {start} + 1, {end} - {start}))"
+        out.append(f"case when {short} >= 0 and {start} >= 0 and {end} <= len then {key} end")
     return F.expr(f"array({', '.join(out)})")
 
 
-def slot_case(distance: int, what: int) -> str:
-    """SQL for the length difference (0), start (1) or size (2) of the row's slot."""
-    cases = []
-    for n, slot in enumerate(slots(distance)):
-        _, start, end = slot_place(slot, "len", distance + 1)
-        cases.append(f"when {n} then " + (str(slot[0]), start, f"{end} - {start}")[what])
-    return f"case slot {' '.join(cases)} end"
+def letter_keys(distance: int, turn: int) -> Column:
+    """Array with a hash per group of letters: the line's letters of that group in order."""
+    n = 2 * distance + 1
+    mine = f"filter(split(line, ''), c -> pmod(xxhash64(c, {turn}), {n}) = g)"
+    return F.expr(f"transform(sequence(0, {n - 1}), g -> xxhash64(g, array_join({mine}, '')))")
 
 
 def sketch() -> Column:
@@ -103,54 +103,67 @@ def exploded(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def sizes(rows: DataFrame) -> DataFrame:
-    """Buckets that can give a pair: key, lines that own the segment, lines in all."""
-    found = rows.groupBy("key").agg(F.count("*").alias("lines"), F.count_if("own").alias("owners"))
-    return found.where("owners > 0 and lines > 1")
+    """Buckets that can give a pair: key, and the pairs that they give at most."""
+    count = {"lines": F.count("*"), "owners": F.count_if("own"), "done": F.count_if(~F.col("open")), "done_owners": F.count_if(F.col("own") & ~F.col("open"))}
+    found = rows.groupBy("key").agg(*(c.alias(n) for n, c in count.items()))
+    found = found.where("owners > 0 and lines > 1").select("key", F.expr("owners * lines - done_owners * done").alias("cost"))
+    return found.where("cost > 0")
 
 
 def bucket_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    every = rows.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"))
+    """Pairs of an owner of a bucket's segment and another line, not both decided."""
+    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("open").alias("oa"))
+    every = rows.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("open").alias("ob"))
     near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * distance
-    both = own.join(every, "key").where((F.col("a") != F.col("b")) & near)
+    both = own.join(every, "key").where((F.col("a") != F.col("b")) & near & (F.col("oa") | F.col("ob")))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def close_lines(lines: DataFrame, stages: Stages, distance: int, min_chars: int) -> DataFrame:
-    """(a, b): ids of different lines within ``distance`` edits."""
+def close_to_first(wide: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """(a, b): the earliest line of each bucket and the lines of the bucket close to it."""
+    at = wide.select("key", "id").join(texts.select("id", "first"), "id")
+    earliest = at.groupBy("key").agg(F.min(F.struct("first", "id"))["id"].alias("a"))
+    met = wide.select("key", F.col("id").alias("b")).join(earliest, "key").where("a <> b").select("a", "b").distinct()
+    lines = texts.select("id", "line")
+    met = met.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b")
+    return met.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b")
+
+
+def close_lines(lines: DataFrame, first: DataFrame, stages: Stages, distance: int, min_chars: int) -> DataFrame:
+    """(a, b): ids of different lines within ``distance`` edits; every line that has an
+    earlier one so close is in a pair with an earlier one."""
     long_lines = lines.where(F.col("len") >= min_chars).select("id", "line", "len")
-    keyed = long_lines.select("id", "len", sketch().alias("sketch"), segment_keys("line", "len", "0L", distance).alias("keys"))
-    keyed = keyed.dropDuplicates(["id"])
-    own = F.col("slot") <= distance
-    rows = exploded(keyed, "id")
-    crowded = rows.join(sizes(rows.select("key", own.alias("own"))), "key").join(keyed.select("id", "len", "sketch"), "id")
-    rows = stages.write(crowded.withColumn("own", own), "buckets")
-    pairs, text = None, None
-    for depth in range(DEPTH + 1):
-        narrow = F.col("owners") * F.col("lines") <= WIDE
-        few = bucket_pairs(rows.where(narrow) if depth < DEPTH else rows, distance)
+    keyed = long_lines.select("id", sketch().alias("sketch"), segment_keys(distance).alias("keys")).dropDuplicates(["id"])
+    state = {"own": F.col("slot") <= distance, "open": F.lit(True)}
+    rows = exploded(keyed, "id").withColumns(state).drop("slot")
+    rows = stages.write(rows.join(sizes(rows), "key").join(keyed.select("id", "sketch"), "id"), "buckets")
+    pairs, close, wide_lines = None, None, None
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        few = bucket_pairs(rows if last else rows.where(F.col("cost") <= WIDE), distance)
         pairs = few if pairs is None else pairs.unionAll(few)
-        wide = rows.where(~narrow)
-        if depth == DEPTH or wide.isEmpty():
+        wide = rows.where(F.col("cost") > WIDE)
+        if last or wide.isEmpty():
             break
-        if text is None:
+        if wide_lines is None:
             ids = broadcast_if_small(wide.select("id").distinct())
-            text = stages.write(long_lines.select("id", F.col("line").alias("rest")).join(ids, "id", "left_semi").dropDuplicates(["id"]), "wide-lines")
-            wide = wide.join(text, "id")
-        # the shared segment leaves the line; lines of which nothing more can be cut are paired
-        wide = wide.withColumns({"d": F.expr(slot_case(distance, 0)), "start": F.expr(slot_case(distance, 1)), "size": F.expr(slot_case(distance, 2))})
-        pairs = pairs.unionAll(bucket_pairs(wide.where("size = 0"), distance))
-        rest = F.expr("concat(left(rest, start), substring(rest, start + size + 1))")
-        cut = wide.where("size > 0").select(F.col("key").alias("base"), "own", "d", "id", "sketch", rest.alias("rest")).withColumn("len", F.length("rest"))
-        keys = segment_keys("rest", "len", "base", distance, "d = {d} and (own or not {own})")
-        finer = exploded(cut.withColumn("keys", keys), "id", "sketch", "rest", "len").withColumn("own", own)
-        finer = finer.dropDuplicates(["key", "id", "slot"])
-        rows = stages.write(finer.join(sizes(finer.select("key", "own")), "key"), "finer")
+            found = long_lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
+            wide_lines = stages.write(found.join(first.select("id", "first"), "id"), "wide-lines")
+            close = stages.write(close_to_first(wide, wide_lines, distance), "close-to-first")
+            decided = close.select(F.col("b").alias("id")).distinct().withColumn("done", F.lit(True))
+            wide = wide.join(decided, "id", "left").withColumn("open", F.col("done").isNull())
+        letters = wide_lines.select("id", letter_keys(distance, turn).alias("letters"))
+        finer = wide.select("key", "id", "sketch", "own", "open").join(letters, "id")
+        finer = finer.select("key", "id", "sketch", "own", "open", F.explode("letters").alias("letter"))
+        finer = stages.write(finer.withColumn("key", F.xxhash64("key", "letter")).drop("letter"), "split")
+        rows = stages.write(finer.join(sizes(finer), "key"), "finer")
+        stages.drop(finer)
     pairs = stages.write(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     texts = stages.write(long_lines.select("id", "line").join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
     both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    return stages.write(both.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b"), "close")
+    verified = both.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b")
+    return stages.write(verified if close is None else verified.unionAll(close), "close")
 
 
 def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> tuple[DataFrame, Stages]:
@@ -159,7 +172,7 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int =
     lines = line_rows(docs)
     places = lines.select("id", "doc_id", "key", "pos")
     first = stages.write(places.groupBy("id").agg(F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n")), "first")
-    close = close_lines(lines, stages, distance, min_chars)
+    close = close_lines(lines, first, stages, distance, min_chars)
     where = first.select("id", "first")
     ordered = close.join(where.toDF("a", "fa"), "a").join(where.toDF("b", "fb"), "b")
     later = ordered.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
