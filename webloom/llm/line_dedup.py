@@ -13,10 +13,11 @@ earliest line, as many rows as the bucket has; those within the distance are dec
 pairs of two decided lines are not looked at again. Then the bucket is split by letters:
 letters fall into 2 * DISTANCE + 1 groups, an edit touches two letters at most, so two close
 lines hold the letters of at least one group in the same order. A line goes to one bucket
-for each group, named by these letters; a bucket that is still wide is split by another
+for each group, named by these letters, and a pair counts in the first group it has in common;
+a bucket that is still wide is split by another
 grouping of the letters, up to ``TURNS`` times, and what is left is joined whole. Rows of a
-bucket meet under a condition on sketches of their words, which two close lines always
-satisfy. DataFrame operations only.
+bucket meet under a condition on sketches of their words, after a split of their pairs of
+letters, which two close lines always satisfy. DataFrame operations only.
 
 A line stays where it occurs first (by doc_id, then line number) and goes everywhere else;
 it goes everywhere if a line within the distance occurs before it.
@@ -38,9 +39,9 @@ from webloom.session import broadcast_if_small
 DISTANCE = 2
 MIN_CHARS = 20
 #: Pairs a bucket may give before it is split.
-WIDE = 4096
+WIDE = 1024
 #: Times a bucket is split by the letters of its lines.
-TURNS = 3
+TURNS = 2
 
 BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
 
@@ -89,7 +90,7 @@ def letter_keys(distance: int, turn: int) -> Column:
     """Array with a hash per group of letters: the line's letters of that group in order."""
     n = 2 * distance + 1
     mine = f"filter(split(line, ''), c -> pmod(xxhash64(c, {turn}), {n}) = g)"
-    return F.expr(f"transform(sequence(0, {n - 1}), g -> xxhash64(g, array_join({mine}, '')))")
+    return F.expr(f"transform(sequence(0, {n - 1}), g -> xxhash64({turn}, g, array_join({mine}, '')))")
 
 
 def sketch() -> Column:
@@ -97,6 +98,12 @@ def sketch() -> Column:
     return F.expr("aggregate(split(line, ' '), 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))")
 
 
+def fine_sketch() -> Column:
+    """64 bits of parities of the line's pairs of letters: an edit changes four of them at most."""
+    pairs = "sequence(1, len - 1), 0L, (a, i) -> a ^ shiftleft(1L, cast(pmod(xxhash64(substring(line, i, 2)), 64) as int))"
+    return F.expr(f"case when len < 2 then 0L else aggregate({pairs}) end")
+
+
 def exploded(rows: DataFrame, *keep: str) -> DataFrame:
     out = rows.select(*keep, F.posexplode("keys").alias("slot", "key"))
     return out.where("key is not null")
@@ -110,12 +117,13 @@ def sizes(rows: DataFrame) -> DataFrame:
     return found.where("cost > 0")
 
 
-def bucket_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """Pairs of an owner of a bucket's segment and another line, not both decided."""
-    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("open").alias("oa"))
-    every = rows.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("open").alias("ob"))
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 3 * distance
-    both = own.join(every, "key").where((F.col("a") != F.col("b")) & near & (F.col("oa") | F.col("ob")))
+def bucket_pairs(rows: DataFrame, bits: int) -> DataFrame:
+    """Pairs of an owner of a bucket's segment and another line, not both decided, whose
+    sketches differ in at most ``bits`` bits, in the bucket of their first common letters."""
+    own = rows.where("own").select("key", F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("open").alias("oa"), F.col("before").alias("la"))
+    every = rows.select("key", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("open").alias("ob"), F.col("before").alias("lb"))
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= bits
+    both = own.join(every, "key").where((F.col("a") != F.col("b")) & near & (F.col("oa") | F.col("ob")) & ~F.arrays_overlap("la", "lb"))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -134,28 +142,30 @@ def close_lines(lines: DataFrame, first: DataFrame, stages: Stages, distance: in
     earlier one so close is in a pair with an earlier one."""
     long_lines = lines.where(F.col("len") >= min_chars).select("id", "line", "len")
     keyed = long_lines.select("id", sketch().alias("sketch"), segment_keys(distance).alias("keys")).dropDuplicates(["id"])
-    state = {"own": F.col("slot") <= distance, "open": F.lit(True)}
+    state = {"own": F.col("slot") <= distance, "open": F.lit(True), "before": F.array().cast("array<long>")}
     rows = exploded(keyed, "id").withColumns(state).drop("slot")
     rows = stages.write(rows.join(sizes(rows), "key").join(keyed.select("id", "sketch"), "id"), "buckets")
     pairs, close, wide_lines = None, None, None
     for turn in range(TURNS + 1):
         last = turn == TURNS
-        few = bucket_pairs(rows if last else rows.where(F.col("cost") <= WIDE), distance)
+        few = bucket_pairs(rows if last else rows.where(F.col("cost") <= WIDE), 4 * distance if turn else 3 * distance)
         pairs = few if pairs is None else pairs.unionAll(few)
         wide = rows.where(F.col("cost") > WIDE)
         if last or wide.isEmpty():
             break
         if wide_lines is None:
             ids = broadcast_if_small(wide.select("id").distinct())
-            found = long_lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
-            wide_lines = stages.write(found.join(first.select("id", "first"), "id"), "wide-lines")
+            found = long_lines.join(ids, "id", "left_semi").dropDuplicates(["id"])
+            wide_lines = stages.write(found.withColumn("fine", fine_sketch()).join(first.select("id", "first"), "id"), "wide-lines")
             close = stages.write(close_to_first(wide, wide_lines, distance), "close-to-first")
             decided = close.select(F.col("b").alias("id")).distinct().withColumn("done", F.lit(True))
             wide = wide.join(decided, "id", "left").withColumn("open", F.col("done").isNull())
-        letters = wide_lines.select("id", letter_keys(distance, turn).alias("letters"))
-        finer = wide.select("key", "id", "sketch", "own", "open").join(letters, "id")
-        finer = finer.select("key", "id", "sketch", "own", "open", F.explode("letters").alias("letter"))
-        finer = stages.write(finer.withColumn("key", F.xxhash64("key", "letter")).drop("letter"), "split")
+        letters = wide_lines.select("id", "fine", letter_keys(distance, turn).alias("letters"))
+        finer = wide.select("key", "id", "own", "open", "before").join(letters.withColumnRenamed("fine", "sketch"), "id")
+        finer = finer.select("key", "id", "sketch", "own", "open", "before", "letters", F.posexplode("letters").alias("g", "letter"))
+        before = F.concat("before", F.slice("letters", 1, F.col("g")))
+        finer = finer.select(F.xxhash64("key", "letter").alias("key"), "id", "sketch", "own", "open", before.alias("before"))
+        finer = stages.write(finer, "split")
         rows = stages.write(finer.join(sizes(finer), "key"), "finer")
         stages.drop(finer)
     pairs = stages.write(pairs.distinct(), "pairs")
