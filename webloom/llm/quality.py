@@ -5,9 +5,9 @@ trimmed) and hashed. For every host the distinct documents that hold it are coun
 lines above ``max_docs`` are boilerplate and leave the text; a document that keeps less
 than ``min_left`` percent of its words is rejected as depleted.
 
-Documents count by content: a document's identity is the smallest hash among its lines,
-so that a page crawled a thousand times, exactly or with small edits, counts about once
-and is not mistaken for a thousand pages that share a footer.
+Documents count by content: a document's identity is the hash of its whole text, so that
+a page crawled a thousand times counts once and is not mistaken for a thousand pages that
+share a footer. Texts that differ anywhere are documents of their own.
 
 Defined cases: a null or empty text, or one of white space, has no words and fails
 ``n_words < min_words``; blank lines have no hash; a null host is a host of its own;
@@ -110,18 +110,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(docs: DataFrame, host: str, stages: Stages) -> DataFrame:
-    """One written row per document: a row number, the host, its statistics and its line hashes."""
-    some = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
-    schema = f"doc_id {some.schema['doc_id'].dataType.simpleString()}, host string, {STATS}"
+    """One written row per document: a row number, the host, the hash of its text, its statistics and its line hashes."""
+    some = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("content"), "text")
+    schema = f"doc_id {some.schema['doc_id'].dataType.simpleString()}, host string, content long, {STATS}"
     return stages.write(some.mapInArrow(_measure, schema).withColumn("row", F.monotonically_increasing_id()), "stats")
 
 
 def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line, n_docs) of the lines that more than ``max_docs`` documents of a host hold.
+    """(host, line, n_docs) of the lines that more than ``max_docs`` different texts of a host hold.
     Both steps aggregate before they shuffle, so one line or host never meets in one task."""
-    each = rows.select("host", F.explode(F.array_distinct("lines")).alias("line"), F.array_min("lines").alias("family"))
+    each = rows.select("host", "content", F.explode(F.array_distinct("lines")).alias("line"))
     return (
-        each.groupBy("host", "line", "family").agg(F.lit(1).alias("one"))
+        each.groupBy("host", "line", "content").agg(F.lit(1).alias("one"))
         .groupBy("host", "line").agg(F.sum("one").cast("long").alias("n_docs")).where(F.col("n_docs") > max_docs)
     )
 
