@@ -8,14 +8,19 @@ item's value must stand for one value of the document and the other way round. W
 inconsistent slots do not count. A document is contaminated by an item when consistent
 windows cover ``MIN_WORDS`` words of it, or ``MIN_SHARE`` percent of a shorter item.
 
+A capitalised word at the start of a sentence may be a name or any word, so windows have a
+hash for each choice, in items and documents alike. Windows that rest on such a choice are
+checked together with the others, but never take a window away that is sound without them.
+Windows with fewer than ``MIN_LITERALS`` plain words, and all of items under ``MIN_ITEM``
+words, are joined by their words as they stand, so exact copies are always found.
+
 The benchmark is the query set: its window hashes go to the tasks in blocks of at most
 ``BLOCK`` hashes, each block against all documents, so any number of items works. Only
 matched windows leave the tasks; a passage that a third of all documents hold costs rows in
 proportion, and lists are kept per document and item only.
 
-Defined cases: a null or empty text is clean; items of fewer than ``MIN_ITEM`` words or with
-fewer than ``MIN_LITERALS`` plain words in each window are not searched; items shorter than a
-window are one window of their length; equal rows get equal results; other columns are ignored.
+Defined cases: a null or empty text is clean; items shorter than a window are one window of
+their length; equal rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ UNITS = frozenset(
 EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 MARKS = {NUM: "<number>", UNIT: "<unit>", NAME: "<name>"}
+#: Stands for the choice of a window that is joined by its words as they stand.
+LITERAL = -1
 
 
 def classify(dictionary: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -81,49 +88,80 @@ class Template:
             first[1:] = ends[words.codes[:-1]]
             first[words.offsets[:-1][words.counts > 0]] = True
         self.kinds = kinds[words.codes]
+        self.shapes = self.kinds.copy()
         self.kinds[first & (self.kinds == NAME)] = WORD  # a sentence may start with any word
+        self.open = self.shapes != self.kinds
         plain = string_hashes(pa.array([c.lower() for c in self.cores]))[words.codes] if len(first) else np.zeros(0, np.uint64)
         marks = np.zeros(4, np.uint64)
         marks[1:] = string_hashes(pa.array([MARKS[k] for k in (NUM, UNIT, NAME)]))
         self.hashes = np.where(self.kinds == WORD, plain, marks[self.kinds])
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, hashes) of the windows with enough plain words."""
+        self.named = np.where(self.open, marks[NAME], self.hashes)
+        same = string_hashes(pa.array([c.lower() or w for c, w in zip(self.cores, words.dictionary.to_pylist(), strict=True)]))
+        self.literal = same[words.codes] if len(first) else np.zeros(0, np.uint64)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, hashes, choices) of all windows, one row for each choice of the capitalised
+        words that start a sentence: bit i of a choice reads word i as a name, LITERAL reads
+        all words as they stand."""
         total = len(self.hashes)
-        runs = window_hashes(self.hashes, width, seed=width)
-        plain = np.concatenate(([0], np.cumsum(self.kinds == WORD)))
-        if not len(runs):
-            return np.zeros(0, np.int64), runs
-        enough = plain[width:] - plain[:-width] >= min(MIN_LITERALS, width - 1)
-        starts = np.flatnonzero(window_starts(self.words.offsets, width, total)[: len(runs)] & enough[: len(runs)])
-        return starts, runs[starts]
-
-    def slots(self, start: int, width: int) -> list[str]:
-        return [self.cores[self.words.codes[i]].lower() for i in range(start, start + width) if self.kinds[i] != WORD]
-
-
-def window_rows(template: Template, starts: np.ndarray, hashes: np.ndarray, width: int, ids: pa.Array, name: str) -> pa.RecordBatch:
+        if total < width:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        starts = np.flatnonzero(window_starts(self.words.offsets, width, total)[: total - width + 1])
+        sums = lambda x: np.concatenate(([0], np.cumsum(x)))
+        count = lambda x: (lambda c: c[starts + width] - c[starts])(sums(x))
+        least = min(MIN_LITERALS, width - 1)
+        # the same words are poor wherever they stand, as this counts shapes only
+        poor = starts if width < MIN_ITEM else starts[count(self.shapes == WORD) < least]
+        out = [(poor, window_hashes(self.literal, width, seed=width + 1000)[poor], LITERAL)]
+        if width >= MIN_ITEM:
+            plain, runs = count(self.kinds == WORD), window_hashes(self.hashes, width, seed=width)
+            out.append((starts[plain >= least], runs[starts[plain >= least]], 0))
+            some = np.flatnonzero(count(self.open) > 0)
+            bits = sum((self.open[starts[some] + i].astype(np.int64) << i for i in range(width)), np.zeros(len(some), np.int64))
+            for pattern in np.unique(bits).tolist():
+                own = some[bits == pattern]
+                choice = pattern
+                while choice:
+                    rich = starts[own[plain[own] - choice.bit_count() >= least]]
+                    if len(rich):
+                        out.append((rich, self.chosen(rich, width, choice), choice))
+                    choice = (choice - 1) & pattern
+        return tuple(np.concatenate(x) for x in ([o[0] for o in out], [o[1] for o in out], [np.full(len(o[0]), o[2], np.int64) for o in out]))
+
+    def chosen(self, starts: np.ndarray, width: int, choice: int) -> np.ndarray:
+        """Hashes of the windows under a choice, as ``window_hashes`` makes them."""
+        rows = np.stack([(self.named if choice >> i & 1 else self.hashes)[starts + i] for i in range(width)], 1)
+        return window_hashes(rows.ravel(), width, seed=width)[::width]
+
+    def slots(self, start: int, width: int, choice: int = 0) -> list[str]:
+        if choice == LITERAL:
+            return []
+        return [self.cores[self.words.codes[start + i]].lower() for i in range(width) if self.kinds[start + i] != WORD or choice >> i & 1]
+
+
+def window_rows(template: Template, starts: np.ndarray, hashes: np.ndarray, choices: np.ndarray, width: int, ids: pa.Array, name: str) -> pa.RecordBatch:
     owner = np.searchsorted(template.words.offsets, starts, side="right") - 1
     return pa.RecordBatch.from_pydict({
         name: ids.take(pa.array(owner)), "hash": pa.array(signed(np.ascontiguousarray(hashes))),
         "at": pa.array(starts - template.words.offsets[owner], pa.int64()), "width": pa.array(np.full(len(starts), width, np.int64)),
         "size": pa.array(template.words.counts[owner], pa.int64()),
-        "slots": pa.array([template.slots(s, width) for s in starts.tolist()], pa.list_(pa.string())),
+        "slots": pa.array([template.slots(s, width, c) for s, c in zip(starts.tolist(), choices.tolist(), strict=True)], pa.list_(pa.string())),
+        "loose": pa.array(choices > 0),
     })
 
 
-ROWS = "hash long, at long, width long, size long, slots array<string>"
+ROWS = "hash long, at long, width long, size long, slots array<string>, loose boolean"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         template = Template(part.column("text"))
         counts = template.words.counts
-        for width in sorted({WIDTH, *(int(c) for c in counts if MIN_ITEM <= c < WIDTH)}):
-            starts, hashes = template.windows(width)
+        for width in sorted({WIDTH, *(int(c) for c in counts if 0 < c < WIDTH)}):
+            starts, hashes, choices = template.windows(width)
             size = counts[np.searchsorted(template.words.offsets, starts, side="right") - 1]
             mine = size >= WIDTH if width == WIDTH else size == width
-            yield window_rows(template, starts[mine], hashes[mine], width, part.column("item_id"), "item_id")
+            yield window_rows(template, starts[mine], hashes[mine], choices[mine], width, part.column("item_id"), "item_id")
 
 
 def _search(known, widths: list[int]):
@@ -132,12 +170,12 @@ def _search(known, widths: list[int]):
         for part in slices(batches):
             template = Template(part.column("text"))
             for width in widths:
-                starts, hashes = template.windows(width)
+                starts, hashes, choices = template.windows(width)
                 if not len(starts):
                     continue
                 found = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                 hit = wanted[found] == hashes
-                yield window_rows(template, starts[hit], hashes[hit], width, part.column("key"), "key")
+                yield window_rows(template, starts[hit], hashes[hit], choices[hit], width, part.column("key"), "key")
 
     return task
 
@@ -161,17 +199,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, stages: Stages) -> Dat
     """(key, item_id, words): items that contaminate a document and the words covered."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
     items = stages.write(benchmark.select("item_id", "text").mapInArrow(_items, f"item_id {kind}, {ROWS}"), "items")
-    hits = stages.write(matched_windows(docs, items).select("key", "hash", "at", "slots"), "hits")
-    side = items.select("item_id", "hash", F.col("at").alias("p"), "width", "size", F.col("slots").alias("own"))
+    hits = stages.write(matched_windows(docs, items).select("key", "hash", "at", "slots", F.col("loose").alias("free")), "hits")
+    side = items.select("item_id", "hash", F.col("at").alias("p"), "width", "size", F.col("slots").alias("own"), "loose")
     pairs = hits.join(broadcast_if_small(side), "hash")
     values = F.array_distinct(F.zip_with("own", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d"))))
-    window = F.struct("p", "width", values.alias("values"))
+    window = F.struct("p", "width", values.alias("values"), (F.col("loose") | F.col("free")).alias("loose"))
     groups = pairs.groupBy("key", "item_id", (F.col("at") - F.col("p")).alias("shift")).agg(F.collect_set(window).alias("windows"), F.first("size").alias("size"))
     # an item's value with two values in the document, or the other way round
-    groups = groups.withColumn("seen", F.array_distinct(F.flatten("windows.values")))
-    clash = F.filter("seen", lambda x: F.exists("seen", lambda y: ((x["i"] == y["i"]) & (x["d"] != y["d"])) | ((x["d"] == y["d"]) & (x["i"] != y["i"]))))
-    groups = groups.withColumn("clash", clash)
-    sound = F.filter("windows", lambda w: ~F.arrays_overlap(w["values"], F.col("clash")))
+    strict = F.filter("windows", lambda w: ~w["loose"])
+    groups = groups.withColumns({"seen": F.array_distinct(F.flatten("windows.values")), "firm": F.array_distinct(F.flatten(F.transform(strict, lambda w: w["values"])))})
+    clash = lambda c: F.filter(c, lambda x: F.exists(c, lambda y: ((x["i"] == y["i"]) & (x["d"] != y["d"])) | ((x["d"] == y["d"]) & (x["i"] != y["i"]))))
+    groups = groups.withColumns({"clash": clash("seen"), "firm_clash": clash("firm")})
+    sound = F.filter("windows", lambda w: ~F.arrays_overlap(w["values"], F.col("clash")) | (~w["loose"] & ~F.arrays_overlap(w["values"], F.col("firm_clash"))))
     covered = F.array_distinct(F.flatten(F.transform(sound, lambda w: F.sequence(w["p"], w["p"] + w["width"] - 1))))
     places = groups.select("key", "item_id", "size", F.explode(covered).alias("place")).distinct()
     total = places.groupBy("key", "item_id").agg(F.count("*").alias("words"), F.first("size").alias("size"))
