@@ -7,9 +7,10 @@ normalised copy together with the source place of every character they write:
 * homoglyphs: full-width forms, Cyrillic and Greek look-alikes, digits of other scripts;
   zero-width characters and soft hyphens write nothing;
 * disguises: ``[at]``, ``(dot)``, ``{at}`` and, in a run that reads like an address, ``name at host
-  dot tld`` become ``@`` and ``.``;
-* spelled digits: a run of at least ``MIN_SPELLED`` number words, alone or next to digits,
-  becomes digits.
+  dot tld`` (any word of SIGNS, any ending of two letters or more) become ``@`` and ``.``; "at this
+  point in" or "at the dot of" is prose;
+* spelled digits: a run of at least ``MIN_SPELLED`` number words, or of any number of them next
+  to digits, becomes digits.
 
 Identifiers found in the copy are mapped back to source characters. Plain spans always
 stay; a mapped span is added only where it lies on source that a transducer changed and
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from webloom.llm.arrow_text import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Number words that must stand in a row before they count as digits.
+#: Number words that must stand in a row before they count as digits where no digit stands with them.
 MIN_SPELLED = 4
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+", re.ASCII)
@@ -59,18 +60,20 @@ LATIN = "abecmoppxykijshdqwABEKMHOPCTXIJSoaivpuABEHIKMNOPTYXZ"
 INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 SPELLED_RUN = re.compile(
-    rf"(?<![^\W_])(?:{SPELLED}|[0-9])(?:[ ,.\-]{{1,3}}(?:{SPELLED}|[0-9]+)(?![^\W_])){{{MIN_SPELLED - 1},}}", re.IGNORECASE)
+    rf"(?<![^\W_])(?:{SPELLED}|[0-9]+)(?:[ ,.\-]{{1,3}}(?:{SPELLED}|[0-9]+)(?![^\W_]))+", re.IGNORECASE)
+ANY_DIGIT = re.compile("[0-9]")
 NUMBER_WORD = re.compile(rf"(?<![^\W_])(?:{SPELLED})(?![^\W_])", re.IGNORECASE)
 BRACKETED = re.compile(r"\s?([\[({<])\s?(at|dot|punkt|point|punto|arroba|[@.])\s?[\])}>]\s?", re.IGNORECASE)
 SPOKEN_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.IGNORECASE)
 SPOKEN_PLUS = re.compile(r"(?:\+|(?<![^\W_])plus)\s+(?=[0-9])", re.IGNORECASE)
 #: Letters that stand for digits between two digits.
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[0-9])")
+DOT = r"(?:\s{1,3}(?:dot|punkt|point|punto)\s{1,3}|\.)"
 SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9_%+-]{1,64}){0,6}(?:\s{1,3}at\s{1,3}|@)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){0,6}?(?:\s{1,3}dot\s{1,3}|\.)"
-    r"(?:com|org|net|edu|gov|info|io|de|fr|es|eu|uk|co)(?![A-Za-z0-9-])", re.IGNORECASE)
-SPOKEN_PART = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,6}}(?:\s{{1,3}}(?:at|arroba)\s{{1,3}}|@)"
+    rf"(?!(?:this|that|the|a|any|some|one|no|each|every|which|what|another)\s+(?:point|dot)\s)[A-Za-z0-9-]{{1,63}}"
+    rf"(?:{DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}{DOT}[A-Za-z]{{2,63}}(?![A-Za-z0-9-])", re.IGNORECASE)
+SPOKEN_PART = re.compile(r"\s+(at|arroba|dot|punkt|point|punto)\s+", re.IGNORECASE)
 SIGNS = {"@": "@", ".": ".", "at": "@", "arroba": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 
 
@@ -161,7 +164,7 @@ def fold_digits(tape: Tape) -> None:
     edits = []
     for run in SPELLED_RUN.finditer(tape.text):
         words = list(NUMBER_WORD.finditer(tape.text, run.start(), run.end()))
-        if len(words) < MIN_SPELLED:
+        if not words or len(words) < MIN_SPELLED and not ANY_DIGIT.search(run.group()):
             continue
         last = None
         for m in re.finditer(rf"{SPELLED}|[0-9]+", run.group(), re.IGNORECASE):
@@ -193,14 +196,14 @@ def fold_signs(tape: Tape) -> None:
     edits = []
     for run in SPOKEN.finditer(tape.text):
         parts = list(SPOKEN_PART.finditer(tape.text, run.start(), run.end()))
-        if any(m.group(1).lower() == "dot" for m in parts):  # "look at example.com" is prose
+        if any(SIGNS[m.group(1).lower()] == "." for m in parts):  # "look at example.com" is prose
             edits += [(m.start(), m.end(), SIGNS[m.group(1).lower()]) for m in parts]
     if edits:
         tape.rewrite(edits)
 
 
 #: A text none of these occur in is left as it is by every transducer.
-SPOKEN_SIGN = re.compile(r"\bdot\b|\barroba\b|[\[({<]\s*(?:at|punkt|point|punto|[@.])\s*[\])}>]", re.IGNORECASE)
+SPOKEN_SIGN = re.compile(r"\b(?:dot|arroba|punkt|point|punto)\b|[\[({<]\s*(?:at|punkt|point|punto|[@.])\s*[\])}>]", re.IGNORECASE)
 
 
 def hidden_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
