@@ -86,10 +86,11 @@ def answer_message(body: Column) -> Column:
     return F.when(field != "", field).otherwise(raw)
 
 
-def redact_body(body: Column, limit: int = 300) -> Column:
-    """One line, tokens blanked, the first ``limit`` characters."""
+def redact_body(body: Column, limit: int | None = 300) -> Column:
+    """One line, tokens blanked, the first ``limit`` characters (None: all)."""
     one_line = collapse(F.coalesce(body, F.lit("")))
-    return F.left(F.regexp_replace(one_line, seeds.TOKEN_LIKE, "<token>"), F.lit(limit))
+    whole = F.regexp_replace(one_line, seeds.TOKEN_LIKE, "<token>")
+    return whole if limit is None else F.left(whole, F.lit(limit))
 
 
 def error_excerpt(text: Column) -> Column:

@@ -61,8 +61,9 @@ def bad_responses(responses: DataFrame) -> DataFrame:
 
 def network_findings(bad: DataFrame, page_text: DataFrame | None = None, logged_in: bool = False) -> DataFrame:
     """Grade error answers (``bad`` with body). A visitor's sign-in checks become one
-    note per page; "nothing to show" answers are mild; the rest go by status."""
-    rows = bad.withColumn("answer", X.redact_body(F.col("body")))
+    note per page; "nothing to show" answers are mild; the rest go by status. The whole
+    body is judged; the texts shown are its first 300 characters."""
+    rows = bad.withColumn("answer", X.redact_body(F.col("body"), None))
     if page_text is not None:
         shows = page_text.select("page_url", F.col("text").rlike(seeds.ERRORISH_PAGE).alias("shows_error"))
         rows = rows.join(shows, "page_url", "left")
@@ -80,11 +81,11 @@ def network_findings(bad: DataFrame, page_text: DataFrame | None = None, logged_
     )
     rest = rows.where("NOT probe").withColumn("background", F.col("resource_type").isin("xhr", "fetch"))
     rest = rest.withColumn("is_empty", F.col("background") & P.is_empty_answer(F.col("status"), F.col("answer")))
-    ev = G.evidence(request_url=F.col("url"), status=F.col("status"), method=F.col("method"), resource_type=F.col("resource_type"), response=F.col("answer"))
+    ev = G.evidence(request_url=F.col("url"), status=F.col("status"), method=F.col("method"), resource_type=F.col("resource_type"), response=F.left("answer", F.lit(300)))
     mild = _f(
         rest.where("is_empty"), F.when(F.col("shows_error"), "medium").otherwise("low"), "Network",
         F.concat(F.lit("API answers "), F.col("status"), F.lit(" for an empty result"), F.when(F.col("shows_error"), "").otherwise(" (the page shows no error)"), F.lit(": "), U.shorten(F.col("url"), 60)),
-        evidence=ev, detail=X.answer_message(F.col("answer")),
+        evidence=ev, detail=F.left(X.answer_message(F.col("answer")), F.lit(300)),
     )
     sev = F.when(F.col("status") >= 500, "critical").when(F.col("status") == 429, "medium").otherwise("high")
     words = F.lit("the request did not succeed")
