@@ -100,8 +100,8 @@ def hidden_counts(board: DataFrame) -> DataFrame:
 
 def link_intersect(referring: DataFrame, board: DataFrame, me: str, k: int = 40, shown: int = 4) -> DataFrame:
     """Domains that link to rivals but not to ``me``: domain, authority, rivals and
-    the first few rivals in leaderboard order. ``referring`` is the top list of
-    every domain (domain, other, authority)."""
+    the first few rivals in leaderboard order. ``referring`` holds all
+    referrers of every domain (domain, other, authority)."""
     mine = referring.where(F.col("domain") == me).select("other")
     rivals = referring.where((F.col("domain") != me) & (F.col("other") != me) & (F.col("other") != F.col("domain")))
     rivals = rivals.join(mine, "other", "left_anti").select("domain", "other", "authority")

@@ -298,6 +298,13 @@ def expand(
     return marked.select("domain", "url", "refdoms", "verdict").orderBy(F.desc("refdoms"), "domain")
 
 
+def scored_referrers(edges: DataFrame, leaderboard: DataFrame) -> DataFrame:
+    """All referring domains of every domain: other, domain, links, follow, authority."""
+    score = leaderboard.select(F.col("domain").alias("other"), "authority")
+    pairs = _referrers(edges).select(F.col("target_domain").alias("domain"), F.col("source_domain").alias("other"), "links", "follow")
+    return pairs.join(score, "other", "left").withColumn("authority", F.coalesce("authority", F.lit(0)))
+
+
 def detail_lists(edges: DataFrame, leaderboard: DataFrame, k: int = 60) -> dict[str, DataFrame]:
     """Top-k lists of every domain at once: referring, backlinks, outbound. Ranked
     windows are cut to k rows per domain before the shuffle."""
@@ -309,9 +316,7 @@ def detail_lists(edges: DataFrame, leaderboard: DataFrame, k: int = 60) -> dict[
 
     pairs = _referrers(edges)
     scored = lambda rows: rows.join(score, "other", "left").withColumn("authority", F.coalesce("authority", F.lit(0)))
-    referring = scored(
-        pairs.select(F.col("target_domain").alias("domain"), F.col("source_domain").alias("other"), "links", "follow")
-    )
+    referring = scored_referrers(edges, leaderboard)
     outbound = pairs.select(F.col("source_domain").alias("domain"), F.col("target_domain").alias("other"), "links")
     links = _crossing(edges).select(
         F.col("target_domain").alias("domain"), F.col("source_url").alias("from_url"),

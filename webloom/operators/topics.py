@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import topic_norm
 from webloom.functions.urls import let
-from webloom.session import fits
 
-#: a term list up to this size is tested inside each row; a longer one is joined
+#: no bound any more: a table of terms takes one path at any size; kept as callers and tests still name it
 INLINE_TERMS = 2_000
 
 
@@ -30,22 +29,23 @@ def topic_hit_terms(text: Column, terms) -> Column:
 
 
 def topic_hits(docs: DataFrame, terms, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term) rows. A short list is tested row by row; a long one, given as a
-    table, meets the texts through three-letter pieces (see ``_joined_hits``)."""
+    """(key, term) rows, those of each row of ``docs`` by itself, also where keys repeat.
+    Terms given as a list are tested row by row; a table of any size meets the texts
+    through three-letter pieces (see ``_joined_hits``)."""
     if isinstance(terms, DataFrame):
-        if not fits(terms, INLINE_TERMS):
-            return _joined_hits(docs, terms, key, text)
-        terms = [r.term for r in terms.select("term").distinct().collect()]
+        return _joined_hits(docs, terms, key, text)
     return docs.select(key, F.explode(topic_hit_terms(F.col(text), terms)).alias("term"))
 
 
 def _joined_hits(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """Every term names one of its three-letter pieces, the one the fewest texts
-    hold; texts with that piece are candidates and are then searched."""
-    normal = docs.select(key, topic_norm(F.col(text)).alias("hay"))
+    hold; texts with that piece are candidates and are then searched. Equal rows
+    have one ``row_key`` and are counted."""
+    normal = docs.select(F.col(key).alias("own"), topic_norm(F.col(text)).alias("hay")).groupBy("own", "hay").agg(F.count("*").cast("int").alias("copies"))
+    normal = normal.withColumn("row_key", F.xxhash64("own", "hay"))
     words = terms.select(F.trim(topic_norm(F.col("term"))).alias("term")).where("term <> ''").distinct()
     gram = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?=(.{3}))"), 1))
-    pieces = normal.select(key, F.explode(gram(F.col("hay"))).alias("g"))
+    pieces = normal.select("row_key", F.explode(gram(F.col("hay"))).alias("g"))
     counts = pieces.groupBy("g").agg(F.count("*").alias("n"))  # at most 37^3 rows
     long_, short = words.where(F.length("term") >= 3), words.where(F.length("term") < 3)  # short: at most 37^2 rows
     named = (
@@ -54,15 +54,17 @@ def _joined_hits(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Data
         .groupBy("term")
         .agg(F.min_by("g", F.struct("n", "g")).alias("g"))
     )
-    candidates = pieces.join(named, "g").select(key, "term")
-    found = candidates.join(normal, key).where(F.col("hay").contains(F.col("term"))).select(key, "term")
+    candidates = pieces.join(named, "g").select("row_key", "term")
+    found = candidates.join(normal, "row_key").where(F.col("hay").contains(F.col("term"))).select("row_key", "term")
     tiny = [r.term for r in short.collect()]
     if tiny:
         held = F.filter(F.array(*[F.lit(t) for t in tiny]), lambda t: F.col("hay").contains(t))
-        found = found.unionByName(normal.select(key, F.explode(held).alias("term")))
+        found = found.unionByName(normal.select("row_key", F.explode(held).alias("term")))
     inside = found.withColumnRenamed("term", "o")
-    longer = found.join(inside, key).where("o <> term AND contains(term, o)").select(key, "term")
-    return found.join(longer, [key, "term"], "left_anti")
+    longer = found.join(inside, "row_key").where("o <> term AND contains(term, o)").select("row_key", "term")
+    alone = found.join(longer, ["row_key", "term"], "left_anti")
+    each = normal.select("row_key", F.col("own").alias(key), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"))
+    return alone.join(each, "row_key").select(key, "term")
 
 
 def topic_match(docs: DataFrame, terms: list[str], min_hits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -352,8 +352,7 @@ FROM riv GROUP BY riv.other ORDER BY rivals DESC, authority DESC, domain LIMIT 4
 def link_intersect(spark, sf):
     e = stored_edges(spark, sf)
     b = board(spark, sf, e)
-    lists = I.detail_lists(e, b, k=5)
-    out = A.link_intersect(lists["referring"], b, "nation3.com")
+    out = A.link_intersect(I.scored_referrers(e, b), b, "nation3.com")
     return out.withColumn("first_rivals", F.array_join("first_rivals", ","))
 
 
