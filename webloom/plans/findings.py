@@ -40,7 +40,7 @@ def order_findings(spark, sf):
     "WITH " + GUILTY + " SELECT url, title, left(sha1(category || '|' || title || '|' || url || '|'), 12) AS id, left(sha1(category || '|' || title), 12) AS group_id FROM g WHERE category = 'SEO'",
 )
 def finding_ids(spark, sf):
-    f = shop_findings(spark, sf).where("category = 'SEO'")
+    f = shop_findings(spark, sf)
     return f.select("url", "title", G.finding_id().alias("id"), G.group_id().alias("group_id"))
 
 
@@ -91,5 +91,5 @@ def page_results(spark, sf):
 
     pages = spread(table(spark, sf, "pages"))
     links = L.extract_links(pages).select("page_url", U.normalise("href", F.col("page_url")).alias("target"))
-    found = page_findings(pages).where("title NOT LIKE 'Placeholder%'")
+    found = page_findings(pages)
     return G.page_results(pages, found, links)

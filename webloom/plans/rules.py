@@ -167,4 +167,4 @@ UNION ALL SELECT 'https://shop.example.com/item/' || p_partkey, 'Spelling mistak
 )
 def spelling_findings(spark, sf):
     book = shaped(spark, sf, "SELECT DISTINCT 'detail' AS wrong, 'detailed account' AS right FROM {region} UNION SELECT 'part', 'piece' FROM {region}")
-    return R.spelling_findings(R.page_facts(shop(spark, sf)).where("lang <> ''"), book).select("url", "title")
+    return R.spelling_findings(R.page_facts(shop(spark, sf)), book).select("url", "title")

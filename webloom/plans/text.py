@@ -57,7 +57,7 @@ s AS (SELECT doc_id, low, times, shown, CASE WHEN shown = upper(shown) AND lengt
 
 @query("misspellings", HITS + " SELECT doc_id, low, shown, suggestion, times FROM s")
 def misspellings(spark, sf):
-    eng = S.english(docs(spark, sf).where("lang = 'en'"))
+    eng = S.english(docs(spark, sf))
     return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS).withColumnRenamed("correct", "right")).select("doc_id", "low", "shown", "suggestion", "times")
 
 
@@ -71,7 +71,7 @@ SELECT doc_id, low, CASE WHEN a > 0 THEN '…' ELSE '' END || trim(regexp_replac
   || CASE WHEN z < length(text) THEN '…' ELSE '' END AS context FROM c""",
 )
 def misspelling_context(spark, sf):
-    eng = S.english(docs(spark, sf).where("lang = 'en'"))
+    eng = S.english(docs(spark, sf))
     return S.misspellings(eng, shaped(spark, sf, BOOK_WORDS).withColumnRenamed("correct", "right")).select("doc_id", "low", "context")
 
 
@@ -121,7 +121,7 @@ SELECT DISTINCT g.doc_id, CASE WHEN c.n <= g.n THEN g.single ELSE g.low END AS r
   least(c.n, g.n) AS rare_times, greatest(c.n, g.n) AS common_times FROM g JOIN c ON c.doc_id = g.doc_id AND c.low = g.single""",
 )
 def spelling_variants_documents(spark, sf):
-    v = S.spelling_variants(S.english(docs(spark, sf).where("lang = 'en'")))
+    v = S.spelling_variants(S.english(docs(spark, sf)))
     return v.select("doc_id", F.lower("rare").alias("rare"), F.lower("common").alias("common"), "rare_times", "common_times")
 
 
@@ -135,7 +135,7 @@ SELECT doc_id, place, title FROM (SELECT doc_id, title, row_number() OVER (PARTI
 )
 def text_findings(spark, sf):
     book = shaped(spark, sf, "SELECT DISTINCT 'order' AS wrong, 'ordinance' AS right FROM {region}")
-    return S.text_findings(notes(spark, sf), book, limit=3).select("doc_id", "place", "title")
+    return S.text_findings(notes(spark, sf), book).select("doc_id", "place", "title")
 
 
 # ------------------------------------------------------------------ topics
@@ -233,7 +233,7 @@ def answer_messages(spark, sf):
 FROM (SELECT doc_id, doc_id % 12 AS k, text FROM (""" + REMARKS + """)) WHERE k >= 7""",
 )
 def error_excerpts(spark, sf):
-    rows = shaped(spark, sf, REMARKS).where("doc_id % 12 >= 7")
+    rows = shaped(spark, sf, REMARKS)
     return rows.select("doc_id", X.error_excerpt(F.col("text")).alias("excerpt"))
 
 
