@@ -7,8 +7,8 @@ corpus.
 
 Inference: a document is a mixture of languages. Expectation-maximisation estimates the
 proportions from the trigram likelihoods. The set of languages is chosen by penalised
-likelihood: starting with the ``START`` likeliest ones, the language with the least share
-leaves as long as the likelihood less ``PENALTY * log(trigrams)`` per language grows. The
+likelihood: starting with all of them (many at once while more than ``START`` are left), the
+language with the least share leaves as long as the likelihood less ``PENALTY * log(trigrams)`` per language grows. The
 prediction is the language with the largest share, the score its share.
 
 Defined cases: a null text, one without letters, or a model without languages: ``und``, score
@@ -112,16 +112,19 @@ def mixture(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros(p.shape[1])
     counts = counts.astype(np.float32)
     alive = np.arange(p.shape[1])
-    if len(alive) > START:
-        alive = np.sort(np.argsort(-(counts @ np.log(p)), kind="stable")[:START])
     share, fit = expectation(p[:, alive], counts, np.full(len(alive), 1 / len(alive), np.float32))
     cost = PENALTY * np.log(max(float(counts.sum()), 2.0))
+    gone = len(alive) // 2 if len(alive) > START else 1  # many at once while there are many
     while len(alive) > 1:
-        fewer = np.delete(np.arange(len(alive)), int(np.argmin(share)))
+        fewer = np.sort(np.argsort(share, kind="stable")[gone:])
         again, less = expectation(p[:, alive[fewer]], counts, np.maximum(share[fewer], 1e-3) / np.maximum(share[fewer], 1e-3).sum())
-        if less < fit - cost:
-            break
+        if less < fit - gone * cost:
+            if gone == 1:
+                break
+            gone //= 2
+            continue
         alive, share, fit = alive[fewer], again, less
+        gone = min(gone, len(alive) // 2) if len(alive) > START else 1
     out[alive] = share
     return out
 
