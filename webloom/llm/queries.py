@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 from webloom.llm.registry import ORACLES, QUERIES, query
 
-MODULES = ["q_decontam", "q_exact", "q_langid", "q_line_dedup", "q_lm", "q_minhash", "q_packing", "q_pii", "q_quality", "q_substring", "q_url_filter"]
+MODULES = ["q_decontam", "q_exact", "q_langid", "q_line_dedup", "q_lm", "q_minhash", "q_packing", "q_phrases", "q_pii", "q_quality", "q_resample", "q_substring", "q_url_filter"]
 
 
 def load() -> None:
