@@ -7,7 +7,7 @@ counts are per language (null: ``und``).
 1. One scan counts words, and pairs of words by hash, each made distinct per slice first.
 2. Pairs of ``min_count`` and more set a bit in a table of fixed size (``BITS``), which is broadcast;
    a second scan cuts every suffix at the first pair whose bit is not set. A shared bit only lets a rare
-   pair through, which step 4 counts exactly. Suffixes are made distinct per slice, with their counts.
+   pair through, which step 4 counts exactly. Suffixes are made distinct in their task, with their counts.
 3. Suffixes are routed by their language and leading pair, so a task holds all suffixes of a pair.
    The pairs of ``hot`` and more (a second table of bits) are spread by their whole suffixes instead.
 4. A task sorts its suffix pointers by a three-way multikey quicksort down to ``MAX_LEN`` words. The weight of an
@@ -48,10 +48,15 @@ BITS = 1 << 26
 BLOCK = 1 << 16
 #: A pair with this many places is spread over all tasks.
 HOT = 500_000
-#: Suffix rows for one task, about.
-TASK_ROWS = 1_000_000
+#: Places of frequent pairs whose suffixes one task sorts, about.
+TASK_PLACES = 2_000_000
+#: Distinct suffixes a task keeps to add up the counts of its slices.
+KEPT_ROWS = 150_000
 SALTS = 16
-BYTES = 16 << 20
+#: Bytes of text whose words and pairs, and whose suffixes, are made distinct together: more need
+#: more memory in a task, less leave more rows to shuffle.
+COUNT_BYTES = 4 << 20
+CUT_BYTES = 2 << 20
 #: Ends a piece among the words; no word holds it.
 BREAK = "."
 
@@ -124,8 +129,8 @@ class Pieces:
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         words = self.dictionary.cast(pa.string()).take(pa.array(self.codes[np.repeat(at, size) + within]))
         ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        return pa.RecordBatch.from_pydict({
-            "lang": self.langs.take(pa.array(self.lang[at])), "words": pa.ListArray.from_arrays(pa.array(ends), words), "spread": pa.array(spread), "n": pa.array(n)})
+        phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
+        return pa.RecordBatch.from_pydict({"lang": self.langs.take(pa.array(self.lang[at])), "phrase": phrase, "spread": pa.array(spread), "n": pa.array(n)})
 
 
 def place_of(hashes: np.ndarray) -> np.ndarray:
@@ -137,17 +142,31 @@ def is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, size=BYTES):
+    for part in slices(batches, size=COUNT_BYTES):
         pieces = Pieces(part)
         yield pieces.word_counts()
         yield pieces.pair_counts()
 
 
+def added_up(rows: list[pa.RecordBatch]) -> pa.Table:
+    sums = pa.Table.from_batches(rows).group_by(["lang", "phrase", "spread"]).aggregate([("n", "sum")])
+    return sums.rename_columns({"n_sum": "n"})
+
+
 def _cut(state):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, hot = state.value
-        for part in slices(batches, size=BYTES):
-            yield Pieces(part).suffixes(frequent, hot)
+        kept: list[pa.RecordBatch] = []
+        for part in slices(batches, size=CUT_BYTES):
+            kept.append(Pieces(part).suffixes(frequent, hot))
+            if sum(b.num_rows for b in kept) > 2 * KEPT_ROWS:
+                sums = added_up(kept)
+                kept = sums.to_batches()
+                if sums.num_rows > KEPT_ROWS:
+                    yield from kept
+                    kept = []
+        if kept:
+            yield from added_up(kept).to_batches()
 
     return task
 
@@ -203,7 +222,7 @@ def _sort(least: int):
         rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
-        lists = rows.column("words").combine_chunks()
+        lists = pc.split_pattern(rows.column("phrase").combine_chunks(), " ")
         coded = lists.flatten().dictionary_encode()
         codes, offsets = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
@@ -232,19 +251,19 @@ def phrase_counts(docs: DataFrame, min_count: int, hot: int, stages: Stages) ->
     that occurs ``min_count`` times, single words too."""
     spark = docs.sparkSession
     texts = docs.select("lang", "text")
-    kinds = stages.write(texts.mapInArrow(_count, "lang string, phrase string, pair long, n long"), "kinds")
-    singles = stages.write(kinds.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "singles")
-    pairs = stages.write(kinds.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "pairs")
-    stages.drop(kinds)
+    # a row has a word or a pair, so one shuffle counts both
+    kinds = texts.mapInArrow(_count, "lang string, phrase string, pair long, n long").groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n"))
+    kinds = stages.write(kinds.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count)), "kinds")
+    singles, pairs = kinds.where("phrase IS NOT NULL"), kinds.where("pair IS NOT NULL")
+    places = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     state = spark.sparkContext.broadcast((bit_table(pairs), bit_table(pairs.where(F.col("n") >= hot))))
-    suffixes = stages.write(texts.mapInArrow(_cut(state), "lang string, words array<string>, spread boolean, n long"), "suffixes")
-    width = max(shuffle_width(spark), -(-suffixes.count() // TASK_ROWS))
-    leading = F.when(F.col("spread"), F.xxhash64("lang", "words")).otherwise(F.xxhash64("lang", F.slice("words", 1, 2)))
+    suffixes = texts.mapInArrow(_cut(state), "lang string, phrase string, spread boolean, n long")
+    width = max(shuffle_width(spark), -(-places // TASK_PLACES))
+    leading = F.xxhash64("lang", F.when(F.col("spread"), F.col("phrase")).otherwise(F.substring_index("phrase", " ", 2)))
     shares = suffixes.withColumn("route", leading).repartition(width, "route").drop("route").mapInArrow(_sort(min_count), "lang string, phrase string, words int, n long")
     longer = shares.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
     frequent = singles.where(F.col("n") >= min_count).select("lang", "phrase", F.lit(1).alias("words"), "n")
     counts = stages.write(frequent.unionByName(longer), "counts")
-    stages.drop(suffixes)
     return singles.groupBy("lang").agg(F.sum("n").alias("n")), counts
 
 
