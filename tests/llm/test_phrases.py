@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,16 +55,16 @@ def corpus(seed):
     return docs + docs[:9] + [(500, "en", None), (501, None, ""), (None, "fr", "a a a a a a a a a a a a a"), (502, "es", "long " * 30_000)]
 
 
-@pytest.mark.parametrize("hot", [P.HOT, 40, 1])
-def test_equal_to_a_plain_count(spark, hot):
-    docs = corpus(hot)
-    got = P.collocations(spark.createDataFrame(docs, SCHEMA).repartition(6), min_count=8, top=25, hot=hot)
+@pytest.mark.parametrize("hot_share", [1, 30, P.HOT_SHARE])
+def test_equal_to_a_plain_count(spark, hot_share):
+    docs = corpus(hot_share)
+    got = P.collocations(spark.createDataFrame(docs, SCHEMA).repartition(6), min_count=8, top=25, hot_share=hot_share)
     assert sorted(tuple(r) for r in got.collect()) == sorted(plain(docs, 8, 25))
 
 
 def test_every_frequent_phrase_is_counted(spark):
     docs = corpus(5)
-    totals, counts = P.phrase_counts(spark.createDataFrame(docs, SCHEMA), 4, 60, P.Stages(spark, "test-phrases"))
+    totals, counts = P.phrase_counts(spark.createDataFrame(docs, SCHEMA), 4, 20, P.Stages(spark, "test-phrases"))
     want, n = plain_counts(docs)
     assert {(r.lang, r.phrase, r.words, r.n) for r in counts.collect()} == {(lang, " ".join(w), len(w), c) for (lang, w), c in want.items() if c >= 4}
     assert {r.lang: r.n for r in totals.collect()} == {lang: c for lang, c in n.items() if c}
@@ -73,17 +74,33 @@ def test_every_frequent_phrase_is_counted(spark):
 @given(st.lists(st.tuples(st.lists(st.integers(0, 3), min_size=1, max_size=4), st.integers(1, 5), st.booleans()), max_size=30), st.integers(1, 12))
 def test_equal_partitions_are_counts(rows, least):
     keys = np.array([[*r[0], -1, -1, -1, -1][:4] for r in rows], np.int64).reshape(len(rows), 4)
-    weights, whole = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
-    got = {tuple(keys[r, :d].tolist()): n for r, d, n in P.equal_partitions(keys, weights, least, whole)} if rows else {}
+    weights, shared = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
+    got = {tuple(keys[r, :d].tolist()): n for r, d, n in P.equal_partitions(keys, weights, least, shared)} if rows else {}
     want, loose = Counter(), set()
-    for words, n, complete in rows:
+    for words, n, share in rows:
         for d in range(1, len(words) + 1):
             want[tuple(words[:d])] += n
-            if not complete:
+            if share and d <= 3:
                 loose.add(tuple(words[:d]))
+    # below a light partition nothing is kept, so a longer one is there only if it is heavy itself
     assert got == {w: n for w, n in want.items() if n >= least or w in loose}
 
 
+def test_lists_cut_into_chunks_are_shares(monkeypatch):
+    docs = corpus(8)
+    part = pa.RecordBatch.from_pydict({"lang": pa.array([d[1] for d in docs]), "text": pa.array([d[2] for d in docs])})
+    bits = np.full(P.BITS // 8, 255, np.uint8)
+    lists = P.Pieces(part).suffixes(bits, np.zeros(0, np.uint64))
+    whole = {(r["lang"], r["phrase"]): r["n"] for b in P._sort(6)(iter([lists])) for r in b.to_pylist()}
+    assert whole == {(lang, " ".join(w)): n for (lang, w), n in plain_counts(docs)[0].items() if len(w) > 1 and n >= 6}
+    monkeypatch.setattr(P, "CHUNK", 100)
+    shares = Counter()
+    for b in P._sort(6)(iter([lists, lists.slice(0, 0)])):
+        for r in b.to_pylist():
+            shares[r["lang"], r["phrase"]] += r["n"]
+    assert {k: n for k, n in shares.items() if n >= 6} == whole
+
+
 def test_products_beyond_64_bits(spark):
     row = spark.sql("SELECT CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0)) div (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0))) s "
                     "FROM VALUES (999999999999, 123456789012345, 1234567890123, 2345678901234) t(a, n, l, r)").first()

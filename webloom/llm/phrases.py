@@ -4,15 +4,17 @@ Texts (A-Z lowered) are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those i
 ``[^\\x20\\x09]+``; every word of a piece starts a suffix of at most ``MAX_LEN`` words. All
 counts are per language (null: ``und``).
 
-1. One scan counts words, and pairs of words by hash, each made distinct per slice first.
-2. Pairs of ``min_count`` and more set a bit in a table of fixed size (``BITS``), which is broadcast;
-   a second scan cuts every suffix at the first pair whose bit is not set. A shared bit only lets a rare
-   pair through, which step 4 counts exactly. Suffixes are made distinct in their task, with their counts.
-3. Suffixes are routed by their language and leading pair, so a task holds all suffixes of a pair.
-   The pairs of ``hot`` and more (a second table of bits) are spread by their whole suffixes instead.
+1. One scan counts the words, made distinct in their task first.
+2. Words of ``min_count`` and more set a bit in a table of fixed size (``BITS``), which is broadcast;
+   a second scan cuts every suffix at the first word whose bit is not set. A shared bit only lets a rare
+   word through, which step 4 counts exactly. Suffixes are made distinct per slice, with their counts, and
+   travel as one list for each leading word.
+3. Lists are routed by language and leading word. Words that have more than one of ``HOT_SHARE`` places of the corpus
+   (so there are at most ``HOT_SHARE`` of them, whatever the data) are routed by their leading three words.
 4. A task sorts its suffix pointers by a three-way multikey quicksort down to ``MAX_LEN`` words. The weight of an
-   equal partition is the count of its words; a partition lighter than ``min_count`` is abandoned. The spread
-   pairs' partitions are only shares, so all of theirs are handed on. Sums of the shares are the counts.
+   equal partition is the count of its words; a partition lighter than ``min_count`` is abandoned. Where a task
+   sees only a share of the suffixes (pairs of hot words, or more suffixes than ``CHUNK`` at a time) all its
+   partitions are handed on. Sums of the shares are the counts.
 
 A phrase is then cut after each of its words; the parts' counts come from joins on the tables of words
 and phrases, salted so that a frequent part is no hot key. Arithmetic is in decimals of 38 digits, exact up to
@@ -46,17 +48,18 @@ TOP = 2000
 BITS = 1 << 26
 #: Bits of one row of a table on its way.
 BLOCK = 1 << 16
-#: A pair with this many places is spread over all tasks.
-HOT = 500_000
-#: Places of frequent pairs whose suffixes one task sorts, about.
+#: A word with more than one of so many places is hot.
+HOT_SHARE = 1024
+#: Lists of one hot word in a slice, at most.
+HOT_LISTS = 256
+#: Places whose suffixes one task sorts, about, and the most suffixes it sorts at a time.
 TASK_PLACES = 2_000_000
-#: Distinct suffixes a task keeps to add up the counts of its slices.
+CHUNK = 2_000_000
+#: Distinct words a task keeps to add up the counts of its slices.
 KEPT_ROWS = 150_000
 SALTS = 16
-#: Bytes of text whose words and pairs, and whose suffixes, are made distinct together: more need
-#: more memory in a task, less leave more rows to shuffle.
-COUNT_BYTES = 4 << 20
-CUT_BYTES = 2 << 20
+#: Bytes of text whose words and suffixes are made distinct together.
+BYTES = 2 << 20
 #: Ends a piece among the words; no word holds it.
 BREAK = "."
 
@@ -91,46 +94,52 @@ class Pieces:
         live = np.flatnonzero(self.codes >= 0)
         keys, _, n = self.ranked(self.lang[live] * self.kinds + self.codes[live])
         return pa.RecordBatch.from_pydict({
-            "lang": self.langs.take(pa.array(keys // self.kinds)), "phrase": self.dictionary.take(pa.array(keys % self.kinds)).cast(pa.string()),
-            "pair": pa.nulls(len(keys), pa.int64()), "n": pa.array(n)})
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places that start a pair, hash of the language and the pair at each)."""
-        starts = np.flatnonzero((self.codes[:-1] >= 0) & (self.codes[1:] >= 0))
-        word, lang = string_hashes(self.dictionary), string_hashes(self.langs)
-        first, second = word[self.codes[starts]], word[self.codes[starts + 1]]
-        return starts, mix(mix(lang[self.lang[starts]] * MIX + first) * MIX + second)
-
-    def pair_counts(self) -> pa.RecordBatch:
-        _, hashes = self.pairs()
-        kinds, n = np.unique(hashes, return_counts=True)
-        return pa.RecordBatch.from_pydict({
-            "lang": pa.nulls(len(kinds), pa.string()), "phrase": pa.nulls(len(kinds), pa.string()), "pair": pa.array(signed(kinds)), "n": pa.array(n)})
+            "lang": self.langs.take(pa.array(keys // self.kinds)), "phrase": self.dictionary.take(pa.array(keys % self.kinds)).cast(pa.string()), "n": pa.array(n)})
 
     def suffixes(self, frequent: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-        """Distinct suffixes of two words and more with their counts, cut at the first rare pair."""
-        starts, hashes = self.pairs()
-        bit = place_of(hashes)
-        passed = is_set(frequent, bit)
-        longer = np.zeros(len(self.codes) + MAX_LEN, bool)  # a frequent pair starts here
-        longer[starts[passed]] = True
-        at, bit = starts[passed], bit[passed]
+        """Distinct suffixes of two words and more with their counts, cut at the first rare word: a row
+        has the continuations (rests, one a line) of a leading word."""
+        words, langs = string_hashes(self.dictionary), string_hashes(self.langs)
+        live = np.flatnonzero(self.codes >= 0)
+        names = np.zeros(len(self.codes), np.uint64)
+        names[live] = mix(langs[self.lang[live]] * MIX + words[self.codes[live]])
+        often = np.zeros(len(self.codes) + MAX_LEN, bool)
+        often[live] = is_set(frequent, place_of(names[live]))
+        padded = np.concatenate((self.codes, np.full(MAX_LEN, -1)))
+        at = np.flatnonzero(often[:-1] & often[1:])
         rank = self.lang[at] * self.kinds + self.codes[at]
         size, going = np.ones(len(at), np.int64), np.ones(len(at), bool)
-        padded = np.concatenate((self.codes, np.full(MAX_LEN, -1)))
         for i in range(1, MAX_LEN):
-            going &= longer[at + i - 1]
+            going &= often[at + i]
             size += going
             # the rank of a run is that of the run before it and the next word, none where it has ended
             seen = np.unique(rank, return_inverse=True)[1]
             rank = seen * (self.kinds + 1) + np.where(going, padded[at + i], self.kinds)
         _, first, n = self.ranked(rank)
-        at, size, spread = at[first], size[first], is_set(hot, bit[first])
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        words = self.dictionary.cast(pa.string()).take(pa.array(self.codes[np.repeat(at, size) + within]))
-        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), " ")
-        return pa.RecordBatch.from_pydict({"lang": self.langs.take(pa.array(self.lang[at])), "phrase": phrase, "spread": pa.array(spread), "n": pa.array(n)})
+        at, size = at[first], size[first]
+        spread = np.isin(names[at], hot)
+        third = np.where(size > 2, padded[np.minimum(at + 2, len(self.codes))], -1)
+        second = words[padded[at + 1]] if len(at) else np.zeros(0, np.uint64)
+        route = mix(second * MIX + np.where(third >= 0, words[third], np.uint64(7))) if len(at) else second
+        route = np.where(spread, (route % np.uint64(HOT_LISTS)).astype(np.int64), 0)
+        group = (self.lang[at] * self.kinds + self.codes[at]) * HOT_LISTS + route
+        order = np.argsort(group, kind="stable")
+        at, size, n, spread, route, group = (x[order] for x in (at, size, n, spread, route, group))
+        rest = size - 1
+        within = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)
+        tokens = self.dictionary.cast(pa.string()).take(pa.array(self.codes[np.repeat(at + 1, rest) + within]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rest))).astype(np.int32)), tokens), " ")
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = np.append(heads, len(group)).astype(np.int32)
+        head = at[heads]
+        return pa.RecordBatch.from_pydict({
+            "lang": self.langs.take(pa.array(self.lang[head])), "word": self.dictionary.cast(pa.string()).take(pa.array(self.codes[head])),
+            "route": pa.array(route[heads], pa.int32()), "spread": pa.array(spread[heads]),
+            "rests": pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), joined), "\n"),
+            "ns": pa.ListArray.from_arrays(pa.array(ends), pa.array(n, pa.int32()))})
+
+
+LISTS = "lang string, word string, route int, spread boolean, rests string, ns array<int>"
 
 
 def place_of(hashes: np.ndarray) -> np.ndarray:
@@ -141,36 +150,42 @@ def is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, size=COUNT_BYTES):
-        pieces = Pieces(part)
-        yield pieces.word_counts()
-        yield pieces.pair_counts()
+def added_up(rows: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
 
-def added_up(rows: list[pa.RecordBatch]) -> pa.Table:
-    sums = pa.Table.from_batches(rows).group_by(["lang", "phrase", "spread"]).aggregate([("n", "sum")])
-    return sums.rename_columns({"n_sum": "n"})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: list[pa.RecordBatch] = []
+    for part in slices(batches, size=BYTES):
+        kept.append(Pieces(part).word_counts())
+        if sum(b.num_rows for b in kept) > 2 * KEPT_ROWS:
+            sums = added_up(kept)
+            kept = sums.to_batches()
+            if sums.num_rows > KEPT_ROWS:
+                yield from kept
+                kept = []
+    if kept:
+        yield from added_up(kept).to_batches()
 
 
 def _cut(state):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, hot = state.value
-        kept: list[pa.RecordBatch] = []
-        for part in slices(batches, size=CUT_BYTES):
-            kept.append(Pieces(part).suffixes(frequent, hot))
-            if sum(b.num_rows for b in kept) > 2 * KEPT_ROWS:
-                sums = added_up(kept)
-                kept = sums.to_batches()
-                if sums.num_rows > KEPT_ROWS:
-                    yield from kept
-                    kept = []
-        if kept:
-            yield from added_up(kept).to_batches()
+        for part in slices(batches, size=BYTES):
+            yield Pieces(part).suffixes(frequent, hot)
 
     return task
 
 
+def name_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    return mix(string_hashes(langs) * MIX + string_hashes(words))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"name": pa.array(signed(name_hashes(batch.column("lang"), batch.column("phrase"))))})
+
+
 def _pack(block: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(BLOCK // 8, np.uint8)
     place = block["place"].to_numpy()
@@ -178,11 +193,12 @@ def _pack(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": block["block"].iloc[:1], "bits": [bits.tobytes()]})
 
 
-def bit_table(pairs: DataFrame) -> np.ndarray:
-    """A table of BITS bits with those of ``pairs`` (pair) set. Groups have at most BLOCK rows,
+def bit_table(names: DataFrame) -> np.ndarray:
+    """A table of BITS bits with those of ``names`` (lang, phrase) set. Groups have at most BLOCK rows,
     and at most BITS / 8 bytes reach the driver."""
-    bit = F.col("pair").bitwiseAND(F.lit(BITS - 1).cast("long"))
-    places = pairs.select(F.shiftright(bit, 16).cast("int").alias("block"), bit.bitwiseAND(F.lit(BLOCK - 1).cast("long")).cast("int").alias("place")).distinct()
+    bit = F.col("name").bitwiseAND(F.lit(BITS - 1).cast("long"))
+    named = names.select("lang", "phrase").mapInArrow(_names, "name long")
+    places = named.select(F.shiftright(bit, 16).cast("int").alias("block"), bit.bitwiseAND(F.lit(BLOCK - 1).cast("long")).cast("int").alias("place")).distinct()
     out = np.zeros(BITS // 8, np.uint8)
     for r in places.groupBy("block").applyInPandas(_pack, "block int, bits binary").collect():
         out[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
@@ -192,10 +208,10 @@ def bit_table(pairs: DataFrame) -> np.ndarray:
 # --- counting by sorting -------------------------------------------------------------
 
 
-def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int, whole: np.ndarray) -> list[tuple[int, int, int]]:
+def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int, shared: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, depth, weight) of the partitions of rows that agree in their first ``depth`` columns, by a
     three-way multikey quicksort of row pointers. -1 ends a row. A partition lighter than ``least`` is
-    abandoned, unless the rows' counts are not ``whole``."""
+    abandoned; of the ``shared`` rows not before they agree in three columns, as others have rows like them."""
     out: list[tuple[int, int, int]] = []
     stack = [(np.arange(len(keys)), 0)]
     while stack:
@@ -207,63 +223,79 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, least: int, whole: n
         if pivot >= 0:
             equal = rows[~(below | above)]
             weight = int(weights[equal].sum())
-            if weight >= least or not whole[equal].all():
+            if weight >= least or (depth < 3 and shared[equal].any()):
                 out.append((int(equal[0]), depth + 1, weight))
                 if depth + 1 < keys.shape[1]:
                     parts.append((equal, depth + 1))
         for some, d in parts:
-            if len(some) and (weights[some].sum() >= least or not whole[some].all()):
+            if len(some) and (weights[some].sum() >= least or (d < 3 and shared[some].any())):
                 stack.append((some, d))
     return out
 
 
+def sorted_lists(lists: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases that start the suffixes of some lists."""
+    rests = pc.split_pattern(lists.column("rests").combine_chunks(), "\n")
+    owner = np.repeat(np.arange(lists.num_rows), np.diff(rests.offsets.to_numpy()))
+    tokens = pc.split_pattern(rests.flatten(), " ")
+    sizes = np.diff(tokens.offsets.to_numpy())
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    coded = tokens.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    langs, heads = (lists.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word"))
+    keys = np.full((len(owner), 1 + MAX_LEN), -1, np.int32)
+    keys[:, 0] = langs.indices.to_numpy(zero_copy_only=False)[owner]
+    keys[:, 1] = heads.indices.to_numpy(zero_copy_only=False)[owner]
+    keys[np.repeat(np.arange(len(owner)), sizes), 2 + np.arange(len(codes)) - np.repeat(starts, sizes)] = codes
+    weights = lists.column("ns").combine_chunks().flatten().to_numpy().astype(np.int64)
+    shared = lists.column("spread").to_numpy()[owner]
+    found = [f for f in equal_partitions(keys, weights, least, shared) if f[1] > 2]
+    names, firsts, words = langs.dictionary.to_pylist(), heads.dictionary.to_pylist(), coded.dictionary.to_pylist()
+    for a in range(0, len(found), 1 << 16):
+        some = found[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_pydict({
+            "lang": pa.array([names[keys[r, 0]] for r, _, _ in some], pa.string()),
+            "phrase": pa.array([" ".join([firsts[keys[r, 1]], *(words[w] for w in keys[r, 2:d].tolist())]) for r, d, _ in some], pa.string()),
+            "words": pa.array([d - 1 for _, d, _ in some], pa.int32()), "n": pa.array([n for _, _, n in some], pa.int64())})
+
+
 def _sort(least: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        lists = pc.split_pattern(rows.column("phrase").combine_chunks(), " ")
-        coded = lists.flatten().dictionary_encode()
-        codes, offsets = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        langs = rows.column("lang").combine_chunks().dictionary_encode()
-        langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
-        sizes = np.diff(offsets)
-        keys = np.full((rows.num_rows, 1 + MAX_LEN), -1, np.int64)
-        keys[:, 0] = langs.indices.to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(rows.num_rows), sizes)
-        keys[owner, 1 + np.arange(len(codes)) - np.repeat(offsets[:-1], sizes)] = codes
-        found = equal_partitions(keys, rows.column("n").to_numpy(), least, ~rows.column("spread").to_numpy(zero_copy_only=False))
-        found = [f for f in found if f[1] > 2]
-        names, words = langs.dictionary.to_pylist(), coded.dictionary.to_pylist()
-        for a in range(0, len(found), 1 << 16):
-            some = found[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([names[keys[r, 0]] for r, _, _ in some], pa.string()),
-                "phrase": pa.array([" ".join(words[w] for w in keys[r, 1:d].tolist()) for r, d, _ in some], pa.string()),
-                "words": pa.array([d - 1 for _, d, _ in some], pa.int32()), "n": pa.array([n for _, _, n in some], pa.int64())})
+        kept, held, whole = [], 0, True
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("ns")).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                # lists are cut off where the chunk is full; what a task sorts in several chunks are shares
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK - held, side="right")))
+                kept.append(batch.slice(start, stop - start))
+                held += int(ends[stop - 1] - (ends[start - 1] if start else 0))
+                start = stop
+                if held >= CHUNK:
+                    yield from sorted_lists(pa.Table.from_batches(kept), 0)
+                    kept, held, whole = [], 0, False
+        if kept:
+            yield from sorted_lists(pa.Table.from_batches(kept), least if whole else 0)
 
     return task
 
 
-def phrase_counts(docs: DataFrame, min_count: int, hot: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int, hot_share: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(lang, n) and (lang, phrase, words, n): words per language, and every phrase of up to MAX_LEN words
     that occurs ``min_count`` times, single words too."""
     spark = docs.sparkSession
     texts = docs.select("lang", "text")
-    # a row has a word or a pair, so one shuffle counts both
-    kinds = texts.mapInArrow(_count, "lang string, phrase string, pair long, n long").groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n"))
-    kinds = stages.write(kinds.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count)), "kinds")
-    singles, pairs = kinds.where("phrase IS NOT NULL"), kinds.where("pair IS NOT NULL")
-    places = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    state = spark.sparkContext.broadcast((bit_table(pairs), bit_table(pairs.where(F.col("n") >= hot))))
-    suffixes = texts.mapInArrow(_cut(state), "lang string, phrase string, spread boolean, n long")
-    width = max(shuffle_width(spark), -(-places // TASK_PLACES))
-    leading = F.xxhash64("lang", F.when(F.col("spread"), F.col("phrase")).otherwise(F.substring_index("phrase", " ", 2)))
-    shares = suffixes.withColumn("route", leading).repartition(width, "route").drop("route").mapInArrow(_sort(min_count), "lang string, phrase string, words int, n long")
+    singles = stages.write(texts.mapInArrow(_count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "singles")
+    frequent = singles.where(F.col("n") >= min_count)
+    total = singles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = singles.where(F.col("n") * hot_share > total).select("lang", "phrase").collect()  # fewer than hot_share rows
+    hot_names = name_hashes(pa.array([r["lang"] for r in hot], pa.string()), pa.array([r["phrase"] for r in hot], pa.string()))
+    state = spark.sparkContext.broadcast((bit_table(frequent), hot_names))
+    lists = texts.mapInArrow(_cut(state), LISTS)
+    width = max(shuffle_width(spark), -(-total // TASK_PLACES))
+    shares = lists.repartition(width, "lang", "word", "route").mapInArrow(_sort(min_count), "lang string, phrase string, words int, n long")
     longer = shares.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    frequent = singles.where(F.col("n") >= min_count).select("lang", "phrase", F.lit(1).alias("words"), "n")
-    counts = stages.write(frequent.unionByName(longer), "counts")
+    counts = stages.write(frequent.select("lang", "phrase", F.lit(1).alias("words"), "n").unionByName(longer), "counts")
     return singles.groupBy("lang").agg(F.sum("n").alias("n")), counts
 
 
@@ -278,10 +310,10 @@ def with_count(rows: DataFrame, part: str, name: str, counts: DataFrame) -> Data
     return salted.join(copies, ["lang", part, "salt"]).drop("salt")
 
 
-def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, hot_share: int = HOT_SHARE) -> DataFrame:
     """Per language the ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
     stages = Stages(docs.sparkSession, "phrases")
-    totals, counts = phrase_counts(docs, min_count, hot, stages)
+    totals, counts = phrase_counts(docs, min_count, hot_share, stages)
     phrases = counts.where("words > 1")
     inner = lambda start, phrase: F.array_join(F.slice(F.split("phrase", " "), start, F.col("words") - 1), " ").alias(phrase)
     longer = phrases.where("words > 2")
