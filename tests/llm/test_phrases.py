@@ -90,12 +90,15 @@ def test_lists_cut_into_chunks_are_shares(monkeypatch):
     docs = corpus(8)
     part = pa.RecordBatch.from_pydict({"lang": pa.array([d[1] for d in docs]), "text": pa.array([d[2] for d in docs])})
     bits = np.full(P.BITS // 8, 255, np.uint8)
-    lists = P.Pieces(part).suffixes(bits, np.zeros(0, np.uint64))
-    whole = {(r["lang"], r["phrase"]): r["n"] for b in P._sort(6)(iter([lists])) for r in b.to_pylist()}
+    lists, bounds = P.Pieces(part).suffixes(bits, np.zeros(0, np.uint64), 3)
+    assert bounds[0] == 0 and bounds[-1] == lists.num_rows
+    halves = [lists.take(pa.array(np.arange(lists.num_rows)[k::2])) for k in (0, 1)]
+    blocks = pa.RecordBatch.from_pydict({"part": pa.array([0, 0], pa.int32()), "block": pa.array([P.packed(h) for h in halves], pa.binary())})
+    whole = {(r["lang"], r["phrase"]): r["n"] for b in P._sort(6)(iter([blocks])) for r in b.to_pylist()}
     assert whole == {(lang, " ".join(w)): n for (lang, w), n in plain_counts(docs)[0].items() if len(w) > 1 and n >= 6}
     monkeypatch.setattr(P, "CHUNK", 100)
     shares = Counter()
-    for b in P._sort(6)(iter([lists, lists.slice(0, 0)])):
+    for b in P._sort(6)(iter([blocks, blocks.slice(0, 0)])):
         for r in b.to_pylist():
             shares[r["lang"], r["phrase"]] += r["n"]
     assert {k: n for k, n in shares.items() if n >= 6} == whole

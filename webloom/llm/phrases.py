@@ -8,9 +8,9 @@ counts are per language (null: ``und``).
 2. Words of ``min_count`` and more set a bit in a table of fixed size (``BITS``), which is broadcast;
    a second scan cuts every suffix at the first word whose bit is not set. A shared bit only lets a rare
    word through, which step 4 counts exactly. Suffixes are made distinct per slice, with their counts, and
-   travel as one list for each leading word.
-3. Lists are routed by language and leading word. Words that have more than one of ``HOT_SHARE`` places of the corpus
-   (so there are at most ``HOT_SHARE`` of them, whatever the data) are routed by their leading three words.
+   travel as lists, one for each leading word; the lists of a slice for one part go as one compressed block.
+3. The part of a suffix follows from its language and leading word. Words that have more than one of ``HOT_SHARE`` places of the corpus
+   (so there are at most ``HOT_SHARE`` of them, whatever the data) are spread by their leading three words.
 4. A task sorts its suffix pointers by a three-way multikey quicksort down to ``MAX_LEN`` words. The weight of an
    equal partition is the count of its words; a partition lighter than ``min_count`` is abandoned. Where a task
    sees only a share of the suffixes (pairs of hot words, or more suffixes than ``CHUNK`` at a time) all its
@@ -50,16 +50,14 @@ BITS = 1 << 26
 BLOCK = 1 << 16
 #: A word with more than one of so many places is hot.
 HOT_SHARE = 1024
-#: Lists of one hot word in a slice, at most.
-HOT_LISTS = 256
 #: Places whose suffixes one task sorts, about, and the most suffixes it sorts at a time.
 TASK_PLACES = 2_000_000
-CHUNK = 2_000_000
+CHUNK = 3_000_000
 #: Distinct words a task keeps to add up the counts of its slices.
 KEPT_ROWS = 150_000
 SALTS = 16
 #: Bytes of text whose words and suffixes are made distinct together.
-BYTES = 2 << 20
+BYTES = 6 << 20
 #: Ends a piece among the words; no word holds it.
 BREAK = "."
 
@@ -96,9 +94,10 @@ class Pieces:
         return pa.RecordBatch.from_pydict({
             "lang": self.langs.take(pa.array(keys // self.kinds)), "phrase": self.dictionary.take(pa.array(keys % self.kinds)).cast(pa.string()), "n": pa.array(n)})
 
-    def suffixes(self, frequent: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    def suffixes(self, frequent: np.ndarray, hot: np.ndarray, parts: int) -> tuple[pa.RecordBatch, np.ndarray]:
         """Distinct suffixes of two words and more with their counts, cut at the first rare word: a row
-        has the continuations (rests, one a line) of a leading word."""
+        has the continuations (rests, one a line) of a leading word. Rows are in the order of their
+        parts; part p has the rows from place p of the array on."""
         words, langs = string_hashes(self.dictionary), string_hashes(self.langs)
         live = np.flatnonzero(self.codes >= 0)
         names = np.zeros(len(self.codes), np.uint64)
@@ -117,14 +116,14 @@ class Pieces:
             rank = seen * (self.kinds + 1) + np.where(going, padded[at + i], self.kinds)
         _, first, n = self.ranked(rank)
         at, size = at[first], size[first]
-        spread = np.isin(names[at], hot)
-        third = np.where(size > 2, padded[np.minimum(at + 2, len(self.codes))], -1)
-        second = words[padded[at + 1]] if len(at) else np.zeros(0, np.uint64)
-        route = mix(second * MIX + np.where(third >= 0, words[third], np.uint64(7))) if len(at) else second
-        route = np.where(spread, (route % np.uint64(HOT_LISTS)).astype(np.int64), 0)
-        group = (self.lang[at] * self.kinds + self.codes[at]) * HOT_LISTS + route
-        order = np.argsort(group, kind="stable")
-        at, size, n, spread, route, group = (x[order] for x in (at, size, n, spread, route, group))
+        spread, part = np.isin(names[at], hot), names[at]
+        far = np.flatnonzero(spread)
+        third = np.where(size[far] > 2, padded[at[far] + 2], -1)
+        part[far] = mix(mix(part[far] * MIX + words[padded[at[far] + 1]]) * MIX + np.where(third >= 0, words[third], np.uint64(7)))
+        part = (part % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # words stay together inside a part
+        at, size, n, spread, part = (x[order] for x in (at, size, n, spread, part))
+        group = (part * len(self.langs) + self.lang[at]) * self.kinds + self.codes[at]
         rest = size - 1
         within = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)
         tokens = self.dictionary.cast(pa.string()).take(pa.array(self.codes[np.repeat(at + 1, rest) + within]))
@@ -132,14 +131,18 @@ class Pieces:
         heads = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.append(heads, len(group)).astype(np.int32)
         head = at[heads]
-        return pa.RecordBatch.from_pydict({
+        lists = pa.RecordBatch.from_pydict({
             "lang": self.langs.take(pa.array(self.lang[head])), "word": self.dictionary.cast(pa.string()).take(pa.array(self.codes[head])),
-            "route": pa.array(route[heads], pa.int32()), "spread": pa.array(spread[heads]),
-            "rests": pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), joined), "\n"),
+            "spread": pa.array(spread[heads]), "rests": pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), joined), "\n"),
             "ns": pa.ListArray.from_arrays(pa.array(ends), pa.array(n, pa.int32()))})
+        return lists, np.searchsorted(part[heads], np.arange(parts + 1))
 
 
-LISTS = "lang string, word string, route int, spread boolean, rests string, ns array<int>"
+def packed(lists: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, lists.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(lists)
+    return sink.getvalue().to_pybytes()
 
 
 def place_of(hashes: np.ndarray) -> np.ndarray:
@@ -168,11 +171,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from added_up(kept).to_batches()
 
 
-def _cut(state):
+def _cut(state, parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, hot = state.value
         for part in slices(batches, size=BYTES):
-            yield Pieces(part).suffixes(frequent, hot)
+            lists, bounds = Pieces(part).suffixes(frequent, hot, parts)
+            some = np.flatnonzero(np.diff(bounds))
+            # a copy: a slice would be written with the buffers of all rows
+            blocks = [packed(lists.take(pa.array(np.arange(bounds[p], bounds[p + 1])))) for p in some.tolist()]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     return task
 
@@ -262,18 +269,12 @@ def sorted_lists(lists: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
 def _sort(least: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held, whole = [], 0, True
-        for batch in batches:
-            ends = np.cumsum(pc.list_value_length(batch.column("ns")).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < batch.num_rows:
-                # lists are cut off where the chunk is full; what a task sorts in several chunks are shares
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK - held, side="right")))
-                kept.append(batch.slice(start, stop - start))
-                held += int(ends[stop - 1] - (ends[start - 1] if start else 0))
-                start = stop
-                if held >= CHUNK:
-                    yield from sorted_lists(pa.Table.from_batches(kept), 0)
-                    kept, held, whole = [], 0, False
+        for block in (b for batch in batches for b in batch.column("block")):
+            kept.extend(pa.ipc.open_stream(block.as_buffer()))
+            held += len(kept[-1].column("ns").values)
+            if held >= CHUNK:  # what a task sorts in several chunks are shares
+                yield from sorted_lists(pa.Table.from_batches(kept), 0)
+                kept, held, whole = [], 0, False
         if kept:
             yield from sorted_lists(pa.Table.from_batches(kept), least if whole else 0)
 
@@ -291,9 +292,9 @@ def phrase_counts(docs: DataFrame, min_count: int, hot_share: int, stages: Stage
     hot = singles.where(F.col("n") * hot_share > total).select("lang", "phrase").collect()  # fewer than hot_share rows
     hot_names = name_hashes(pa.array([r["lang"] for r in hot], pa.string()), pa.array([r["phrase"] for r in hot], pa.string()))
     state = spark.sparkContext.broadcast((bit_table(frequent), hot_names))
-    lists = texts.mapInArrow(_cut(state), LISTS)
-    width = max(shuffle_width(spark), -(-total // TASK_PLACES))
-    shares = lists.repartition(width, "lang", "word", "route").mapInArrow(_sort(min_count), "lang string, phrase string, words int, n long")
+    parts = max(shuffle_width(spark), -(-total // TASK_PLACES))
+    blocks = texts.mapInArrow(_cut(state, parts), "part int, block binary")
+    shares = blocks.repartitionById(parts, "part").mapInArrow(_sort(min_count), "lang string, phrase string, words int, n long")
     longer = shares.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
     counts = stages.write(frequent.select("lang", "phrase", F.lit(1).alias("words"), "n").unionByName(longer), "counts")
     return singles.groupBy("lang").agg(F.sum("n").alias("n")), counts
