@@ -24,13 +24,15 @@ def _flag(c) -> Column:
 
 
 # ------------------------------------------------------------------ merges
-def shape_batch(batch: DataFrame, now: int, domains: bool = True) -> DataFrame:
-    """A batch of edges (source, target, anchor, internal, nofollow, seq) as index rows."""
-    named = [U.domain_of(e).alias(f"{e}_domain") for e in ("source", "target")] if domains else []
-    return batch.where("source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> ''").select(
+#: Rows of a batch that are edges.
+COMPLETE = "source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> ''"
+
+
+def shape_batch(batch: DataFrame, now: int) -> DataFrame:
+    """A batch of edges (source, target, anchor, internal, nofollow, seq) as index rows without domains."""
+    return batch.where(COMPLETE).select(
         F.col("source").alias("source_url"),
         F.col("target").alias("target_url"),
-        *named,
         F.left(F.coalesce("anchor", F.lit("")), F.lit(200)).alias("anchor"),
         _flag("internal").alias("internal"),
         _flag("nofollow").alias("nofollow"),
@@ -45,7 +47,7 @@ def merge_edges(index: DataFrame, batch: DataFrame, now: int) -> DataFrame:
     internal flag and first_seen; anchor, nofollow and last_seen come from the
     latest row. One shuffle on (source, target), combined on the map side."""
     stored = index.select(*EDGE_COLUMNS, F.struct(F.lit(0).alias("gen"), F.lit(0).cast("long").alias("seq")).alias("at"))
-    fresh = shape_batch(batch, now, domains=False)
+    fresh = shape_batch(batch, now)
     rows = stored.unionByName(fresh, allowMissingColumns=True)
     first = F.min_by(F.struct("source_domain", "target_domain", "internal", "first_seen"), "at")
     last = F.max_by(F.struct("anchor", "nofollow", "last_seen"), "at")
@@ -93,22 +95,38 @@ def _stored_domains(domains: DataFrame) -> DataFrame:
     return align_domains(domains).withColumn("error_at", kept)
 
 
+def batch_addresses(batch: DataFrame) -> DataFrame:
+    """The distinct addresses at either end of a batch's edges: url, domain, is_source. The
+    addresses are combined on the map side; a domain is derived once per address, not per link."""
+    end = lambda c, source: F.struct(F.col(c).alias("url"), F.lit(source).alias("is_source"))
+    ends = batch.where(COMPLETE).select(F.explode(F.array(end("source", True), end("target", False))).alias("e")).select("e.*")
+    return ends.groupBy("url").agg(F.max("is_source").alias("is_source")).select("url", U.domain_of("url").alias("domain"), "is_source")
+
+
 def merge_domains(domains: DataFrame, batch: DataFrame, now: int) -> DataFrame:
     """Both ends of every edge of the batch are known domains afterwards."""
-    ends = shape_batch(batch, now).select(F.explode(F.array("source_domain", "target_domain")).alias("domain"))
-    touched = align_domains(
-        ends.select("domain", F.lit(now).alias("first_seen"), F.lit(now).alias("last_seen"))
-    ).withColumn("error_at", F.lit(None).cast("struct<gen:int,seq:long>"))
+    return add_domains(domains, batch_addresses(batch), now)
+
+
+def add_domains(domains: DataFrame, addresses: DataFrame, now: int) -> DataFrame:
+    """The domains of the addresses are known afterwards."""
+    seen = F.lit(now).cast("long")
+    touched = align_domains(addresses.select("domain", seen.alias("first_seen"), seen.alias("last_seen"))).withColumn(
+        "error_at", F.lit(None).cast("struct<gen:int,seq:long>"))
     return _merge_domain_rows(_stored_domains(domains).unionByName(touched))
 
 
 def merge_pages(pages: DataFrame, batch: DataFrame, now: int) -> DataFrame:
     """Only pages that links were found on are kept."""
-    seen = shape_batch(batch, now).select(
-        F.col("source_url").alias("url"), F.col("source_domain").alias("domain"), "first_seen", "last_seen"
-    )
+    return add_pages(pages, batch_addresses(batch), now)
+
+
+def add_pages(pages: DataFrame, addresses: DataFrame, now: int) -> DataFrame:
+    """The addresses that links were found on are known pages afterwards."""
+    seen = F.lit(now).cast("long")
+    found = addresses.where("is_source").select("url", "domain", seen.alias("first_seen"), seen.alias("last_seen"))
     rows = pages.select("url", "domain", "first_seen", "last_seen", F.lit(0).alias("gen"))
-    rows = rows.unionByName(seen.withColumn("gen", F.lit(1)))
+    rows = rows.unionByName(found.withColumn("gen", F.lit(1)))
     return rows.groupBy("url").agg(
         F.min_by("domain", "gen").alias("domain"),
         F.min("first_seen").alias("first_seen"),

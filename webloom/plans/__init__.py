@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["links", "index", "text", "rules", "findings", "diff", "traffic", "tech"]
+MODULES = ["links", "index", "index_store", "text", "rules", "findings", "diff", "traffic", "tech"]
 
 
 def load() -> None:
