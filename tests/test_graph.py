@@ -9,6 +9,7 @@ from webloom.operators import authority as A
 from webloom.operators import graph as G
 from webloom.operators import index as I
 from webloom.operators import links as L
+from webloom.operators import ranks as R
 
 HOST = "http://{}.test"
 
@@ -91,7 +92,7 @@ def plain_rank(nodes, edges, d, rounds):
 
 def test_power_iteration_with_sliced_hub(spark, monkeypatch):
     """A source cut into many slices gives the same ranks."""
-    monkeypatch.setattr(G, "SLICE_EDGES", 3)
+    monkeypatch.setattr(R, "SLICE_EDGES", 3)
     rnd = random.Random(5)
     nodes = [f"n{i}" for i in range(30)]
     pairs = {(a, b): rnd.randint(1, 4) for a, b in (rnd.sample(nodes, 2) for _ in range(60)) if a not in ("n1", "n2")}

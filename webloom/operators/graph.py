@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.session import cut_lineage, fixed_shape
-
-#: edges of one source that one task takes; a source with more is split
-SLICE_EDGES = 1_000_000
-#: edges per task of a round
-TASK_EDGES = 2_000_000
-
-
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """Nodes with a 64-bit number each, written once so that the numbers stand."""
-    return cut_lineage(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
-
-
-def _slices(degree: Column) -> Column:
-    return F.ceil(degree / F.lit(SLICE_EDGES)).cast("int")
+from webloom.operators.ranks import graph_ranks
+from webloom.session import cut_lineage
 
 
 def power_iteration(
@@ -33,78 +17,10 @@ def power_iteration(
     iterations: int = 40,
     tol: float | None = None,
 ) -> DataFrame:
-    """Weighted PageRank. ``edges``: src, dst, w (one row per pair, no self loops);
-    ``nodes``: node. Returns node, rank; ranks sum to 1.
-
-    Nodes become 64-bit numbers first. The edges are cached, spread on (source,
-    slice): a source with very many edges is cut into slices, and its rank goes
-    to each. Every node also has one row that carries it to itself with no share,
-    so a round is one join with the cached edges and one aggregate: the edges stay
-    where they are, ranks and partial sums per target are shuffled. Each round is
-    written to the shared folder (no lineage to replay when executors are lost)
-    and reports the change and the dangling mass while it is written.
-    """
-    spark = edges.sparkSession
-    ids = _numbered(nodes)
-    n = ids.count()
-    if n == 0:
-        return ids.select("node", F.lit(0.0).alias("rank"))
-    numbered = edges.join(ids.toDF("src", "s"), "src").join(ids.toDF("dst", "t"), "dst").where("w > 0")
-    numbered = cut_lineage(numbered.select("s", "t", "w"), "edges")
-    width = 1 + (numbered.count() + n) // TASK_EDGES
-    out = numbered.groupBy("s").agg(F.sum("w").alias("total"), _slices(F.count("*")).alias("slices"))
-    out = cut_lineage(
-        ids.select(F.col("id").alias("s"))
-        .join(out, "s", "left")
-        .select("s", "total", F.coalesce("slices", F.lit(1)).alias("slices")),
-        "out",
-    )
-    carry = out.select("s", F.lit(0).alias("slice"), F.col("s").alias("t"), F.lit(0.0).alias("share"), F.lit(True).alias("carry"))
-    shares = numbered.join(out, "s").select(
-        "s",
-        F.pmod(F.xxhash64("t"), F.col("slices")).cast("int").alias("slice"),
-        "t",
-        (F.lit(damping) * F.col("w") / F.col("total")).alias("share"),
-        F.lit(False).alias("carry"),
-    )
-    shares = shares.unionByName(carry).repartition(width, "s", "slice").persist(StorageLevel.MEMORY_AND_DISK)
-    state = out.select(
-        F.col("s").alias("id"),
-        "slices",
-        F.col("total").isNull().alias("dangling"),
-        F.lit(1.0 / n).alias("rank"),
-        F.lit(0.0).alias("before"),
-    )
-    hot, mass = state.agg(F.max("slices"), F.count_if("dangling")).first()
-    mass = mass / n
-    slice_ = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)) if hot > 1 else F.lit(0)
-    only = lambda c: F.max(F.when(F.col("carry"), F.col(c))).alias(c)
-    with fixed_shape(spark, width):
-        for _ in range(iterations):
-            seen = Observation(f"round-{uuid.uuid4().hex}")
-            base = (1.0 - damping) / n + damping * mass / n
-            state = cut_lineage(
-                state.select(F.col("id").alias("s"), "slices", "dangling", "rank", slice_.alias("slice"))
-                .join(shares, ["s", "slice"])
-                .groupBy(F.col("t").alias("id"))
-                .agg(
-                    only("slices"),
-                    only("dangling"),
-                    (F.lit(base) + F.sum(F.col("rank") * F.col("share"))).alias("rank"),
-                    only("rank").alias("before"),
-                )
-                .observe(
-                    seen,
-                    F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"),
-                    F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("mass"),
-                ),
-                "ranks",
-            )
-            mass = seen.get["mass"]
-            if tol is not None and seen.get["change"] < tol:
-                break
-    shares.unpersist()
-    return state.join(ids, "id").select("node", "rank")
+    """Weighted PageRank of one graph. ``edges``: src, dst, w (one row per pair, no self loops);
+    ``nodes``: node. Returns node, rank; ranks sum to 1. The rounds are those of ``graph_ranks``."""
+    one = F.lit("").alias("site")
+    return graph_ranks(edges.select(one, "src", "dst", "w"), nodes.select(one, "node"), damping, iterations, tol).select("node", "rank")
 
 
 def internal_pagerank(visited: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:

@@ -9,6 +9,7 @@ from webloom import seeds
 from webloom.functions import urls as U
 from webloom.operators import graph as G
 from webloom.operators import links as L
+from webloom.operators import ranks as R
 from webloom.plans.registry import query, shaped, table
 from webloom.sources.pages import spread
 
@@ -242,6 +243,39 @@ def internal_pagerank(spark, sf):
     return G.internal_pagerank(*part_graph(spark, sf))
 
 
+# every supplier's parts are a site of their own, and all parts that no line names a site that holds a large share
+SITE_EDGES = """
+SELECT DISTINCT 'shop' || CAST(s AS STRING) AS site, 'https://shop' || CAST(s AS STRING) || '.com/p/' || CAST(a AS STRING) AS source,
+  'https://shop' || CAST(s AS STRING) || '.com/p/' || CAST(b AS STRING) AS target
+FROM (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END AS s, l_partkey AS a,
+  lead(l_partkey) OVER (PARTITION BY CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END ORDER BY l_orderkey, l_linenumber, l_partkey) AS b,
+  l_orderkey FROM {lineitem})
+WHERE b IS NOT NULL AND a <> b AND l_orderkey % 5 < 2"""
+SITE_PAGES = """
+SELECT DISTINCT 'shop' || CAST(s AS STRING) AS site, 'https://shop' || CAST(s AS STRING) || '.com/p/' || CAST(l_partkey AS STRING) AS url
+FROM (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey END AS s, l_partkey FROM {lineitem})"""
+
+DUCK_SITE_RANKS = """e AS (SELECT site, source AS src, target AS dst FROM se),
+deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), nn AS (SELECT site, count(*) AS n FROM sp GROUP BY site),
+nodes AS (SELECT sp.site, url, n, d FROM sp JOIN nn USING (site) LEFT JOIN deg ON src = url),
+f AS (SELECT e.src, e.dst, 1.0::DOUBLE / d AS share FROM e JOIN deg USING (src)
+      UNION ALL SELECT 'lost' || site, url, 1.0::DOUBLE / n FROM nodes UNION ALL SELECT url, url, 0.0::DOUBLE FROM nodes),
+r(i, node, rank) AS (SELECT 0, url, 1.0::DOUBLE / n FROM nodes
+      UNION ALL SELECT q.i + 1, f.dst, 0.15 / max(nodes.n) + 0.85 * sum(q.rank * f.share) FROM (
+        SELECT i, node, rank FROM r UNION ALL SELECT i, 'lost' || site, sum(CASE WHEN d IS NULL THEN rank ELSE 0 END) FROM r JOIN nodes ON url = node GROUP BY i, site) q
+      JOIN f ON f.src = q.node JOIN nodes ON nodes.url = f.dst WHERE q.i < 40 GROUP BY q.i, f.dst),
+site_ranks AS (SELECT site, node AS url, rank / max(rank) OVER (PARTITION BY site) * 100 AS rank FROM r JOIN nodes ON url = node WHERE i = 40)"""
+
+
+@query(
+    "site_pagerank",
+    "WITH RECURSIVE se AS (" + SITE_EDGES + "), sp AS (" + SITE_PAGES + "), " + DUCK_SITE_RANKS + " SELECT site, url, round_even(rank, 1) AS pagerank FROM site_ranks",
+)
+def site_pagerank(spark, sf):
+    edges = shaped(spark, sf, SITE_EDGES).select("*", F.lit(True).alias("internal"), F.lit(False).alias("nofollow"))
+    return R.site_pagerank(shaped(spark, sf, SITE_PAGES), edges)
+
+
 @query(
     "top_pages",
     "WITH RECURSIVE pe AS (" + PART_EDGES + "), pp AS (" + PART_PAGES + "), " + DUCK_RANKS
