@@ -163,7 +163,7 @@ def _rooted(path: Column) -> Column:
 
 
 def resolve(base, href) -> Column:
-    """Absolute form of ``href`` seen from ``base`` (the fragment is dropped)."""
+    """Absolute form of ``href`` seen from ``base``, without its fragment and path parameters."""
     ref = _c(href)
 
     def whole(at: Column) -> Column:

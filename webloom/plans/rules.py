@@ -159,11 +159,15 @@ def server_rendering(spark, sf):
     return R.page_findings(pages).where("title LIKE 'Page content only%'").select("url", "title")
 
 
+# a page that names no language is judged from 30 words on: all with contact links have them, and three with a form
+JUDGED = "p_partkey % 97 <> 0 AND (p_partkey % 3 <> 0 OR p_partkey % 10 = 6 OR (p_partkey % 10 = 2 AND p_partkey % 7 = 1 AND p_partkey % 9 = 0))"
+
+
 @query(
     "spelling_findings",
-    """SELECT 'https://shop.example.com/item/' || p_partkey AS url, 'Spelling mistake: ''detail'' should be ''detailed account''' AS title FROM part
-WHERE p_partkey % 97 <> 0 AND p_partkey % 3 <> 0
-UNION ALL SELECT 'https://shop.example.com/item/' || p_partkey, 'Spelling mistake: ''Part'' should be ''Piece''' FROM part WHERE p_partkey % 97 <> 0 AND p_partkey % 3 <> 0""",
+    f"""SELECT 'https://shop.example.com/item/' || p_partkey AS url, 'Spelling mistake: ''detail'' should be ''detailed account''' AS title FROM part
+WHERE {JUDGED}
+UNION ALL SELECT 'https://shop.example.com/item/' || p_partkey, 'Spelling mistake: ''Part'' should be ''Piece''' FROM part WHERE {JUDGED}""",
 )
 def spelling_findings(spark, sf):
     book = shaped(spark, sf, "SELECT DISTINCT 'detail' AS wrong, 'detailed account' AS right FROM {region} UNION SELECT 'part', 'piece' FROM {region}")
