@@ -83,7 +83,7 @@ def test_topics_beyond_the_inline_bound(spark, monkeypatch):
     terms = ["card", "payment", "payments", "ai", "zz"]
     want = {(1, "card"), (1, "payment"), (1, "ai"), (3, "card")}
     assert {tuple(r) for r in T.topic_hits(docs, terms).collect()} == want
-    monkeypatch.setattr(T, "INLINE_TERMS", 2)
+    monkeypatch.setattr(T, "BLOCK_CHARS", 9)
     table = spark.createDataFrame([(t,) for t in terms], "term string")
     assert {tuple(r) for r in T.topic_hits(docs, table).collect()} == want
 

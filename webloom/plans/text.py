@@ -48,8 +48,14 @@ def english_gate(spark, sf):
 BOOK_WORDS = """SELECT * FROM (VALUES ('ther', 'there'), ('onthe', 'on the'), ('andthe', 'and the'), ('inger', 'finger'), ('atre', 'theatre'),
   ('reha', 'rehab'), ('thersh', 'thrash'), ('ered', 'erred')) AS b(wrong, correct)"""
 
-HITS = f"""WITH book AS ({BOOK_WORDS}), w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_RX}') AS ws FROM documents WHERE lang = 'en'),
-e AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM w WHERE len(ws) > 0),
+#: a declared language decides, else 30 words and over 5 % stop words
+ENGLISH = (
+    f"(lower(trim(coalesce(lang, ''))) LIKE 'en%' OR (trim(coalesce(lang, '')) = '' AND len(ws) >= 30 AND "
+    f"len(list_filter(ws, lambda x: lower(x) IN {STOP}))::DOUBLE / greatest(len(ws), 1) > 0.05))"
+)
+
+HITS = f"""WITH book AS ({BOOK_WORDS}), w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_RX}') AS ws, lang FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS pos FROM w WHERE {ENGLISH} AND len(ws) > 0),
 h AS (SELECT doc_id, wrong AS low, count(*) AS times, arg_min(word, pos) AS shown, any_value(correct) AS fix FROM e JOIN book ON lower(word) = wrong GROUP BY 1, 2),
 s AS (SELECT doc_id, low, times, shown, CASE WHEN shown = upper(shown) AND length(shown) > 1 THEN upper(fix)
   WHEN substr(shown, 1, 1) = upper(substr(shown, 1, 1)) THEN upper(substr(fix, 1, 1)) || substr(fix, 2) ELSE fix END AS suggestion FROM h)"""
@@ -112,7 +118,7 @@ def spelling_variants(spark, sf):
 
 @query(
     "spelling_variants_documents",
-    f"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD_RX}'))) AS low FROM documents WHERE lang = 'en'),
+    f"""WITH w AS (SELECT doc_id, lower(unnest(ws)) AS low FROM (SELECT doc_id, lang, regexp_extract_all(text, '{WORD_RX}') AS ws FROM documents) WHERE {ENGLISH}),
 c AS (SELECT doc_id, low, count(*) AS n FROM w GROUP BY 1, 2),
 d AS (SELECT doc_id, low, n, unnest(generate_series(1, length(low) - 1)) AS i FROM c WHERE regexp_full_match(low, '[a-z]{{7,}}')),
 g AS (SELECT doc_id, low, n, left(low, i) || substr(low, i + 2) AS single FROM d WHERE substr(low, i, 1) = substr(low, i + 1, 1)
@@ -151,9 +157,24 @@ def topic_hits(spark, sf):
 
 @query("topic_hits_joined", FOUND + " SELECT * FROM h")
 def topic_hits_joined(spark, sf):
-    """The join used beyond the inline bound gives the same rows."""
+    """Terms from a table: the same rows."""
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    return T._joined_hits(docs(spark, sf), terms, "doc_id", "text")
+    return T.topic_hits(docs(spark, sf), terms)
+
+
+@query(
+    "topic_hits_names",
+    f"""WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(substr(w, 1, 5)), '[^a-z0-9]+', ' ', 'g')) AS term FROM (
+    SELECT unnest(string_split(p_name || ' ' || p_brand || ' ' || coalesce(text, ''), ' ')) AS w FROM part LEFT JOIN benchmark ON item_id = p_partkey) WHERE length(w) > 5),
+few AS (SELECT term FROM t WHERE term <> '' AND NOT EXISTS (FROM t AS o WHERE o.term <> '' AND o.term <> t.term AND contains(t.term, o.term))),
+hay AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g') AS hay FROM documents)
+SELECT doc_id, term FROM hay JOIN few ON contains(hay, term)""",
+)
+def topic_hits_names(spark, sf):
+    """A long list: the first letters of all long words of the benchmark's texts and the parts' names."""
+    words = table(spark, sf, "part").join(table(spark, sf, "benchmark"), F.col("item_id") == F.col("p_partkey"), "left")
+    words = words.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand", F.coalesce("text", F.lit(""))), " ")).alias("w"))
+    return T.topic_hits(docs(spark, sf), words.where(F.length("w") > 5).select(F.substring("w", 1, 5).alias("term")))
 
 
 @query(
