@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from webloom import seeds
 from webloom.functions import urls as U
+from webloom.functions.literals import PatternBook
 from webloom.session import broadcast_if_small, cut_lineage
 
 #: patterns that one pass over the pages tests; a larger book takes several passes
@@ -72,22 +73,19 @@ def _matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _searches(book):
-    """Tests each pattern of ``book`` (field, tech, pattern) by itself on every page."""
+    """Tests each pattern of ``book`` (field, tech, pattern) by itself on every page that holds its literal."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_field: dict[str, list] = {}
-        for field, tech, pattern in book.value:
-            by_field.setdefault(field, []).append((tech, _regex(pattern)))
-        fields = [f for f in FREE if f in by_field]  # html, the longest, comes last
+        books = {f: PatternBook((tech, p) for field, tech, p in book.value if field == f) for f in FREE}
+        fields = [f for f in FREE if books[f].named]  # html, the longest, comes last
         for rows in batches:
             pages, techs = [], []
             for page_id, *values in zip(rows["page_id"], *(rows[f] for f in fields), strict=True):
-                found = set()
+                found: set[str] = set()
                 for field, texts in zip(fields, values, strict=True):
-                    texts = [texts] if isinstance(texts, str) else [t for t in (() if texts is None else texts) if t is not None]
-                    for tech, rx in by_field[field] if texts else ():
-                        if tech not in found and any(rx.search(t) for t in texts):
-                            found.add(tech)
+                    for text in [texts] if isinstance(texts, str) else (() if texts is None else texts):
+                        if text is not None:
+                            found |= books[field].found(text, found)
                 pages += [page_id] * len(found)
                 techs += found
             yield pd.DataFrame({"page_id": pd.Series(pages, dtype=rows["page_id"].dtype), "tech": pd.Series(techs, dtype=object)})
@@ -98,8 +96,8 @@ def _searches(book):
 def detect_tech(harvest: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """(page_id, tech) by direct evidence. Fields with a key (headers, cookies, meta,
     globals) meet the fingerprints on (field, key). The others are searched pattern by
-    pattern in the page's own row, in Arrow batches: a worker compiles a book's patterns
-    once. Books of any size: ``BLOCK`` patterns travel with one pass over the pages."""
+    pattern in the page's own row, in Arrow batches: an automaton of the patterns' literals tells
+    which of them a page can match at all. Books of any size: ``BLOCK`` patterns travel with one pass over the pages."""
     spark = harvest.sparkSession
     book = cut_lineage(fingerprint_book(fingerprints), "fingerprints")
     keyed = book.where(F.col("field").isin(*KEYED)).withColumn(
