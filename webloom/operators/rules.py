@@ -360,11 +360,12 @@ def findings_of(facts: DataFrame) -> DataFrame:
 def spelling_findings(facts: DataFrame, dictionary: DataFrame) -> DataFrame:
     from webloom.operators.spelling import text_findings
 
-    docs = facts.select(F.col("page_id").alias("doc_id"), "text", "ui", "lang")
-    rows = text_findings(docs, dictionary).join(facts.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    docs = facts.select(F.struct("page_id", "url").alias("doc_id"), "text", "ui", "lang")
+    rows = text_findings(docs, dictionary).select("doc_id.*", "*")
     return G.shaped_findings(
-        rows, seq=F.col("doc_id") * PAGE_ROOM + PAGE_ROOM // 2 + F.col("place"), severity="low", category="Content", title=F.col("title"),
-        detail=F.col("detail"), url=F.col("url"),
+        rows, seq=F.col("page_id") * PAGE_ROOM + PAGE_ROOM // 2 + F.col("place"), severity="low", category="Content", title=F.col("title"),
+        detail=F.col("detail"), url=F.col("url"), evidence=G.evidence(word=F.col("word"), suggestion=F.col("suggestion"), times=F.col("times"), context=F.col("context")),
+        how_to_fix=F.when(F.col("title").startswith("Same word"), "Choose one spelling and use it throughout.").otherwise("Correct the text where it is kept."),
     )
 
 

@@ -6,14 +6,20 @@ menus, buttons, headings) and ``lang``. The dictionary is a table (wrong, right)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from webloom import seeds
 from webloom.functions import text as X
 from webloom.functions.html import collapse
 from webloom.functions.urls import let
-from webloom.session import broadcast_if_small
 
 UI_NOTE = " It stands in a menu, button, link or heading."
 
@@ -29,44 +35,140 @@ def english(docs: DataFrame) -> DataFrame:
     return listed.where(X.looks_english(F.col("lang"), F.col("body_words")))
 
 
-def _exploded(eng: DataFrame) -> DataFrame:
-    ui_words = F.transform(X.words(F.array_join("ui", "\n")), lambda w: F.lower(w))
-    rows = eng.select("doc_id", ui_words.alias("ui_words"), F.posexplode("body_words").alias("pos", "word"))
-    return rows.select(
-        "doc_id", "pos", "word", F.lower("word").alias("low"), F.array_contains("ui_words", F.lower("word")).alias("in_ui")
-    )
+# ------------------------------------------------------------------ words inside their row
+#: Dictionary words that one step of the scan looks up; more take several steps of the same scan.
+BOOK_ROWS = 500_000
+HIT = "struct<low:string,shown:string,times:long,in_ui:boolean,right:string>"
+VARIANT = (
+    "struct<first:int,k:int,single:string,single_shown:string,single_times:long,single_ui:boolean,"
+    "double:string,double_shown:string,double_times:long,double_ui:boolean>"
+)
+
+
+class _Words:
+    """Words of a batch: row i holds ``codes[bounds[i]:bounds[i + 1]]``, numbers of the ``lows``."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, lists = batch, batch.column("lows")
+        self.bounds = lists.offsets.to_numpy().astype(np.int64)
+        self.bounds -= self.bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        self.lows, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+    def rows_with(self, marked: np.ndarray) -> np.ndarray:
+        """The rows that hold one of the marked words."""
+        return np.unique(np.searchsorted(self.bounds, np.flatnonzero(marked[self.codes]), side="right") - 1)
+
+    def told(self, row: int, wanted: set[int]) -> dict[int, tuple[int, int, str, bool]]:
+        """Wanted words of a row in order: number -> first place, times, as first written, in the ui."""
+        codes = self.codes[self.bounds[row] : self.bounds[row + 1]]
+        shown, ui = self.batch.column("words")[row], set(self.batch.column("ui_words")[row].as_py())
+        kinds, first, times = np.unique(codes, return_index=True, return_counts=True)
+        out = [(int(f), int(c), int(n)) for c, f, n in zip(kinds, first, times, strict=True) if int(c) in wanted]
+        return {c: (f, n, shown[f].as_py(), self.lows[c] in ui) for f, c, n in sorted(out)}
+
+    def with_column(self, name: str, values: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        column = pa.array(values, kind)
+        if name in self.batch.schema.names:
+            return self.batch.set_column(self.batch.schema.get_field_index(name), name, column)
+        return self.batch.append_column(name, column)
+
+
+def _look_up(state, kind: pa.DataType):
+    """Adds the dictionary's words to the ``hits`` of each row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = state.value
+        for batch in batches:
+            words, hits = _Words(batch), batch.column("hits").to_pylist()
+            marked = np.fromiter((w in book for w in words.lows), bool, len(words.lows))
+            wanted = set(np.flatnonzero(marked).tolist())
+            for row in words.rows_with(marked).tolist():
+                for code, (_, times, shown, in_ui) in words.told(row, wanted).items():
+                    low = words.lows[code]
+                    hits[row].append({"low": low, "shown": shown, "times": times, "in_ui": in_ui, "right": book[low]})
+            yield words.with_column("hits", hits, kind)
+
+    return task
+
+
+def single_forms(low: str) -> list[str]:
+    """The word with one of its doubled letters written once, for each that may be a slip."""
+    if not DOUBLED.fullmatch(low):
+        return []
+    cuts = [i for i in range(len(low) - 1) if low[i] == low[i + 1] and low[i + 2 :] not in seeds.DOUBLING_SUFFIXES]
+    return [low[: i + 1] + low[i + 2 :] for i in cuts]
+
+
+DOUBLED = re.compile("[a-z]{7,}")
+
+
+def _vary(kind: pa.DataType):
+    """Adds the ``variants`` of each row: words with a doubled letter whose single form stands there too."""
+    fine = {frozenset(p) for p in seeds.VALID_SPELLING_PAIRS}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _Words(batch)
+            number = {w: i for i, w in enumerate(words.lows)}
+            forms: dict[int, dict[int, int]] = {}
+            for w, i in number.items():
+                for k, single in enumerate(single_forms(w)):
+                    if single in number and frozenset((w, single)) not in fine:
+                        forms.setdefault(i, {}).setdefault(number[single], k)
+            marked = np.zeros(len(words.lows), bool)
+            marked[list(forms)] = True
+            wanted = set(forms) | {c for own in forms.values() for c in own}
+            out: list[list] = [[] for _ in range(batch.num_rows)]
+            for row in words.rows_with(marked).tolist() if forms else ():
+                told, wrong = words.told(row, wanted), {h["low"] for h in batch.column("hits")[row].as_py()}
+                for double, (first, times, shown, in_ui) in told.items():
+                    for single, k in forms.get(double, {}).items():
+                        if single in told and not wrong & {words.lows[double], words.lows[single]}:
+                            _, n, single_shown, single_ui = told[single]
+                            out[row].append({
+                                "first": first, "k": k, "single": words.lows[single], "single_shown": single_shown, "single_times": n, "single_ui": single_ui,
+                                "double": words.lows[double], "double_shown": shown, "double_times": times, "double_ui": in_ui})
+            yield words.with_column("variants", out, kind)
+
+    return task
+
+
+def told_rows(eng: DataFrame, dictionary: DataFrame | None = None, variants: bool = True) -> DataFrame:
+    """The documents with the dictionary words (``hits``) and spelling ``variants`` of each, found inside the row:
+    one scan, in which no word leaves its text. The dictionary is broadcast in parts of about BOOK_ROWS words."""
+    spark = eng.sparkSession
+    lower = lambda words: F.transform(words, lambda w: F.lower(w))
+    rows = eng.select(
+        "doc_id", "text", "ui", F.col("body_words").alias("words"), lower(F.col("body_words")).alias("lows"),
+        lower(X.words(F.array_join("ui", "\n"))).alias("ui_words"), F.expr(f"CAST(array() AS array<{HIT}>)").alias("hits"))
+    kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(f"hits array<{HIT}>, variants array<{VARIANT}>"))}
+    if dictionary is not None:
+        book = dictionary.groupBy(F.lower("wrong").alias("low")).agg(F.min("right").alias("right"))
+        parts = 1 + book.count() // BOOK_ROWS
+        for part in range(parts):
+            some = {r["low"]: r["right"] for r in book.where(F.pmod(F.xxhash64("low"), F.lit(parts)) == part).collect()}
+            rows = rows.mapInArrow(_look_up(spark.sparkContext.broadcast(some), kinds["hits"]), rows.schema)
+    if variants:
+        rows = rows.mapInArrow(_vary(kinds["variants"]), StructType([*rows.schema, *StructType.fromDDL(f"variants array<{VARIANT}>")]))
+    return rows
 
 
-def word_counts(eng: DataFrame) -> DataFrame:
-    """doc_id, low, times, shown (as first written), first (position), in_ui."""
-    return _exploded(eng).groupBy("doc_id", "low").agg(
-        F.count("*").alias("times"),
-        F.min_by("word", "pos").alias("shown"),
-        F.min("pos").alias("first"),
-        F.max("in_ui").alias("in_ui"),
-    )
+def _context(shown: Column) -> Column:
+    return let(X.context(F.col("text"), shown), lambda c: F.when(c == "", shown).otherwise(c))
 
 
 def misspellings(eng: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, low, shown, suggestion, times, in_ui, context. The dictionary is
-    broadcast when it is small, so only hits are grouped."""
-    book = broadcast_if_small(dictionary.select(F.lower("wrong").alias("low"), "right").distinct())
-    hits = _exploded(eng).join(book, "low").groupBy("doc_id", "low").agg(
-        F.count("*").alias("times"),
-        F.min_by("word", "pos").alias("shown"),
-        F.max("in_ui").alias("in_ui"),
-        F.min("right").alias("right"),
-    )
-    hits = hits.join(eng.select("doc_id", "text"), "doc_id")
-    found = X.context(F.col("text"), F.col("shown"))
+    """doc_id, low, shown, suggestion, times, in_ui, context; found in the row."""
+    hits = told_rows(eng, dictionary, variants=False).select("doc_id", "text", F.explode("hits").alias("h"))
     return hits.select(
-        "doc_id", "low", "shown", X.same_case(F.col("right"), F.col("shown")).alias("suggestion"), "times", "in_ui",
-        let(found, lambda c: F.when(c == "", F.col("shown")).otherwise(c)).alias("context"),
+        "doc_id", "h.low", "h.shown", X.same_case(F.col("h.right"), F.col("h.shown")).alias("suggestion"), "h.times", "h.in_ui",
+        _context(F.col("h.shown")).alias("context"),
     )
 
 
-def wrong_phrases(eng: DataFrame) -> DataFrame:
-    """doc_id, n (1 forget, 2 modal + of, 3 your welcome), shown, suggestion. Row-wise."""
+def phrase_slips() -> Column:
+    """The set phrases of a row gone wrong: n (1 forget, 2 modal + of, 3 your welcome), shown, suggestion."""
     forget = F.get(
         F.filter(F.transform("ui", lambda s: collapse(s)), lambda s: s.rlike(r"(?i)^forget\s+(your\s+)?password\s*\??$")), 0
     )
@@ -78,73 +180,63 @@ def wrong_phrases(eng: DataFrame) -> DataFrame:
     forgot = F.concat(F.when(forget.rlike("^F"), "Forgot").otherwise("forgot"), F.substr(forget, F.lit(7)))
     have = F.concat(F.regexp_extract(modal, r"^(\w+)", 1), F.lit(" have"))
     rows = F.array(row(1, forget, forgot), row(2, modal, have), row(3, welcome, F.lit("you're welcome")))
-    return eng.select("doc_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("p")).select("doc_id", "p.*")
+    return F.filter(rows, lambda r: r.isNotNull())
+
+
+def wrong_phrases(eng: DataFrame) -> DataFrame:
+    """doc_id, n, shown, suggestion of the set phrases gone wrong. Row-wise."""
+    return eng.select("doc_id", F.explode(phrase_slips()).alias("p")).select("doc_id", "p.*")
+
+
+def _variant(v: Column) -> dict[str, Column]:
+    """The rarer form of a variant and the commoner one; as often, the single letter is the rare one."""
+    single_rare = v["single_times"] <= v["double_times"]
+    pick = lambda a, b: F.when(single_rare, v[a]).otherwise(v[b])
+    return {
+        "rare": pick("single_shown", "double_shown"), "common": pick("double_shown", "single_shown"),
+        "rare_times": pick("single_times", "double_times"), "common_times": pick("double_times", "single_times"),
+        "rare_in_ui": pick("single_ui", "double_ui"),
+    }
 
 
 def spelling_variants(eng: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Words with a doubled letter whose single form stands in the same text:
-    doc_id, first, rare, common, rare_times, common_times, rare_in_ui."""
-    counts = word_counts(eng)
-    letters = F.sequence(F.lit(1), F.length("low") - 1)
-    doubled = counts.where(F.col("low").rlike("^[a-z]{7,}$") & F.col("low").rlike(r"([a-z])\1"))
-    cuts = F.filter(
-        letters,
-        lambda i: (F.substr("low", i, F.lit(1)) == F.substr("low", i + 1, F.lit(1)))
-        & ~F.substr("low", i + 2).isin(*seeds.DOUBLING_SUFFIXES),
-    )
-    forms = doubled.select(
-        "doc_id", F.col("low").alias("double"), F.col("times").alias("double_times"), F.col("shown").alias("double_shown"),
-        F.col("first"), F.col("in_ui").alias("double_ui"), F.posexplode(cuts).alias("k", "i"),
-    ).withColumn("low", F.concat(F.left("double", F.col("i")), F.substr("double", F.col("i") + 2)))
-    both = forms.join(counts.drop("first"), ["doc_id", "low"])
-    pairs = [F.array(F.lit(a), F.lit(b)) for p in seeds.VALID_SPELLING_PAIRS for a, b in (p, p[::-1])]
-    both = both.where(~F.array_contains(F.array(*pairs), F.array("double", "low")))
-    if dictionary is not None:
-        wrong = broadcast_if_small(dictionary.select(F.lower("wrong").alias("wrong")).distinct())
-        both = both.join(wrong.withColumnRenamed("wrong", "low"), "low", "left_anti")
-        both = both.join(wrong.withColumnRenamed("wrong", "double"), "double", "left_anti")
-    both = both.groupBy("doc_id", "double", "low").agg(
-        F.min_by(F.struct("first", "k", "double_times", "double_shown", "double_ui", "times", "shown", "in_ui"), "k").alias("b")
-    )
-    single_rare = F.col("b.times") <= F.col("b.double_times")
-    pick = lambda a, b: F.when(single_rare, F.col(a)).otherwise(F.col(b))
-    return both.select(
-        "doc_id", F.col("b.first").alias("first"), F.col("b.k").alias("k"),
-        pick("b.shown", "b.double_shown").alias("rare"), pick("b.double_shown", "b.shown").alias("common"),
-        pick("b.times", "b.double_times").alias("rare_times"), pick("b.double_times", "b.times").alias("common_times"),
-        pick("b.in_ui", "b.double_ui").alias("rare_in_ui"),
-    )
+    doc_id, first, k, rare, common, rare_times, common_times, rare_in_ui; found in the row."""
+    rows = told_rows(eng, dictionary).select("doc_id", F.explode("variants").alias("v"))
+    return rows.select("doc_id", "v.first", "v.k", *[c.alias(n) for n, c in _variant(F.col("v")).items()])
 
 
-def _note(flag: str) -> Column:
-    return F.when(F.col(flag), UI_NOTE).otherwise("")
+def _note(flag: Column) -> Column:
+    return F.when(flag, UI_NOTE).otherwise("")
 
 
 def text_findings(docs: DataFrame, dictionary: DataFrame, limit: int | None = None) -> DataFrame:
-    """The slips of each text (with ``limit`` only the first ones) as rows (doc_id, place, title, detail):
-    misspellings (words in menus first, then by letter), phrases, variants."""
-    eng = english(docs)
-    q = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
-    one = misspellings(eng, dictionary).select(
-        "doc_id",
-        F.struct(F.lit(1).alias("a"), (~F.col("in_ui")).cast("int").alias("b"), F.lit(0).alias("c"), F.col("low").alias("d")).alias("o"),
-        F.concat(F.lit("Spelling mistake: "), q("shown"), F.lit(" should be "), q("suggestion")).alias("title"),
-        F.concat(F.col("context"), _note("in_ui")).alias("detail"),
-    )
-    two = wrong_phrases(eng).select(
-        "doc_id",
-        F.struct(F.lit(2).alias("a"), F.col("n").alias("b"), F.lit(0).alias("c"), F.lit("").alias("d")).alias("o"),
-        F.concat(F.lit("Wrong phrase: "), q("shown"), F.lit(" should be "), q("suggestion")).alias("title"),
-        F.lit("A common slip.").alias("detail"),
-    )
-    three = spelling_variants(eng, dictionary).select(
-        "doc_id",
-        F.struct(F.lit(3).alias("a"), F.col("first").alias("b"), F.col("k").alias("c"), F.lit("").alias("d")).alias("o"),
-        F.concat(F.lit("Same word spelled two ways: "), q("rare"), F.lit(" and "), q("common")).alias("title"),
-        F.concat(F.col("rare_times"), F.lit("× and "), F.col("common_times"), F.lit("×."), _note("rare_in_ui")).alias("detail"),
-    )
-    w = Window.partitionBy("doc_id").orderBy("o", "title")
-    rows = one.unionByName(two).unionByName(three).withColumn("place", F.row_number().over(w))
-    if limit is not None:
-        rows = rows.where(F.col("place") <= limit)
-    return rows.select("doc_id", "place", "title", "detail")
+    """The slips of each text (with ``limit`` only the first ones) as rows (doc_id, place, title, detail, word, suggestion,
+    times, context): misspellings (words in menus first, then by letter), phrases, variants. They are found, put in order and
+    numbered inside the text's row: one scan and no shuffle."""
+    rows = told_rows(english(docs), dictionary)
+    q = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+
+    def finding(order, title: Column, detail: Column, word: Column, suggestion: Column, times: Column, context: Column) -> Column:
+        place = F.struct(*[F.lit(x).alias(n) if not isinstance(x, Column) else x.alias(n) for n, x in zip("abcd", order, strict=True)])
+        return F.struct(place.alias("o"), title.alias("title"), detail.alias("detail"), word.alias("word"), suggestion.alias("suggestion"),
+                        times.cast("long").alias("times"), context.alias("context"))
+
+    def spelled(h: Column) -> Column:
+        right, near = X.same_case(h["right"], h["shown"]), _context(h["shown"])
+        title = F.concat(F.lit("Spelling mistake: "), q(h["shown"]), F.lit(" should be "), q(right))
+        return finding((1, (~h["in_ui"]).cast("int"), 0, h["low"]), title, F.concat(near, _note(h["in_ui"])), h["shown"], right, h["times"], near)
+
+    def phrased(p: Column) -> Column:
+        title = F.concat(F.lit("Wrong phrase: "), q(p["shown"]), F.lit(" should be "), q(p["suggestion"]))
+        return finding((2, p["n"], 0, ""), title, F.lit("A common slip."), p["shown"], p["suggestion"], F.lit(1), _context(p["shown"]))
+
+    def varied(v: Column) -> Column:
+        c = _variant(v)
+        title = F.concat(F.lit("Same word spelled two ways: "), q(c["rare"]), F.lit(" and "), q(c["common"]))
+        detail = F.concat(c["rare_times"], F.lit("× and "), c["common_times"], F.lit("×."), _note(c["rare_in_ui"]))
+        return finding((3, v["first"], v["k"], ""), title, detail, c["rare"], c["common"], c["rare_times"], _context(c["rare"]))
+
+    slips = F.array_sort(F.concat(F.transform("hits", spelled), F.transform(phrase_slips(), phrased), F.transform("variants", varied)))
+    placed = rows.select("doc_id", F.posexplode(slips if limit is None else F.slice(slips, 1, limit)).alias("at", "f"))
+    return placed.select("doc_id", (F.col("at") + 1).alias("place"), "f.title", "f.detail", "f.word", "f.suggestion", "f.times", "f.context")

@@ -172,3 +172,16 @@ UNION ALL SELECT 'https://shop.example.com/item/' || p_partkey, 'Spelling mistak
 def spelling_findings(spark, sf):
     book = shaped(spark, sf, "SELECT DISTINCT 'detail' AS wrong, 'detailed account' AS right FROM {region} UNION SELECT 'part', 'piece' FROM {region}")
     return R.spelling_findings(R.page_facts(shop(spark, sf)), book).select("url", "title")
+
+
+@query(
+    "spelling_evidence",
+    f"""SELECT 'https://shop.example.com/item/' || p_partkey AS url, 'detail' AS word, 'detailed account' AS suggestion, '1' AS times,
+  'ls about the part named ' || p_name || ' in some detail.' AS near FROM part WHERE {JUDGED}""",
+)
+def spelling_evidence(spark, sf):
+    """The evidence of each slip, of its context the words before it."""
+    book = shaped(spark, sf, "SELECT DISTINCT 'detail' AS wrong, 'detailed account' AS right FROM {region}")
+    e = R.spelling_findings(R.page_facts(shop(spark, sf)), book)
+    shown = [F.col("evidence")[k].alias(k) for k in ("word", "suggestion", "times")]
+    return e.select("url", *shown, F.regexp_extract(F.col("evidence")["context"], "(ls about the part named .* in some detail\\.)", 1).alias("near"))
