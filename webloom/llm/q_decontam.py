@@ -1,5 +1,5 @@
-"""op10: documents that hold benchmark passages, also re-parameterised ones. Tests hold it
-against a brute-force version; SQL has no word classes."""
+"""op10: documents that hold benchmark passages, also re-parameterised ones; SQL has no
+word classes."""
 
 from pyspark.sql import functions as F
 

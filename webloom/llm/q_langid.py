@@ -1,5 +1,5 @@
-"""op3: language of every document, learned from three of four folds. Held to its accuracy
-on the held-out fold in tests; SQL has no mixture inference."""
+"""op3: language of every document, learned from three of four folds; SQL has no mixture
+inference."""
 
 from pyspark.sql import functions as F
 

@@ -1,5 +1,5 @@
-"""op2: personal data in documents. SQL cannot express the transducers; tests hold the
-query against a brute-force version."""
+"""op2: personal data in documents. SQL cannot express the transducers; tests hold plain
+spans against a brute-force version and disguises to examples."""
 
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-"""op1: verdicts on page urls; tests hold components and rules against brute force."""
+"""op1: verdicts on page urls."""
 
 from webloom.llm.registry import query, table
 from webloom.llm.url_filter import RULES, judge_urls, rule_table
