@@ -19,7 +19,7 @@ from webloom.llm.packing import pack_documents
 from webloom.llm.quality import cleaned
 from webloom.llm.stages import Stages
 
-#: No stage can be checked by SQL: tokenizer, template classes. Tests hold each to brute force.
+#: No stage can be checked by SQL: tokenizer, template classes.
 ORACLE_SQL = None
 
 
