@@ -28,7 +28,7 @@ def frames(spark, web):
     return spark.createDataFrame(edges, EDGES).repartition(3), spark.createDataFrame([(s, n) for s, (ns, _) in web.items() for n in ns], NODES).repartition(3)
 
 
-@pytest.mark.parametrize("slice_edges, rounds", [(1_000_000, 8), (4, 3), (1_000_000, 1)])
+@pytest.mark.parametrize("slice_edges, rounds", [(1_000_000, 8), (4, 3)])
 def test_every_graph_as_if_alone(spark, monkeypatch, slice_edges, rounds):
     monkeypatch.setattr(R, "SLICE_EDGES", slice_edges)
     web = graphs()
@@ -49,7 +49,7 @@ def test_stops_after_the_first_round_below_the_tolerance(spark):
             break
         last = now
     web = {"x": (names, edges)}
-    for rounds in (1, 4, 50):
+    for rounds in (1, 4):
         got = {r.node: r["rank"] for r in R.graph_ranks(*frames(spark, web), iterations=60, tol=1e-4, rounds=rounds).collect()}
         want = plain_rank(names, edges, 0.85, need)
         assert max(abs(got[n] - want[n]) for n in names) < 1e-13
