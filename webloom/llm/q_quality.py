@@ -17,18 +17,16 @@ with w as (
 ), rep_words as (
   select r, count(distinct i + d) n from rep, (select unnest(range(0, 5)) d) group by r
 ), lines as (
-  select r, source, unnest(string_split(t, chr(10))) l from w
+  select r, source, md5(t) f, unnest(string_split(t, chr(10))) l from w
 ), full_lines as (
   select *, md5(trim(regexp_replace(regexp_replace(
       translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\\x09-\\x0d\\x20]+', ' ', 'g'), ' ')) k,
     len(list_filter(string_split_regex(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) lw
   from lines where regexp_matches(l, '[^\\x20\\x09-\\x0D]')
-), fam as (
-  select *, min(k) over (partition by r) f from full_lines
 ), freq as (
-  select source, k from fam group by 1, 2 having count(distinct f) > {MAX_DOCS}
+  select source, k from full_lines group by 1, 2 having count(distinct f) > {MAX_DOCS}
 ), gone as (
-  select r, count(*) n, sum(lw) lw from fam join freq on fam.k = freq.k and fam.source is not distinct from freq.source group by r
+  select r, count(*) n, sum(lw) lw from full_lines x join freq on x.k = freq.k and x.source is not distinct from freq.source group by r
 ), dups as (
   select r, count(*) - count(distinct l) n from full_lines group by r
 ), s as (
