@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +63,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextmanager
-def fixed_shape(spark: SparkSession, partitions: int):
-    """For rounds of one known shape: shuffles of the given width, no re-planning
-    between the stages. The session's own settings come back afterwards."""
-    wanted = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def build_session(app: str = "webloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for; a cluster's own
     values (given through ``conf`` or spark-submit) win."""
