@@ -150,12 +150,27 @@ def page_weight(responses: DataFrame) -> DataFrame:
     )
 
 
-def overflow_findings(metrics: DataFrame) -> DataFrame:
-    """Pages wider than their viewport that can be scrolled sideways."""
+def overflow_findings(metrics: DataFrame, elements: DataFrame | None = None, widest: int = 5) -> DataFrame:
+    """Pages wider than their viewport that can be scrolled sideways. ``elements``: page_url, label,
+    selector, right (where the element ends, in px); the ``widest`` of a page and label go with its finding. The
+    ranked window keeps that many per group before the shuffle, however many elements a page has."""
     rows = metrics.where("NOT clipped AND scroll_width > width + 4")
+    if elements is None:
+        rows = rows.withColumn("wide", F.array().cast("array<struct<selector:string,right:long>>"))
+    else:
+        order = Window.partitionBy("page_url", "label").orderBy(F.desc("right"), "selector")
+        top = elements.withColumn("place", F.row_number().over(order)).where(F.col("place") <= widest)
+        place = F.struct("place", "selector", F.col("right").cast("long").alias("right"))
+        wide = F.transform(F.array_sort(F.collect_list(place)), lambda x: F.struct(x["selector"].alias("selector"), x["right"].alias("right")))
+        rows = rows.join(top.groupBy("page_url", "label").agg(wide.alias("wide")), ["page_url", "label"], "left")
+    first = F.get("wide", 0)
+    culprit = F.when(first.isNotNull(), F.concat(F.lit("The element that reaches farthest, to "), first["right"], F.lit("px, is "), first["selector"], F.lit(".")))
     return _f(
         rows, "medium", "Responsive", F.concat(F.lit("Horizontal scrolling on "), F.col("label"), F.lit(" ("), F.col("width"), F.lit("px)")),
-        evidence=G.evidence(viewport_width=F.col("width"), content_width=F.col("scroll_width"), overflow_px=F.col("scroll_width") - F.col("width")),
+        detail=F.coalesce(culprit, F.lit("No single element was seen to reach beyond the viewport.")),
+        evidence=G.evidence(
+            viewport_width=F.col("width"), content_width=F.col("scroll_width"), overflow_px=F.col("scroll_width") - F.col("width"),
+            widest_elements=F.to_json(F.coalesce("wide", F.array().cast("array<struct<selector:string,right:long>>")))),
     )
 
 

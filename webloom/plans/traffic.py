@@ -133,6 +133,22 @@ def overflow_findings(spark, sf):
     return N.overflow_findings(shaped(spark, sf, METRICS)).select("seq", "title", F.col("evidence")["overflow_px"].alias("over"))
 
 
+# every line of an order is an element of its part's page
+WIDE = """SELECT 'https://shop.example.com/item/' || CAST(l_partkey AS STRING) AS page_url, 'mobile' AS label,
+  'div#l' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS selector, CAST(390 + l_suppkey % 40 AS BIGINT) AS right_px FROM {lineitem}"""
+
+
+@query(
+    "overflow_elements",
+    "WITH m AS (" + METRICS + "), e AS (" + WIDE + """), w AS (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY right_px DESC, selector) AS place FROM e)
+SELECT m.seq, '[' || coalesce(string_agg('{"selector":"' || selector || '","right":' || right_px || '}', ',' ORDER BY place), '') || ']' AS widest
+FROM m LEFT JOIN w ON w.page_url = m.page_url AND place <= 5 WHERE NOT clipped AND scroll_width > 394 GROUP BY m.seq""",
+)
+def overflow_elements(spark, sf):
+    elements = shaped(spark, sf, WIDE).withColumnRenamed("right_px", "right")
+    return N.overflow_findings(shaped(spark, sf, METRICS), elements).select("seq", F.col("evidence")["widest_elements"].alias("widest"))
+
+
 # ------------------------------------------------------------------ site probes: one site per customer
 PROBES = """SELECT CASE WHEN c_custkey % 6 = 0 THEN 'http://' ELSE 'https://' END || 'c' || CAST(c_custkey AS STRING) || '.example.com' AS site, kind, path, c_custkey AS k, c_custkey * 100 + n AS seq,
   CASE WHEN c_custkey % 17 = 0 THEN 403 WHEN kind = 'root' THEN 200
