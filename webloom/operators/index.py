@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom import seeds
 from webloom.functions import urls as U
+from webloom.session import cut_lineage
 
 EDGE_COLUMNS = [
     "source_url", "target_url", "source_domain", "target_domain", "anchor", "internal", "nofollow",
@@ -292,7 +293,8 @@ def expand(
     of a topic term in the domain name or an anchor is enough."""
     from webloom.operators.topics import topic_hit_terms
 
-    found = frontier(edges, domains, 4 * n, min_referring, skip)
+    # at most 4n rows, written once: the edges are aggregated once, and read once more for the anchors
+    found = cut_lineage(frontier(edges, domains, 4 * n, min_referring, skip), "waiting")
     texts = frontier_anchors(edges, found).select("domain", F.concat_ws(" ", "domain", "anchor").alias("text"))
     texts = texts.unionByName(found.select("domain", F.col("domain").alias("text")))
     if terms:
