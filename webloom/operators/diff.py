@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import seeds
 from webloom.operators.findings import weight
+from webloom.operators.places import numbered
 
 FIELDS = ["id", "severity", "category", "title", "url", "element", "seq"]
 
@@ -23,8 +24,9 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     ``change`` is fixed | new | moved | changed | unchanged. A finding born on
     another page with the same (category, title, element) as one that went is
     moved; such partners are paired one to one in id order. The pairing numbers
-    gone and born rows of a shape and joins on (shape, number); shapes that only
-    one side has never meet.
+    gone and born rows of a shape (``places.numbered``: many tasks for a shape with
+    a third of all rows) and joins on (shape, number); shapes that only one side
+    has never meet.
     """
     both = _by_id(old).withColumnRenamed("f", "o").join(_by_id(new).withColumnRenamed("f", "n"), "id", "full_outer")
     pick = lambda side: [F.col(f"{side}.{c}").alias(c) for c in FIELDS[1:-1]]
@@ -34,46 +36,28 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     same = same.withColumn("was_severity", F.when(F.col("change") == "changed", F.col("was_severity")))
     shape = [F.coalesce("category", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("element", F.lit(""))]
-
-    def numbered(side: str, other: str) -> DataFrame:
-        rows = both.where(f"{side} IS NOT NULL AND {other} IS NULL").select("id", *pick(side))
-        return _place_in_shape(rows.withColumn("shape", F.sha2(F.concat_ws("\x1f", *shape), 256)))
-
-    gone, born = numbered("o", "n"), numbered("n", "o")
-    partners = gone.select("shape", "place", F.col("id").alias("gone_id"), F.coalesce("url", F.lit("")).alias("was_url"))
-    met = born.join(partners, ["shape", "place"], "full_outer")
+    lone = F.coalesce("o", "n")
+    alone = both.where("o IS NULL OR n IS NULL").select(
+        F.col("n").isNotNull().alias("born"), "id", *[lone[c].alias(c) for c in FIELDS[1:-1]])
+    alone = numbered(alone.withColumn("shape", F.sha2(F.concat_ws("\x1f", *shape), 256)), ["born", "shape"], ["id"], "moved")
+    fields = F.struct("id", *FIELDS[1:-1])
+    gone = alone.where(~F.col("born")).select("shape", "place", fields.alias("g"))
+    born = alone.where("born").select("shape", "place", fields.alias("b"))
+    met = born.join(gone, ["shape", "place"], "full_outer")
     none = F.lit(None).cast("string")
-    arrived = met.where("id IS NOT NULL").select(
-        F.when(F.col("gone_id").isNull(), "new").otherwise("moved").alias("change"),
-        "id", "severity", "category", "title", "url", "element", none.alias("was_severity"), "was_url",
+    shown = F.coalesce("b", "g")
+    moved = F.col("b").isNotNull() & F.col("g").isNotNull()
+    paired = met.select(
+        F.when(moved, "moved").when(F.col("b").isNull(), "fixed").otherwise("new").alias("change"),
+        *[shown[c].alias(c) for c in FIELDS[:-1]], none.alias("was_severity"),
+        F.when(moved, F.coalesce("g.url", F.lit(""))).alias("was_url"),
     )
-    lost = met.where("id IS NULL").select(F.col("gone_id").alias("id"))
-    fixed = gone.join(lost, "id", "left_semi").select(
-        F.lit("fixed").alias("change"), "id", "severity", "category", "title", "url", "element",
-        none.alias("was_severity"), none.alias("was_url"),
-    )
-    out = same.unionByName(arrived).unionByName(fixed)
+    out = same.unionByName(paired)
     now, before = weight("severity"), weight("was_severity")
     trend = F.when(F.col("change") == "changed", F.when(now < before, "worse").when(now > before, "better"))
     return out.withColumn("trend", trend)
 
 
-
-
-def _place_in_shape(rows: DataFrame) -> DataFrame:
-    """Number the rows of each shape in id order. Ids are hashes, so their leading
-    characters cut a shape into even ranges: rows are numbered inside (shape,
-    range), and the few range totals of a shape give each range its start. A shape
-    with a third of all rows is so numbered by many tasks."""
-    ranged = rows.withColumn("range", F.left("id", F.lit(2)))
-    totals = ranged.groupBy("shape", "range").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("shape").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shape", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shape", "range").orderBy("id"))
-    placed = ranged.withColumn("inside", inside).join(starts, ["shape", "range"])
-    return placed.withColumn("place", F.col("inside") + F.col("start")).drop("inside", "start", "range")
-
-
 def order_diff(changes: DataFrame) -> DataFrame:
     return changes.orderBy("change", weight("severity"), "title", "id")
 

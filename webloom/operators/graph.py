@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.operators.places import numbered
 from webloom.operators.ranks import graph_ranks
 from webloom.session import cut_lineage
 
@@ -47,55 +50,70 @@ def reach(
 
     ``edges``: source, target, seq (order of the links of a page); ``seeds``: url
     (each its own site), seq. ``gate(url, base)`` gives a reason to leave a URL
-    alone. Every site has its own budget of ``max_pages``. ``place`` grows in the
-    order of the visits of a depth. A seed is visited whatever the gate says.
+    alone. Every site has its own budget of ``max_pages``. ``place`` is the number of
+    the visit in its site, from 1. A seed is visited whatever the gate says. Each depth
+    is written once and never again; a small filter spares new pages the join with the
+    visited ones.
     """
     gate = gate or (lambda u, b: U.visit_gate(u, b, allow_subdomains))
-    level = seeds.select("url", F.col("url").alias("base"), F.col("seq").alias("place"))
-    level = level.groupBy("url", "base").agg(F.min("place").alias("place"))
-    level = cut_lineage(level.withColumn("depth", F.lit(0)), "reach")
-    seen = level
-    used = level.groupBy("base").agg(F.count("*").alias("used"))
+    level = seeds.select("url", F.col("url").alias("base")).distinct()
+    level = cut_lineage(level.select("url", "base", F.lit(1).cast("long").alias("place"), F.lit(0).alias("depth")), "visit")
+    levels, marks = [level], _marks(level)
     for depth in range(1, max_depth + 1):
+        # places run on from depth to depth, so the last one is the number of pages a site has used
+        used = level.groupBy("base").agg(F.max("place").alias("used")).where(F.col("used") < max_pages)
         step = (
-            level.select(F.col("url").alias("source"), "base", "place")
+            level.join(used.select("base"), "base", "left_semi")
+            .select(F.col("url").alias("source"), "base", "place")
             .join(edges.select("source", "target", "seq"), "source")
             .groupBy(F.col("target").alias("url"), "base")
             .agg(F.min(F.struct("place", "seq")).alias("o"))
         )
         step = step.where(gate(F.col("url"), F.col("base")).isNull())
-        step = step.join(seen.select("url", "base"), ["url", "base"], "left_anti")
-        level = _within_budget(step, used, max_pages, depth)
+        placed = numbered(_unvisited(step, levels, marks), ["base"], ["o", "url"], "level")
+        number = F.col("place") + F.col("used")
+        level = cut_lineage(
+            placed.join(used, "base").where(number <= max_pages)
+            .select("url", "base", number.alias("place"), F.lit(depth).alias("depth")),
+            "visit",
+        )
         if level.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(level), "seen")
-        used = seen.groupBy("base").agg(F.count("*").alias("used"))
-    return seen
+        levels.append(level)
+        marks = cut_lineage(marks.unionAll(_marks(level)).groupBy("word").agg(F.bit_or("bits").alias("bits")), "marks")
+    return _all(levels)
 
 
-def _within_budget(step: DataFrame, used: DataFrame, max_pages: int, depth: int) -> DataFrame:
-    """The first pages of the level that fit each site's budget, numbered in order.
+#: Words of 64 bits in the filter of visited pages: it has at most so many rows, however many pages there are.
+FILTER_WORDS = 1 << 20
 
-    Order comes from a range-partitioned sort on (base, order) whose row numbers
-    are increasing ids; places inside a site follow from counts per partition, so
-    no site passes through a single task.
-    """
-    row = F.col("gid").bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = cut_lineage(
-        step.repartitionByRange("base", "o", "url")
-        .sortWithinPartitions("base", "o", "url")
-        .withColumn("gid", F.monotonically_increasing_id()),
-        "level",
-    ).withColumn("pid", F.shiftright("gid", 33))
-    parts = ordered.groupBy("base", "pid").agg(F.count("*").alias("n"), F.min(row).alias("lo"))
-    earlier = Window.partitionBy("base").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        "base", "pid", "lo", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead")
-    ).join(used, "base", "left")
-    number = row - F.col("lo") + F.col("ahead") + F.coalesce("used", F.lit(0)) + 1
-    return cut_lineage(
-        ordered.join(offsets, ["base", "pid"])
-        .where(number <= max_pages)
-        .select("url", "base", number.cast("long").alias("place"), F.lit(depth).alias("depth")),
-        "visit",
+
+def _filter_place(rows: DataFrame) -> DataFrame:
+    """``rows`` (url, base, …) with the word of the filter a page falls in and its two bits there."""
+    bit = lambda shift: f"shiftleft(1L, CAST(shiftrightunsigned(h, {shift}) & 63 AS INT))"
+    return (
+        rows.withColumn("h", F.xxhash64("base", "url"))
+        .withColumn("word", F.col("h").bitwiseAND(F.lit(FILTER_WORDS - 1)))
+        .withColumn("bits", F.expr(f"{bit(40)} | {bit(52)}"))
+        .drop("h")
     )
+
+
+def _marks(level: DataFrame) -> DataFrame:
+    """Filter rows (word, bits) of the pages of a level."""
+    return _filter_place(level.select("url", "base")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, levels)
+
+
+def _unvisited(step: DataFrame, levels: list[DataFrame], marks: DataFrame) -> DataFrame:
+    """Pages of ``step`` that no level has. The filter clears most new pages inside their
+    row; only those it cannot clear meet the visited pages, exactly. A full filter clears
+    nothing, and all meet them."""
+    held = F.broadcast(marks.select("word", F.col("bits").alias("held")))
+    hit = F.col("bits").bitwiseAND(F.coalesce("held", F.lit(0))) == F.col("bits")
+    probed = cut_lineage(_filter_place(step).join(held, "word", "left").withColumn("doubtful", hit).drop("word", "bits", "held"), "step")
+    doubtful = probed.where("doubtful").join(_all([v.select("url", "base") for v in levels]), ["url", "base"], "left_anti")
+    return probed.where("NOT doubtful").unionByName(doubtful).drop("doubtful")

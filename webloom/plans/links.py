@@ -302,9 +302,21 @@ def crawl_reach(spark, sf):
     return seen.select("url", "depth")
 
 
-@query("crawl_reach_budget")
+def duck_walk(depths: int, budget: int) -> str:
+    """Check SQL of a walk from part 0: one common table per depth, numbered on from the depth before."""
+    steps = ["l0 AS (SELECT 'https://shop.example.com/p/0' AS url, 0 AS depth, 1 AS place)"]
+    for d in range(1, depths + 1):
+        seen = " UNION ALL ".join(f"SELECT url FROM l{i}" for i in range(d))
+        steps.append(
+            f"l{d} AS (SELECT * FROM (SELECT url, {d} AS depth, (SELECT max(place) FROM l{d - 1}) + row_number() OVER (ORDER BY p, url) AS place\n"
+            f"  FROM (SELECT target AS url, min(place) AS p FROM l{d - 1} JOIN pe ON source = url WHERE target NOT IN ({seen}) GROUP BY 1)) WHERE place <= {budget})"
+        )
+    return ", ".join(steps) + "\n" + " UNION ALL ".join(f"SELECT url, depth, place FROM l{d}" for d in range(depths + 1))
+
+
+@query("crawl_reach_budget", "WITH pe AS (" + PART_EDGES + "), " + duck_walk(3, 200))
 def crawl_reach_budget(spark, sf):
-    """The same walk with a page budget; checked against a queue in the tests."""
+    """The same walk with a page budget; checked against a queue in the tests, too."""
     _, edges = part_graph(spark, sf)
     start = spark.createDataFrame([("https://shop.example.com/p/0", 0)], "url string, seq long")
-    return G.reach(edges.withColumn("seq", F.col("target")), start, max_depth=3, max_pages=200).select("url", "depth")
+    return G.reach(edges.withColumn("seq", F.col("target")), start, max_depth=3, max_pages=200).select("url", "depth", "place")
