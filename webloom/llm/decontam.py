@@ -60,29 +60,45 @@ MARKS = {NUM: "<number>", UNIT: "<unit>", NAME: "<name>"}
 LITERAL = -1
 
 
-def classify(dictionary: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(core words, kinds, ends): words without punctuation, their kinds by shape alone, and
-    whether a sentence ends with the word."""
-    cores, kinds, ends = [], np.zeros(len(dictionary), np.int8), np.zeros(len(dictionary), bool)
-    for i, w in enumerate(dictionary):
+#: Words of small letters, perhaps after one capital, need no pattern of Python's.
+SIMPLE = r"^(?:\p{Ll}+|[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]\p{Ll}+)$"
+
+
+def classify(dictionary: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(core words in small letters, kinds, ends): words without punctuation, their kinds by
+    shape alone, and whether a sentence ends with the word."""
+    cores = pc.utf8_rtrim(dictionary, characters=".,;:!?")
+    simple = pc.match_substring_regex(cores, SIMPLE)
+    lower = pc.utf8_lower(cores)
+    kinds = np.where(pc.match_substring_regex(cores, "^\\p{Lu}").to_numpy(zero_copy_only=False), NAME, WORD).astype(np.int8)
+    kinds[pc.is_in(lower, pa.array(sorted(UNITS), lower.type)).to_numpy(zero_copy_only=False)] = UNIT
+    ends = pc.match_substring_regex(dictionary, "[.!?:]$").to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+    odd = []
+    for i, w in zip(other.tolist(), dictionary.take(pa.array(other)).to_pylist(), strict=True):
         core = EDGE.sub("", w)
         ends[i] = w.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+        kinds[i] = WORD
         if NUMBER.fullmatch(core):
             kinds[i] = NUM
         elif core.lower() in UNITS:
             kinds[i] = UNIT
         elif core[:1].isupper() and core[1:].islower():
             kinds[i] = NAME
-        cores.append(core)
-    return cores, kinds, ends
+        odd.append(core.lower())
+    return pc.replace_with_mask(lower, pc.invert(simple), pa.array(odd, lower.type)), kinds, ends
+
+
+#: Bits of the map of words that occur in items. It has one size, whatever the benchmark.
+MAP_BITS = 1 << 23
 
 
 class Template:
     """Template tokens of a batch of texts."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, word_map: np.ndarray | None = None):
         words = self.words = split_words(texts)
-        self.cores, kinds, ends = classify(words.dictionary.to_pylist())
+        self.cores, kinds, ends = classify(words.dictionary)
         first = np.zeros(len(words.codes), bool)
         if len(first):
             first[1:] = ends[words.codes[:-1]]
@@ -91,13 +107,22 @@ class Template:
         self.shapes = self.kinds.copy()
         self.kinds[first & (self.kinds == NAME)] = WORD  # a sentence may start with any word
         self.open = self.shapes != self.kinds
-        plain = string_hashes(pa.array([c.lower() for c in self.cores]))[words.codes] if len(first) else np.zeros(0, np.uint64)
+        coded = self.cores.dictionary_encode()
+        of_core = string_hashes(coded.dictionary)[coded.indices.to_numpy()] if len(self.cores) else np.zeros(0, np.uint64)
         marks = np.zeros(4, np.uint64)
         marks[1:] = string_hashes(pa.array([MARKS[k] for k in (NUM, UNIT, NAME)]))
-        self.hashes = np.where(self.kinds == WORD, plain, marks[self.kinds])
+        self.plain = of_core[words.codes]
+        self.hashes = np.where(self.kinds == WORD, self.plain, marks[self.kinds])
         self.named = np.where(self.open, marks[NAME], self.hashes)
-        same = string_hashes(pa.array([c.lower() or w for c, w in zip(self.cores, words.dictionary.to_pylist(), strict=True)]))
-        self.literal = same[words.codes] if len(first) else np.zeros(0, np.uint64)
+        bare = np.flatnonzero(pc.equal(self.cores, "").to_numpy(zero_copy_only=False))
+        same = of_core.copy()
+        same[bare] = string_hashes(words.dictionary.take(pa.array(bare)))
+        self.literal = same[words.codes]
+        # a window with a plain word that no item has can match none
+        self.possible = None
+        if word_map is not None:
+            in_items = word_map[of_core & np.uint64(MAP_BITS - 1)]
+            self.possible = (self.shapes != WORD) | in_items[words.codes]
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, hashes, choices) of all windows, one row for each choice of the capitalised
@@ -107,25 +132,29 @@ class Template:
         if total < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         starts = np.flatnonzero(window_starts(self.words.offsets, width, total)[: total - width + 1])
+        if self.possible is not None:
+            good = np.concatenate(([0], np.cumsum(self.possible)))
+            starts = starts[good[starts + width] - good[starts] == width]
         sums = lambda x: np.concatenate(([0], np.cumsum(x)))
         count = lambda x: (lambda c: c[starts + width] - c[starts])(sums(x))
         least = min(MIN_LITERALS, width - 1)
         # the same words are poor wherever they stand, as this counts shapes only
         poor = starts if width < MIN_ITEM else starts[count(self.shapes == WORD) < least]
-        out = [(poor, window_hashes(self.literal, width, seed=width + 1000)[poor], LITERAL)]
+        out = [(poor, runs_at(self.literal, poor, width, width + 1000), LITERAL)]
         if width >= MIN_ITEM:
-            plain, runs = count(self.kinds == WORD), window_hashes(self.hashes, width, seed=width)
-            out.append((starts[plain >= least], runs[starts[plain >= least]], 0))
+            plain = count(self.kinds == WORD)
+            rich = starts[plain >= least]
+            out.append((rich, runs_at(self.hashes, rich, width, width), 0))
             some = np.flatnonzero(count(self.open) > 0)
             bits = sum((self.open[starts[some] + i].astype(np.int64) << i for i in range(width)), np.zeros(len(some), np.int64))
-            for pattern in np.unique(bits).tolist():
-                own = some[bits == pattern]
-                choice = pattern
-                while choice:
-                    rich = starts[own[plain[own] - choice.bit_count() >= least]]
-                    if len(rich):
-                        out.append((rich, self.chosen(rich, width, choice), choice))
-                    choice = (choice - 1) & pattern
+            patterns = np.unique(bits)
+            for choice in range(1, 1 << width if len(some) else 1):
+                if not (patterns & choice == choice).any():
+                    continue
+                own = some[bits & choice == choice]
+                rich = starts[own[plain[own] - choice.bit_count() >= least]]
+                if len(rich):
+                    out.append((rich, self.chosen(rich, width, choice), choice))
         return tuple(np.concatenate(x) for x in ([o[0] for o in out], [o[1] for o in out], [np.full(len(o[0]), o[2], np.int64) for o in out]))
 
     def chosen(self, starts: np.ndarray, width: int, choice: int) -> np.ndarray:
@@ -136,7 +165,14 @@ class Template:
     def slots(self, start: int, width: int, choice: int = 0) -> list[str]:
         if choice == LITERAL:
             return []
-        return [self.cores[self.words.codes[start + i]].lower() for i in range(width) if self.kinds[start + i] != WORD or choice >> i & 1]
+        return [self.cores[self.words.codes[start + i]].as_py() for i in range(width) if self.kinds[start + i] != WORD or choice >> i & 1]
+
+
+def runs_at(values: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Entries ``starts`` of ``window_hashes``; a few are made by themselves."""
+    if len(starts) * width > len(values):
+        return window_hashes(values, width, seed=seed)[starts]
+    return window_hashes(values[starts[:, None] + np.arange(width)].ravel(), width, seed=seed)[::width]
 
 
 def window_rows(template: Template, starts: np.ndarray, hashes: np.ndarray, choices: np.ndarray, width: int, ids: pa.Array, name: str) -> pa.RecordBatch:
@@ -164,11 +200,27 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield window_rows(template, starts[mine], hashes[mine], choices[mine], width, part.column("item_id"), "item_id")
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places (word of 64, bits) in the map of the words that occur in items."""
+    for part in slices(batches):
+        at = np.unique(Template(part.column("text")).plain & np.uint64(MAP_BITS - 1)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "bits": pa.array(np.int64(1) << (at & 63))})
+
+
+def item_word_map(benchmark: DataFrame) -> np.ndarray:
+    """MAP_BITS truth values: true at the hash of each word of an item (MAP_BITS / 64 rows at most are collected)."""
+    rows = benchmark.select("text").mapInArrow(_item_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
 def _search(known, widths: list[int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = known.value
+        wanted, packed = known.value
+        word_map = np.unpackbits(packed, bitorder="little").view(bool)
         for part in slices(batches):
-            template = Template(part.column("text"))
+            template = Template(part.column("text"), word_map)
             for width in widths:
                 starts, hashes, choices = template.windows(width)
                 if not len(starts):
@@ -180,16 +232,17 @@ def _search(known, widths: list[int]):
     return task
 
 
-def matched_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+def matched_windows(docs: DataFrame, items: DataFrame, word_map: np.ndarray) -> DataFrame:
     """Windows of documents (key, hash, at, ...) whose hash an item window has."""
     spark = docs.sparkSession
     blocks = 1 + items.count() // BLOCK
+    packed = np.packbits(word_map, bitorder="little")
     found = None
     for b in range(blocks):
         some = items.where(F.pmod("hash", F.lit(blocks)) == b).select("hash", "width").distinct().toPandas()
         if not len(some):
             continue
-        known = spark.sparkContext.broadcast(np.sort(some["hash"].to_numpy().astype(np.int64).view(np.uint64)))
+        known = spark.sparkContext.broadcast((np.sort(some["hash"].to_numpy().astype(np.int64).view(np.uint64)), packed))
         hits = docs.select("key", "text").mapInArrow(_search(known, sorted(set(some["width"].tolist()))), f"key long, {ROWS}")
         found = hits if found is None else found.unionAll(hits)
     return found if found is not None else spark.createDataFrame([], f"key long, {ROWS}")
@@ -199,7 +252,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, stages: Stages) -> Dat
     """(key, item_id, words): items that contaminate a document and the words covered."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
     items = stages.write(benchmark.select("item_id", "text").mapInArrow(_items, f"item_id {kind}, {ROWS}"), "items")
-    hits = stages.write(matched_windows(docs, items).select("key", "hash", "at", "slots", F.col("loose").alias("free")), "hits")
+    hits = stages.write(matched_windows(docs, items, item_word_map(benchmark)).select("key", "hash", "at", "slots", F.col("loose").alias("free")), "hits")
     side = items.select("item_id", "hash", F.col("at").alias("p"), "width", "size", F.col("slots").alias("own"), "loose")
     pairs = hits.join(broadcast_if_small(side), "hash")
     values = F.array_distinct(F.zip_with("own", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d"))))
