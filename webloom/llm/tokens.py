@@ -21,6 +21,8 @@ CACHE_PIECES = 600_000
 #: White space next to a space, or a space at an end.
 UNSAFE = "^ | $|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] | [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
 
+#: The letter that stands for a space in the vocabulary of byte-level encoders.
+SPACE = "\u0120"
 #: Letters, then punctuation, then the end or a new line.
 SEAM = re.compile(r"( ?[^\W\d_]+)([^\w\s]+)(\n.*)?", re.DOTALL)
 
@@ -44,6 +46,9 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0:1] == SPACE]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -52,6 +57,26 @@ class PieceEncoder:
         self.bounds = array("q", [0])
 
     def learn(self, pieces: list[str]) -> None:
+        """Encodes unknown pieces. Those that start with a space are encoded as one text: no id
+        joins across it, and the only ids that begin with a space begin a piece."""
+        spaced = [p for p in pieces if p[0:1] == " " and p[1:2].strip() and p[-1].strip()]
+        if len(spaced) < len(pieces):
+            some = set(spaced)
+            self.learn_singly([p for p in pieces if p not in some])
+        known, ids, bounds = self.known, self.ids, self.bounds
+        for i in range(0, len(spaced), 4096):
+            some = spaced[i : i + 4096]
+            got = np.asarray(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.opens[got])
+            if len(starts) != len(some) or starts[0] != 0:
+                self.learn_singly(some)
+                continue
+            known.update(zip(some, range(len(bounds) - 1, len(bounds) - 1 + len(some)), strict=True))
+            ends = np.append(starts[1:], len(got)) + len(ids)
+            ids.frombytes(got.tobytes())
+            bounds.frombytes(ends.astype(np.int64).tobytes())
+
+    def learn_singly(self, pieces: list[str]) -> None:
         known, ids, bounds = self.known, self.ids, self.bounds
         for i in range(0, len(pieces), 4096):
             some = pieces[i : i + 4096]
@@ -64,22 +89,26 @@ class PieceEncoder:
         """Number of each piece among the known ones; unknown ones are encoded first, in
         parts where letters end before punctuation, as such a place is always a seam."""
         known = self.known
-        fresh = [p for p in pieces if p not in known]
+        found = list(map(known.get, pieces))
+        fresh = [p for p, at in zip(pieces, found, strict=True) if at is None]
+        if not fresh:
+            return np.array(found, np.int64)
         if len(known) + len(fresh) > CACHE_PIECES and known:
             self.reset()
             known, fresh = self.known, pieces
-        if fresh:
-            seams = {p: [g for g in m.groups() if g] for p in fresh if (m := SEAM.fullmatch(p))}
-            parts = {g for groups in seams.values() for g in groups}
-            self.learn([p for p in fresh if p not in seams and p not in parts] + [g for g in parts if g not in known])
-            ids, bounds = self.ids, self.bounds
-            for piece, groups in seams.items():
-                for g in groups:
-                    at = known[g]
-                    ids.extend(ids[bounds[at] : bounds[at + 1]])
-                known[piece] = len(bounds) - 1
-                bounds.append(len(ids))
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+        # a piece whose characters after the first are letters holds no punctuation
+        mixed = [p for p in fresh if not p[1:].isalpha()]
+        seams = {p: [g for g in m.groups() if g] for p in mixed if (m := SEAM.fullmatch(p))}
+        parts = {g for groups in seams.values() for g in groups}
+        self.learn([p for p in fresh if p not in seams and p not in parts] + [g for g in parts if g not in known])
+        ids, bounds = self.ids, self.bounds
+        for piece, groups in seams.items():
+            for g in groups:
+                at = known[g]
+                ids.extend(ids[bounds[at] : bounds[at + 1]])
+            known[piece] = len(bounds) - 1
+            bounds.append(len(ids))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ``ids[offsets[i]:offsets[i + 1]]``; a null text has none."""
