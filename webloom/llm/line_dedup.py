@@ -141,10 +141,15 @@ def close_lines(lines: DataFrame, first: DataFrame, stages: Stages, distance: in
     """(a, b): ids of different lines within ``distance`` edits; every line that has an
     earlier one so close is in a pair with an earlier one."""
     long_lines = lines.where(F.col("len") >= min_chars).select("id", "line", "len")
-    keyed = long_lines.select("id", sketch().alias("sketch"), segment_keys(distance).alias("keys")).dropDuplicates(["id"])
+    keyed = long_lines.select("id", segment_keys(distance).alias("keys")).dropDuplicates(["id"])
     state = {"own": F.col("slot") <= distance, "open": F.lit(True), "before": F.array().cast("array<long>")}
     rows = exploded(keyed, "id").withColumns(state).drop("slot")
-    rows = stages.write(rows.join(sizes(rows), "key").join(keyed.select("id", "sketch"), "id"), "buckets")
+    met = stages.write(rows.join(sizes(rows), "key"), "met")
+    # only lines that share a bucket are read once more: everything below works on them
+    sharing = broadcast_if_small(met.select("id").distinct())
+    shared = stages.write(long_lines.join(sharing, "id", "left_semi").dropDuplicates(["id"]), "shared-lines")
+    rows = stages.write(met.join(shared.select("id", sketch().alias("sketch")), "id"), "buckets")
+    stages.drop(met)
     pairs, close, wide_lines = None, None, None
     for turn in range(TURNS + 1):
         last = turn == TURNS
@@ -155,7 +160,7 @@ def close_lines(lines: DataFrame, first: DataFrame, stages: Stages, distance: in
             break
         if wide_lines is None:
             ids = broadcast_if_small(wide.select("id").distinct())
-            found = long_lines.join(ids, "id", "left_semi").dropDuplicates(["id"])
+            found = shared.join(ids, "id", "left_semi")
             wide_lines = stages.write(found.withColumn("fine", fine_sketch()).join(first.select("id", "first"), "id"), "wide-lines")
             close = stages.write(close_to_first(wide, wide_lines, distance), "close-to-first")
             decided = close.select(F.col("b").alias("id")).distinct().withColumn("done", F.lit(True))
@@ -170,7 +175,7 @@ def close_lines(lines: DataFrame, first: DataFrame, stages: Stages, distance: in
         stages.drop(finer)
     pairs = stages.write(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stages.write(long_lines.select("id", "line").join(broadcast_if_small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stages.write(shared.select("id", "line").join(broadcast_if_small(ids), "id", "left_semi"), "texts")
     both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     verified = both.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b")
     return stages.write(verified if close is None else verified.unionAll(close), "close")
