@@ -132,3 +132,40 @@ def test_empty_batches_and_null_ends(spark, tmp_path):
     assert tables.merge(batch(spark, []), 3, events=events) == 0
     assert [(r.domain, r.attempts, r.last_error) for r in tables.read("domains").collect()] == [("alone.com", 1, "timeout")]
     assert tables.read("edges").agg(F.count("*")).first()[0] == 0
+
+
+def test_a_merge_derives_its_addresses_once(spark, tmp_path, monkeypatch):
+    from webloom.sources import index_tables
+
+    labels, cut = [], index_tables.cut_lineage
+    monkeypatch.setattr(index_tables, "cut_lineage", lambda df, label: labels.append(label) or cut(df, label))
+    tables = IndexTables(spark, str(tmp_path / "index"), parts=4)
+    path = str(tmp_path / "batch")
+    batch(spark, NAMES).write.parquet(path)
+    assert tables.merge(batch(spark, NAMES[:50]), 10) == 50
+    assert labels == ["index-batch", "index-addresses"]
+    # a written batch is not written again
+    assert tables.merge(spark.read.parquet(path), 20, written=True) == 250
+    assert labels[2:] == ["index-addresses"]
+    assert tables.read("edges").count() == 300 and tables.read("pages").count() == 300 and tables.read("domains").count() == 307
+
+
+def test_links_are_shuffled_once_and_sorted_after(spark):
+    known = spark.createDataFrame([], SCHEMAS["edges"])
+    for rows in (I.merge_edges(known, batch(spark, NAMES), 10), I.merge_edges(known, batch(spark, NAMES + NAMES), 10)):
+        plan = rows._jdf.queryExecution().sparkPlan().toString()
+        before = plan[plan.index("RepartitionByExpression") if "RepartitionByExpression" in plan else plan.rindex("Exchange"):]
+        assert "Aggregate" not in before
+        assert rows.count() == 300
+
+
+def test_rows_of_one_part_in_several_files_stay_one_edge_each(spark, tmp_path, monkeypatch):
+    from webloom.sources import index_tables
+
+    monkeypatch.setattr(index_tables, "FILE_ROWS", 20)
+    tables = IndexTables(spark, str(tmp_path / "index"), parts=2)
+    assert tables.merge(batch(spark, NAMES + NAMES), 10) == 300
+    late = [(s, t, "late", False, True, 5) for s, t, *_ in NAMES]
+    assert tables.merge(batch(spark, late), 20) == 0
+    rows = tables.read("edges").collect()
+    assert len(rows) == 300 and {(r.anchor, r.nofollow, r.first_seen, r.last_seen) for r in rows} == {("late", 1, 10, 20)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,23 +43,28 @@ def shape_batch(batch: DataFrame, now: int) -> DataFrame:
     )
 
 
-def merge_edges(index: DataFrame, batch: DataFrame, now: int) -> DataFrame:
+def merge_edges(index: DataFrame, batch: DataFrame, now: int, placed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The index after a batch, with ``is_new``. A known pair keeps its domains,
     internal flag and first_seen; anchor, nofollow and last_seen come from the
-    latest row. One shuffle on (source, target), combined on the map side."""
+    latest row. One shuffle on (source, target) and one sort after it: pairs seldom
+    repeat, so combining them before the shuffle would only sort every row twice.
+    ``placed`` shuffles the rows by columns ``part`` and ``turn`` of its own, which
+    follow from the pair and stay in the result."""
     stored = index.select(*EDGE_COLUMNS, F.struct(F.lit(0).alias("gen"), F.lit(0).cast("long").alias("seq")).alias("at"))
     fresh = shape_batch(batch, now)
     rows = stored.unionByName(fresh, allowMissingColumns=True)
     first = F.min_by(F.struct("source_domain", "target_domain", "internal", "first_seen"), "at")
     last = F.max_by(F.struct("anchor", "nofollow", "last_seen"), "at")
-    merged = rows.groupBy("source_url", "target_url").agg(
+    place = [] if placed is None else ["part", "turn"]
+    rows = rows.repartition("source_url", "target_url") if placed is None else placed(rows)
+    merged = rows.groupBy(*place, "source_url", "target_url").agg(
         first.alias("f"), last.alias("l"), (F.min("at.gen") == 1).alias("is_new")
     )
     # a domain follows from its address: new pairs get theirs here, once per pair
     domain = lambda end: F.coalesce(F.col(f"f.{end}_domain"), U.domain_of(f"{end}_url")).alias(f"{end}_domain")
     return merged.select(
         "source_url", "target_url", domain("source"), domain("target"), "l.anchor", "f.internal", "l.nofollow",
-        "f.first_seen", "l.last_seen", "is_new",
+        "f.first_seen", "l.last_seen", "is_new", *place,
     )
 
 

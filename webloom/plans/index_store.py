@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators import index as I
-from webloom.plans.index import IDX, RESULTS, links
+from webloom.plans.index import IDX, RESULTS, links, written_links
 from webloom.plans.registry import query, shaped
 from webloom.session import shared_dir
 from webloom.sources.index_tables import IndexTables
@@ -23,12 +23,13 @@ def store(spark) -> IndexTables:
 def filled(spark, sf) -> tuple[IndexTables, list[tuple]]:
     """An index after three merges and a replay, and (merge, batch, new edges, edges, domains, pages) of each."""
     tables = store(spark)
-    again = links(spark, sf).where("target LIKE '%.com/p/1'")
+    lines = written_links(spark, sf)
+    again = lines[1].unionAll(lines[2]).where("target LIKE '%.com/p/1'")
     again = again.unionByName(again.withColumn("source", F.concat("source", F.lit("?again"))))
     events = I.classify_crawl(shaped(spark, sf, RESULTS))
     log = []
-    for batch, rows, marks in ((1, links(spark, sf, 1), None), (2, links(spark, sf, 2), events), (2, links(spark, sf, 2), events), (3, again, None)):
-        new = tables.merge(rows.drop("batch"), batch * 1000, batch_id=batch, events=marks)
+    for batch, rows, marks in ((1, lines[1], None), (2, lines[2], events), (2, lines[2], events), (3, again, None)):
+        new = tables.merge(rows.drop("batch"), batch * 1000, batch_id=batch, events=marks, written=rows is not again)
         stored = tables.manifest()["tables"]
         log.append((len(log) + 1, batch, new, *[sum(n for _, n in stored[name].values()) for name in ("edges", "domains", "pages")]))
     tables.vacuum(keep=1)

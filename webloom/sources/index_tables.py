@@ -25,6 +25,8 @@ SCHEMAS = {
 }
 #: Column whose hash gives a row's part, and the order inside a part's files (reads of a domain skip by it).
 KEYS = {"edges": "source_url", "domains": "domain", "pages": "url", "meta": "key"}
+#: The columns that tell a table's rows apart.
+IDENTITY = {**{name: [key] for name, key in KEYS.items()}, "edges": ["source_url", "target_url"]}
 ORDER = {"edges": ["target_domain", "source_url"], "domains": ["domain"], "pages": ["domain", "url"], "meta": ["key"]}
 #: Parts of a new index. A part is what a merge rewrites at least; ``resplit`` changes the number.
 PARTS = 64
@@ -95,35 +97,43 @@ class IndexTables:
         """Rows that a batch brings to each part it touches: at most one entry per part."""
         return {r["p"]: r["n"] for r in keys.groupBy(self._part(column, parts).alias("p")).agg(F.count("*").alias("n")).collect()}
 
-    def _write(self, name: str, rows: DataFrame, touched: dict[int, int], base: dict, parts: int) -> dict[str, list]:
-        """Write the parts; part -> [folder, rows]. A large part's rows are spread over several tasks by a
-        hash of the whole row, so neither a large part nor a page with very many links is one task."""
-        folder = f"{name}-{base['version']:012d}-{uuid.uuid4().hex}"
+    def _placed(self, name: str, rows: DataFrame, touched: dict[int, int], base: dict, parts: int) -> DataFrame:
+        """The rows shuffled by ``part`` and ``turn``. A large part's rows are spread over several tasks by a
+        hash of the row's identity, so neither a large part nor a page with very many links is one task."""
         stored = base["tables"][name]
         files = [(p, 1 + (n + stored.get(str(p), ["", 0])[1]) // FILE_ROWS) for p, n in touched.items()]
         sizes = self.spark.createDataFrame(files, "part int, files long")
+        placed = rows.withColumn("part", self._part(KEYS[name], parts)).join(F.broadcast(sizes), "part")
+        placed = placed.withColumn("turn", F.pmod(F.xxhash64(*IDENTITY[name]), F.col("files"))).drop("files")
+        return placed.repartition(sum(n for _, n in files), "part", "turn")
+
+    def _write(self, name: str, rows: DataFrame, touched: dict[int, int], base: dict, parts: int) -> dict[str, list]:
+        """Write the parts; part -> [folder, rows]. Rows that come with their place are not shuffled again."""
+        folder = f"{name}-{base['version']:012d}-{uuid.uuid4().hex}"
         columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-        placed = rows.select(*columns).withColumn("part", self._part(KEYS[name], parts)).join(F.broadcast(sizes), "part")
-        placed = placed.withColumn("turn", F.pmod(F.xxhash64(*columns), F.col("files")))
-        placed = placed.repartition(sum(n for _, n in files), "part", "turn").sortWithinPartitions("part", *ORDER[name])
+        placed = rows if "turn" in rows.columns else self._placed(name, rows.select(*columns), touched, base, parts)
+        placed = placed.select(*columns, "part").sortWithinPartitions("part", *ORDER[name])
         path = os.path.join(self.path, DATA, folder)
-        placed.drop("files", "turn").write.partitionBy("part").parquet(path)
+        placed.write.partitionBy("part").parquet(path)
         counts = self.spark.read.parquet(path).groupBy("part").count().collect()  # one row per touched part
         return {str(r["part"]): [folder, r["count"]] for r in counts}
 
     def merge(
-        self, batch: DataFrame, now: int, batch_id: int | None = None, events: DataFrame | None = None, meta: DataFrame | None = None, writer: str = ""
+        self, batch: DataFrame, now: int, batch_id: int | None = None, events: DataFrame | None = None, meta: DataFrame | None = None, writer: str = "",
+        written: bool = False,
     ) -> int:
         """Merge edges, status events and meta values; returns the number of new edges. A batch id that
-        ``writer`` has merged before changes nothing."""
+        ``writer`` has merged before changes nothing. A ``written`` batch is read from files that stay as
+        they are; any other is written once here, as it is read several times."""
         base = self.manifest()
         if batch_id is not None and batch_id <= base["batches"].get(writer, -1):
             return 0
-        batch = cut_lineage(batch, "index-batch")
+        batch = batch if written else cut_lineage(batch, "index-batch")
+        addresses = cut_lineage(I.batch_addresses(batch), "index-addresses")
         events = None if events is None else cut_lineage(events, "index-events")
         meta = None if meta is None else cut_lineage(meta, "index-meta")
         while True:
-            touched, written = self._merged(base, batch, now, events, meta)
+            touched, written = self._merged(base, batch, addresses, now, events, meta)
             while True:
                 tables = {name: {**base["tables"][name], **written[name]} for name in SCHEMAS}
                 batches = base["batches"] if batch_id is None else {**base["batches"], writer: batch_id}
@@ -140,10 +150,9 @@ class IndexTables:
                 if not same:
                     break
 
-    def _merged(self, base: dict, batch: DataFrame, now: int, events: DataFrame | None, meta: DataFrame | None) -> tuple[dict, dict]:
+    def _merged(self, base: dict, batch: DataFrame, addresses: DataFrame, now: int, events: DataFrame | None, meta: DataFrame | None) -> tuple[dict, dict]:
         """(touched parts, written parts) of every table after the batch."""
         parts = base["parts"]
-        addresses = I.batch_addresses(batch)
         keys = {
             "edges": batch.where(I.COMPLETE).select(F.col("source").alias("source_url")),
             "domains": addresses.select("domain"),
@@ -157,7 +166,7 @@ class IndexTables:
         old = {name: self._rows(name, base, touched[name]) for name in SCHEMAS}
         domains = I.add_domains(old["domains"], addresses, now)
         new = {
-            "edges": I.merge_edges(old["edges"], batch, now),
+            "edges": I.merge_edges(old["edges"], batch, now, lambda rows: self._placed("edges", rows, touched["edges"], base, parts)),
             "domains": domains if events is None else I.fold_domain_status(domains, events),
             "pages": I.add_pages(old["pages"], addresses, now),
             "meta": old["meta"] if meta is None else I.merge_meta(old["meta"], meta),
