@@ -63,3 +63,24 @@ def test_findings_are_one_scan_with_evidence(spark):
     assert rows[0][4].startswith("Please recieve it. You could of") and all(r[1] in r[4] for r in rows)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_task_works_on_slices_and_hands_on_what_is_kept(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "SLICE_WORDS", 10)
+    lists = [["planned", "planed"] * n for n in (1, 2, 0, 9, 1)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(5), pa.int64()), "words": lists, "lows": lists, "ui_words": pa.array([[]] * 5, pa.list_(pa.string())),
+        "hits": pa.array([[]] * 5, pa.list_(pa.struct([("low", pa.string())])))})
+    assert [part.num_rows for part in S._slices([batch, batch.slice(0, 0)])] == [3, 1, 1]
+    out = list(S._vary(pa.list_(pa.struct([("single", pa.string()), ("double_times", pa.int64())])), ["doc_id", "variants"])([batch]))
+    assert [part.schema.names for part in out] == [["doc_id", "variants"]] * 3
+    assert [d for part in out for d in part.column("doc_id").to_pylist()] == [0, 1, 2, 3, 4]
+
+
+def test_texts_that_nobody_reads_do_not_travel(spark):
+    docs = spark.createDataFrame([(1, "They comitted and committed it.", "en")], "doc_id long, text string, lang string")
+    assert S.told_rows(S.english(docs), kept=()).columns == ["doc_id", "hits", "variants"]
+    (row,) = S.spelling_variants(S.english(docs)).collect()
+    assert (row.doc_id, row.rare, row.common) == (1, "comitted", "committed")
