@@ -105,7 +105,7 @@ class IndexTables:
         sizes = self.spark.createDataFrame(files, "part int, files long")
         placed = rows.withColumn("part", self._part(KEYS[name], parts)).join(F.broadcast(sizes), "part")
         placed = placed.withColumn("turn", F.pmod(F.xxhash64(*IDENTITY[name]), F.col("files"))).drop("files")
-        return placed.repartition(sum(n for _, n in files), "part", "turn")
+        return placed.repartition(max(1, sum(n for _, n in files)), "part", "turn")  # an empty batch has no files
 
     def _write(self, name: str, rows: DataFrame, touched: dict[int, int], base: dict, parts: int) -> dict[str, list]:
         """Write the parts; part -> [folder, rows]. Rows that come with their place are not shuffled again."""
