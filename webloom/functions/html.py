@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def holding(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` where the text holds ``mark``, else the text; it is worked out once."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
@@ -119,7 +125,7 @@ def unescape(text: Column, wait: bool = False) -> Column:
         rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
         return F.array_join(F.concat(F.slice(pieces, 1, 1), rest), "")
 
-    return F.when(text.contains("&"), let(F.split(text, "&", -1), whole)).otherwise(text)
+    return holding(text, "&", lambda t: let(F.split(t, "&", -1), whole))
 
 
 def plain(text: Column) -> Column:
@@ -193,8 +199,8 @@ def has_attr(attributes: Column, name: str) -> Column:
 
 
 def text_of(chunk: Column) -> Column:
-    spaced = F.regexp_replace(chunk, _BLOCK_TAG, " ")
-    return collapse(plain(F.regexp_replace(spaced, _ANY_TAG, "")))
+    untagged = lambda t: F.regexp_replace(F.regexp_replace(t, _BLOCK_TAG, " "), _ANY_TAG, "")
+    return collapse(plain(holding(chunk, "<", untagged)))
 
 
 def blank(text: Column) -> Column:
@@ -217,14 +223,13 @@ def first_image_alt(chunk: Column) -> Column:
 
 def accessible_name(chunk: Column) -> Column:
     """aria-label, then text, then title, then an inner image's alt, then an input's value."""
-    a = attrs(chunk)
-    pick = lambda c: F.when(~blank(c), F.trim(c))
+    pick = lambda c: let(F.trim(c), lambda t: F.when(t != "", t))
     is_input = tag_name(chunk) == "input"
-    return F.coalesce(
+    return let(attrs(chunk), lambda a: F.coalesce(
         pick(attr(a, "aria-label")),
         pick(text_of(inner(chunk))),
         pick(attr(a, "title")),
         pick(first_image_alt(inner(chunk))),
         F.when(is_input, pick(attr(a, "value"))),
         F.lit(""),
-    )
+    ))
