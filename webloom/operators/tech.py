@@ -122,7 +122,7 @@ def detect_tech(harvest: DataFrame, fingerprints: DataFrame) -> DataFrame:
 def implied(found: DataFrame, implies: DataFrame, known: DataFrame, key: str = "page_id") -> DataFrame:
     """Technologies found, and all they imply, step by step. ``implies``: tech,
     implied; ``known``: tech. The closure of the (small) table is built first, so the
-    pages are joined once."""
+    pages are joined once, with a list for each technology, and read once."""
     step = implies.select("tech", F.split_part("implied", F.lit("\\;"), F.lit(1)).alias("implied"))
     step = step.where("implied <> '' AND implied <> tech").join(known.select(F.col("tech").alias("implied")), "implied", "left_semi")
     step = step.select("tech", "implied").distinct()
@@ -137,8 +137,9 @@ def implied(found: DataFrame, implies: DataFrame, known: DataFrame, key: str = "
         if now == size:
             break
         size = now
-    more = found.join(closure, "tech").select(key, F.col("implied").alias("tech"))
-    return found.select(key, "tech").unionByName(more).distinct()
+    all_of = closure.groupBy("tech").agg(F.collect_set("implied").alias("implied"))
+    more = F.coalesce("implied", F.array().cast("array<string>"))
+    return found.join(all_of, "tech", "left").select(key, F.explode(F.concat(F.array("tech"), more)).alias("tech")).distinct()
 
 
 def tech_categories(found: DataFrame, cats: DataFrame, names: DataFrame, key: str = "page_id") -> DataFrame:
