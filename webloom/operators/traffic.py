@@ -158,11 +158,14 @@ def overflow_findings(metrics: DataFrame, elements: DataFrame | None = None, wid
     if elements is None:
         rows = rows.withColumn("wide", F.array().cast("array<struct<selector:string,right:long>>"))
     else:
-        order = Window.partitionBy("page_url", "label").orderBy(F.desc("right"), "selector")
+        # addresses begin alike: a number in front of them decides nearly all comparisons of the sorts
+        key = ["page", "page_url", "label"]
+        elements, rows = (d.withColumn("page", F.xxhash64("page_url", "label")) for d in (elements, rows))
+        order = Window.partitionBy(*key).orderBy(F.desc("right"), "selector")
         top = elements.withColumn("place", F.row_number().over(order)).where(F.col("place") <= widest)
         place = F.struct("place", "selector", F.col("right").cast("long").alias("right"))
         wide = F.transform(F.array_sort(F.collect_list(place)), lambda x: F.struct(x["selector"].alias("selector"), x["right"].alias("right")))
-        rows = rows.join(top.groupBy("page_url", "label").agg(wide.alias("wide")), ["page_url", "label"], "left")
+        rows = rows.join(top.groupBy(*key).agg(wide.alias("wide")), key, "left")
     first = F.get("wide", 0)
     culprit = F.when(first.isNotNull(), F.concat(F.lit("The element that reaches farthest, to "), first["right"], F.lit("px, is "), first["selector"], F.lit(".")))
     return _f(
