@@ -26,7 +26,7 @@ def test_an_address_and_its_base_are_normalised_once(spark, tmp_path):
 
 def test_found_technologies_are_read_once(spark):
     found = spark.range(4).select(F.col("id").alias("page_id"), F.when(F.col("id") < 2, "A").when(F.col("id") < 3, "C").alias("tech"))
-    implies = spark.createDataFrame([("A", "B"), ("B", "C\;confidence:50"), ("C", "C")], "tech string, implied string")
+    implies = spark.createDataFrame([("A", "B"), ("B", "C\\;confidence:50"), ("C", "C")], "tech string, implied string")
     known = spark.createDataFrame([("A",), ("B",), ("C",)], "tech string")
     out = T.implied(found.unionAll(found), implies, known)
     assert optimized(out).count("Range (") == 2
