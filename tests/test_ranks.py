@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 
@@ -95,3 +96,43 @@ def test_rounds_carry_numbers_only(spark, monkeypatch):
     assert abs(sum(got.values()) - 1) < 1e-9 and got["b"] > got["d"]
     assert [len(columns) for columns, _ in seen] == [2, 2, 2]
     assert all("SortAggregate" not in plan for _, plan in seen)
+
+
+def shuffles(spark) -> set[str]:
+    """The shuffles that have files."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("tol", [None, 1e-12])
+def test_large_graphs_take_one_round_a_job(spark, monkeypatch, tol):
+    written, seen, made = [], R.Workspace.write, []
+
+    def watched(self, df, name):
+        before = shuffles(spark)
+        path = seen(self, df, name)
+        made.append((name, shuffles(spark) - before))
+        written.append((name, len(df.sparkSession.read.parquet(path).collect())))
+        return path
+
+    web = graphs()
+    few, rounds = frames(spark, web), 6
+    monkeypatch.setattr(R, "JOB_ROWS", 0)
+    monkeypatch.setattr(R.Workspace, "write", watched)
+    got = {(r.site, r.node): r["rank"] for r in R.graph_ranks(*few, iterations=rounds, tol=tol).collect()}
+    want = {(s, n): x for s, (ns, es) in web.items() for n, x in plain_rank(ns, es, 0.85, rounds).items()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    assert [name for name, _ in written].count("round") == rounds
+    # the cached shares and nodes are shuffled in the first round and keep their files; all others go soon after their job
+    first = [name for name, _ in made].index("round")
+    gone = set().union(*(new for i, (_, new) in enumerate(made) if i != first))
+    until = time.time() + 20
+    while shuffles(spark) & gone and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles(spark) & gone
+    # a mass has no row for each of its pages
+    (shares,) = (n for name, n in written if name == "shares")
+    edges, pages = few[0].count(), few[1].count()
+    assert shares - (pages if tol else 0) < edges + pages
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
