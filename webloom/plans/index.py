@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import authority as A
 from webloom.operators import index as I
+from webloom.operators.ranks import Workspace
 from webloom.plans.registry import query, shaped
 from webloom.session import cut_lineage
 
@@ -289,7 +290,16 @@ def frontier_expand(spark, sf):
 # ------------------------------------------------------------------ authority
 @query("domain_pagerank", "WITH RECURSIVE " + IDX + RANK + " SELECT domain, round(rank, 6) AS pagerank FROM pr")
 def domain_pagerank(spark, sf):
-    ranks = A.pagerank(I.domain_edges(edges(spark, sf)))
+    # each step's table and shuffles are gone before the next but one, and the pairs are worked out once; ranks read no anchors
+    space = Workspace(spark, "domain-edges")
+    index = empty(spark, EDGE_SCHEMA)
+    for batch in (1, 2):
+        rows = space.table(links(spark, sf, batch).withColumn("anchor", F.lit("")), "links")
+        index = space.table(I.merge_edges(index, rows, batch * 1000).select(*I.EDGE_COLUMNS), f"index{batch}")
+        space.keep(f"-index{batch}")
+    pairs = space.table(I.domain_edges(index), "pairs")
+    space.keep("-pairs")
+    ranks = A.pagerank(pairs)
     return ranks.select("domain", F.round("pagerank", 6).alias("pagerank"))
 
 
