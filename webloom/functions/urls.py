@@ -72,21 +72,17 @@ def host_key(netloc) -> Column:
 
 def registrable(host) -> Column:
     """Rough registrable domain: two labels, three under a known second level."""
-
-    def pick(labels: Column) -> Column:
-        n = F.size(labels)
-        known = F.get(labels, n - 2).isin(*seeds.SECOND_LEVEL_LABELS) & (F.length(F.get(labels, n - 1)) <= 3)
-        keep = F.when(n <= 2, n).when(known, 3).otherwise(2)
-        return F.array_join(F.slice(labels, n - keep + 1, keep), ".")
-
-    bare = F.split_part(F.lower(_c(host)), F.lit(":"), F.lit(1))
-    return let(F.split(bare, r"\."), pick)
+    bare = F.substring_index(F.lower(_c(host)), ":", 1)
+    two = F.substring_index(bare, ".", -2)
+    known = F.substring_index(two, ".", 1).isin(*seeds.SECOND_LEVEL_LABELS) & (F.length(F.substring_index(two, ".", -1)) <= 3)
+    return F.when(known, F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def authority_part(url) -> Column:
-    """Whatever stands between the last ``//`` and the next ``/``."""
-    after = F.element_at(F.split(_c(url), "//"), -1)
-    return F.split_part(after, F.lit("/"), F.lit(1))
+    """Whatever stands between the last ``//`` and the next ``/``; slashes pair up from the left."""
+    url = _c(url)
+    after = F.when(F.contains(url, F.lit("///")), F.element_at(F.split(url, "//"), -1)).otherwise(F.substring_index(url, "//", -1))
+    return F.substring_index(after, "/", 1)
 
 
 def domain_of(url) -> Column:
