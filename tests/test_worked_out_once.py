@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from webloom import plans
+from webloom.functions import urls as U
+from webloom.operators import findings as G
 from webloom.operators import rules as R
 from webloom.operators import tech as T
 from webloom.operators import traffic as N
@@ -55,3 +57,44 @@ def test_elements_are_sorted_by_a_number_first(spark):
     got = {r["url"]: r["evidence"]["widest_elements"] for r in out.collect()}
     assert got["https://a/1"] == '[{"selector":"#e11","right":403},{"selector":"#e3","right":403},{"selector":"#e7","right":403}]'
     assert got["https://a/2"] == "[]"
+
+
+def counted(spark, findings):
+    """The findings, and a count of how often their rows are worked out."""
+    made = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return findings.mapInArrow(task, findings.schema), made
+
+
+def some_findings(spark):
+    rows = [(i, "high" if i % 2 else "low", "A", f"t{i % 3}", "", f"u{i % 40}", None, {"k": str(i)}, "", "", 1, []) for i in range(200)]
+    return spark.createDataFrame(rows, G.SCHEMA).repartition(3)
+
+
+def test_merged_findings_are_worked_out_once(spark):
+    findings, made = counted(spark, some_findings(spark))
+    got = G.merge_findings(findings).collect()
+    assert sorted((r.title, r.seq, r.occurrences, len(r.other_urls)) for r in got) == [("t0", 0, 67, 25), ("t1", 1, 67, 25), ("t2", 2, 66, 25)]
+    assert made.value == 200
+
+
+def test_searched_findings_are_worked_out_once(spark):
+    findings, made = counted(spark, some_findings(spark))
+    got = G.search(findings, severity="high", q=" T2 ").collect()
+    assert [r.seq for r in got] == [i for i in range(200) if i % 2 and i % 3 == 2]
+    assert made.value == 200
+
+
+def test_domains_are_cut_without_lists(spark):
+    urls = {
+        "https://www.Shop.co.uk:80/a//b.c/d": "b.c", "http://a.b.example.org/x": "example.org", "a///b.c.de/": "", "////x.y.z": "y.z", "x.co.uk": "x.co.uk",
+        "a.co.info": "co.info", "co": "co", "": "", "http://": "", "//U@H.example.com:8/p?q": "example.com", "..com": ".com", "a.b.": "b.", None: None,
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.domain_of("u").alias("d"))
+    assert {r.u: r.d for r in rows.collect()} == urls
+    assert "lambda" not in optimized(rows)
