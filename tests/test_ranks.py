@@ -8,6 +8,7 @@ import pytest
 
 from test_graph import plain_rank
 from webloom.operators import ranks as R
+from webloom.session import FREE_SHUFFLES, freeing
 
 EDGES, NODES = "site string, src string, dst string, w int", "site string, node string"
 
@@ -124,15 +125,25 @@ def test_large_graphs_take_one_round_a_job(spark, monkeypatch, tol):
     want = {(s, n): x for s, (ns, es) in web.items() for n, x in plain_rank(ns, es, 0.85, rounds).items()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
     assert [name for name, _ in written].count("round") == rounds
-    # the cached shares and nodes are shuffled in the first round and keep their files; all others go soon after their job
-    first = [name for name, _ in made].index("round")
-    gone = set().union(*(new for i, (_, new) in enumerate(made) if i != first))
+    # the cached shares and nodes are shuffled in the first round and keep their files; those of later rounds go soon after their job
+    gone = set().union(*[new for name, new in made if name == "round"][1:])
     until = time.time() + 20
     while shuffles(spark) & gone and time.time() < until:
         time.sleep(0.2)
-    assert not shuffles(spark) & gone
+    assert not shuffles(spark) & gone, [(name, new & shuffles(spark)) for name, new in made]
     # a mass has no row for each of its pages
     (shares,) = (n for name, n in written if name == "shares")
     edges, pages = few[0].count(), few[1].count()
     assert shares - (pages if tol else 0) < edges + pages
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert spark.conf.get(FREE_SHUFFLES, "false") == "false"
+
+
+def test_the_setting_of_shuffle_files_comes_back_after_blocks_that_overlap(spark):
+    setting = spark.conf.get(FREE_SHUFFLES, None)
+    one, two = freeing(spark), freeing(spark)
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(FREE_SHUFFLES) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
